@@ -4,18 +4,21 @@ Per document, one pass over the whole text makes the shingle set's size, a 128-b
 and the signature's bands (see ``superminhash``). Equal sets collapse into one class, so exact copies are
 never paired. Classes that share a band are candidates. They are verified on full sets, first each against
 the class that it shares most bands with, then all pairs whose classes no verified link connects yet:
-a pair inside a group can't change the group. No bucket, group or partner list is capped.
+a pair inside a group can't change the group. Of those, exact bounds on the intersection (set sizes, and shingles that only
+one candidate has) leave out pairs that can't reach the similarity, and so do signatures that agree in fewer than
+``least_agreeing`` of 128 values: a pair of similarity 0.75 does so with a chance of 3e-6. No bucket, group or partner list is capped.
 
 With 32 bands of 4 values a pair of similarity 0.75 is missed with a probability of 5e-6.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.llm import kernel as K
@@ -76,7 +79,7 @@ def _sketcher(shingle: int, bands: int, band_rows: int):
             done = 0
             for values, begin in _sets(batch.column(1), shingle):
                 n = len(begin) - 1
-                keys = np.empty((n, bands), np.uint64)
+                keys, packed = np.empty((n, bands), np.uint64), np.empty((n, m // 16), np.uint64)
                 i = 0
                 while i < n:
                     j = max(i + 1, int(np.searchsorted(begin, begin[i] + PART, "right")) - 1)
@@ -85,11 +88,14 @@ def _sketcher(shingle: int, bands: int, band_rows: int):
                     for k in range(band_rows):
                         part = K.mix(part * K.U(0x9E3779B97F4A7C15) + sig[:, k::band_rows])
                     keys[i:j] = part
+                    nibbles = (K.mix(sig) >> K.U(60)).reshape(j - i, m // 16, 16)
+                    packed[i:j] = (nibbles << (np.arange(16, dtype=np.uint64) * K.U(4))).sum(axis=2, dtype=np.uint64)
                     i = j
                 size = np.diff(begin)
                 lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(np.where(size > 0, bands, 0))]).astype(np.int32), pa.array(keys[size > 0].ravel().view(np.int64)))
+                short = pa.ListArray.from_arrays(np.arange(0, n * (m // 16) + 1, m // 16, dtype=np.int32), pa.array(packed.ravel().view(np.int64)))
                 print_a, print_b = K.sums(K.mix(values), begin), K.sums(K.mix(values ^ K.U(0x5851F42D4C957F2D)), begin)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, n), pa.array(size.astype(np.int64)), pa.array(print_a.view(np.int64)), pa.array(print_b.view(np.int64)), lists], ["id", "n", "fa", "fb", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, n), pa.array(size.astype(np.int64)), pa.array(print_a.view(np.int64)), pa.array(print_b.view(np.int64)), lists, short], ["id", "n", "fa", "fb", "bands", "sig"])
                 done += n
 
     return sketch
@@ -109,6 +115,23 @@ def _set_maker(shingle: int):
     return make
 
 
+def least_agreeing(percent: int, m: int) -> int:
+    """Fewest agreeing 4-bit signature values that a pair of the least similarity has, but for a chance of 3e-6 (4.5 deviations)."""
+    p = percent / 100 + (1 - percent / 100) / 16
+    return math.floor(m * p - 4.5 * math.sqrt(m * p * (1 - p)))
+
+
+def _agreeing(marks: list[str]) -> Column:
+    """Agreeing values of two signatures, 16 of 4 bits in each long."""
+    out = F.lit(16 * len(marks))
+    for c in marks:
+        x = F.col(f"x{c}").bitwiseXOR(F.col(f"y{c}"))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(0x1111111111111111)
+        out = out - F.bit_count(x)
+    return out
+
+
 def near_dup_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, band_rows: int = BAND_ROWS) -> DataFrame:
     """One row per row of docs: id, n_shingles, component_id (least id of its group), kept (id = component_id).
 
@@ -120,10 +143,10 @@ def near_dup_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     scratch = Scratch(docs.sparkSession, "near-dup")
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketch = scratch.write(slim.mapInArrow(_sketcher(shingle, bands, band_rows), "id long, n long, fa long, fb long, bands array<long>"), "sketch")
+    sketch = scratch.write(slim.mapInArrow(_sketcher(shingle, bands, band_rows), "id long, n long, fa long, fb long, bands array<long>, sig array<long>"), "sketch")
 
     # a class: one set of shingles, under its least id
-    sets = scratch.write(sketch.where("n > 0 and id is not null").groupBy("n", "fa", "fb").agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands")), "classes")
+    sets = scratch.write(sketch.where("n > 0 and id is not null").groupBy("n", "fa", "fb").agg(F.min("id").alias("rep"), F.min_by(F.struct("bands", "sig"), "id").alias("s")).select("n", "fa", "fb", "rep", "s.*"), "classes")
     rows = scratch.write(sets.select("rep", "n", F.explode("bands").alias("bucket")), "buckets")
     shared = scratch.write(rows.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where("pivot < last").select("bucket", "pivot"), "shared")
     member = scratch.write(rows.join(shared, "bucket"), "members")
@@ -158,9 +181,19 @@ def near_dup_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     main = count.groupBy("bucket").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("members", "label")).alias("main")).where("labels > 1")
     main = scratch.write(main.select("bucket", "main"), "open")
     still = scratch.write(now.join(main, "bucket"), "still")
-    apart = still.where("label <> main").select("bucket", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    other = still.select("bucket", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), "main")
-    fits = (F.col("la") != F.col("lb")) & ((F.col("lb") == F.col("main")) | (F.col("a") < F.col("b"))) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    # shingles of these classes that no other of them has can't be shared; what is left must be enough for a link
+    reps = scratch.write(still.select("rep").distinct(), "still-reps")
+    item = full.join(reps.withColumnRenamed("rep", "id"), "id").select("id", F.explode("items").alias("item"))
+    lone = item.groupBy("item").agg(F.count("*").alias("times"), F.min("id").alias("rep")).where("times = 1").groupBy("rep").agg(F.count("*").alias("lone"))
+    still = still.join(scratch.write(lone, "lone"), "rep", "left").withColumn("common", F.col("n") - F.coalesce("lone", F.lit(0)))
+    marks = [f"s{i}" for i in range(bands * band_rows // 16)]
+    able = still.where(100 * F.col("common") >= percent * F.col("n")).drop("lone")
+    still = scratch.write(able.join(sets.select("rep", *(F.col("sig")[i].alias(c) for i, c in enumerate(marks))), "rep"), "still-able")
+    apart = still.where("label <> main").select("bucket", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("common").alias("ca"), *(F.col(c).alias(f"x{c}") for c in marks))
+    other = still.select("bucket", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.col("common").alias("cb"), "main", *(F.col(c).alias(f"y{c}") for c in marks))
+    fits = (F.col("la") != F.col("lb")) & ((F.col("lb") == F.col("main")) | (F.col("a") < F.col("b")))
+    fits = fits & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & ((100 + percent) * F.least("ca", "cb") >= percent * (F.col("na") + F.col("nb")))
+    fits = fits & (_agreeing(marks) >= least_agreeing(percent, bands * band_rows))
     rest = apart.join(other, "bucket").where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = verified(scratch.write(rest, "rest"), "more-links")
 
