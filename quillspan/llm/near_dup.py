@@ -6,7 +6,7 @@ never paired. Classes that share a band are candidates. They are verified on ful
 the class that it shares most bands with, then all pairs whose classes no verified link connects yet:
 a pair inside a group can't change the group. Of those, exact bounds on the intersection (set sizes, and shingles that only
 one candidate has) leave out pairs that can't reach the similarity, and so do signatures that agree in fewer than
-``least_agreeing`` of 128 values: a pair of similarity 0.75 does so with a chance of 3e-6. No bucket, group or partner list is capped.
+``least_agreeing`` of 256 values: a pair of similarity 0.75 does so with a chance of 3e-6. No bucket, group or partner list is capped.
 
 With 32 bands of 4 values a pair of similarity 0.75 is missed with a probability of 5e-6.
 """
@@ -25,6 +25,8 @@ from quillspan.llm import kernel as K
 from quillspan.llm.graph import components
 from quillspan.plans.scratch import Scratch
 
+#: Values of a signature; the first BANDS * BAND_ROWS make the bands, all serve to estimate similarity.
+VALUES = 256
 BANDS, BAND_ROWS = 32, 4
 SHINGLE, PERCENT = 5, 75
 #: Shingles ranked at once.
@@ -74,7 +76,7 @@ def _sets(column: pa.Array, shingle: int) -> Iterator[tuple[np.ndarray, np.ndarr
 
 def _sketcher(shingle: int, bands: int, band_rows: int):
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = bands * band_rows
+        m = max(VALUES, bands * band_rows)
         for batch in batches:
             done = 0
             for values, begin in _sets(batch.column(1), shingle):
@@ -86,7 +88,7 @@ def _sketcher(shingle: int, bands: int, band_rows: int):
                     sig = superminhash(values[begin[i] : begin[j]], begin[i : j + 1] - begin[i], m)
                     part = np.repeat(np.arange(1, bands + 1, dtype=np.uint64)[None], j - i, axis=0)
                     for k in range(band_rows):
-                        part = K.mix(part * K.U(0x9E3779B97F4A7C15) + sig[:, k::band_rows])
+                        part = K.mix(part * K.U(0x9E3779B97F4A7C15) + sig[:, k : bands * band_rows : band_rows])
                     keys[i:j] = part
                     nibbles = (K.mix(sig) >> K.U(60)).reshape(j - i, m // 16, 16)
                     packed[i:j] = (nibbles << (np.arange(16, dtype=np.uint64) * K.U(4))).sum(axis=2, dtype=np.uint64)
@@ -186,14 +188,14 @@ def near_dup_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     item = full.join(reps.withColumnRenamed("rep", "id"), "id").select("id", F.explode("items").alias("item"))
     lone = item.groupBy("item").agg(F.count("*").alias("times"), F.min("id").alias("rep")).where("times = 1").groupBy("rep").agg(F.count("*").alias("lone"))
     still = still.join(scratch.write(lone, "lone"), "rep", "left").withColumn("common", F.col("n") - F.coalesce("lone", F.lit(0)))
-    marks = [f"s{i}" for i in range(bands * band_rows // 16)]
+    marks = [f"s{i}" for i in range(VALUES // 16)]
     able = still.where(100 * F.col("common") >= percent * F.col("n")).drop("lone")
     still = scratch.write(able.join(sets.select("rep", *(F.col("sig")[i].alias(c) for i, c in enumerate(marks))), "rep"), "still-able")
     apart = still.where("label <> main").select("bucket", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("common").alias("ca"), *(F.col(c).alias(f"x{c}") for c in marks))
     other = still.select("bucket", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.col("common").alias("cb"), "main", *(F.col(c).alias(f"y{c}") for c in marks))
     fits = (F.col("la") != F.col("lb")) & ((F.col("lb") == F.col("main")) | (F.col("a") < F.col("b")))
     fits = fits & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & ((100 + percent) * F.least("ca", "cb") >= percent * (F.col("na") + F.col("nb")))
-    fits = fits & (_agreeing(marks) >= least_agreeing(percent, bands * band_rows))
+    fits = fits & (_agreeing(marks) >= least_agreeing(percent, VALUES))
     rest = apart.join(other, "bucket").where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = verified(scratch.write(rest, "rest"), "more-links")
 
