@@ -2,7 +2,7 @@
 
 Line hashes are made per document; every window of three consecutive lines gets a 128-bit hash. Windows
 seen twice or more are found by a grouped minimum (partial sums shrink a hot window before the exchange), written, and
-joined back (AQE can split a hot window there). The places of later occurrences return to their document as sorted starts,
+joined back (AQE can split a hot window there). No table here has a bound on its size, so none is broadcast. The places of later occurrences return to their document as sorted starts,
 which are merged into runs of covered lines and cut out.
 """
 
@@ -42,13 +42,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     place = F.struct(F.col("id"), F.col("rid"), F.col("pos"))
     repeated = windows.groupBy("h", "g").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
     repeated = scratch.write(repeated.select("h", "g", F.col("first.rid").alias("first_rid"), F.col("first.pos").alias("first_pos")), "repeated")
-    later = windows.join(repeated, ["h", "g"]).where("rid <> first_rid or pos <> first_pos")
+    later = windows.join(repeated.hint("merge"), ["h", "g"]).where("rid <> first_rid or pos <> first_pos")
     starts = scratch.write(later.groupBy("rid").agg(F.sort_array(F.collect_set("pos")).alias("starts")), "starts")
 
     last = F.size("starts") - 1
     begin = F.filter("starts", lambda x, i: (i == 0) | (x > F.get("starts", F.greatest(i - 1, F.lit(0))) + window))
     end = F.transform(F.filter("starts", lambda x, i: (i == last) | (F.get("starts", F.least(i + 1, last)) > x + window)), lambda x: x + (window - 1))
-    joined = base.join(starts.select("rid", begin.alias("begin"), end.alias("end")), "rid", "left").withColumn("lines", lines)
+    joined = base.join(starts.select("rid", begin.alias("begin"), end.alias("end")).hint("merge"), "rid", "left").withColumn("lines", lines)
     # runs count lines with a word; full has the places of these among all lines
     full = F.filter(F.transform("lines", lambda x, i: F.when(_has_word(x), i)), lambda i: i.isNotNull())
     cut = F.col("begin").isNotNull()
