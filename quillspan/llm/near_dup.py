@@ -149,7 +149,7 @@ def near_dup_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # a class: one set of shingles, under its least id
     sets = scratch.write(sketch.where("n > 0 and id is not null").groupBy("n", "fa", "fb").agg(F.min("id").alias("rep"), F.min_by(F.struct("bands", "sig"), "id").alias("s")).select("n", "fa", "fb", "rep", "s.*"), "classes")
-    rows = scratch.write(sets.select("rep", "n", F.explode("bands").alias("bucket")), "buckets")
+    rows = scratch.write(sets.select("rep", "n", F.posexplode("bands").alias("band", "bucket")), "buckets")
     shared = scratch.write(rows.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where("pivot < last").select("bucket", "pivot"), "shared")
     member = scratch.write(rows.join(shared, "bucket"), "members")
     scratch.drop(rows)
@@ -178,7 +178,7 @@ def near_dup_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     label = components(links, scratch)
 
     # then every pair in a bucket whose members aren't connected yet
-    now = scratch.write(member.select("bucket", "rep", "n").join(label.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "n", F.coalesce("label", "rep").alias("label")), "labelled")
+    now = scratch.write(member.select("bucket", "band", "rep", "n").join(label.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "band", "rep", "n", F.coalesce("label", "rep").alias("label")), "labelled")
     count = now.groupBy("bucket", "label").agg(F.count("*").alias("members"))
     main = count.groupBy("bucket").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("members", "label")).alias("main")).where("labels > 1")
     main = scratch.write(main.select("bucket", "main"), "open")
@@ -190,13 +190,15 @@ def near_dup_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     still = still.join(scratch.write(lone, "lone"), "rep", "left").withColumn("common", F.col("n") - F.coalesce("lone", F.lit(0)))
     marks = [f"s{i}" for i in range(VALUES // 16)]
     able = still.where(100 * F.col("common") >= percent * F.col("n")).drop("lone")
-    still = scratch.write(able.join(sets.select("rep", *(F.col("sig")[i].alias(c) for i, c in enumerate(marks))), "rep"), "still-able")
-    apart = still.where("label <> main").select("bucket", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("common").alias("ca"), *(F.col(c).alias(f"x{c}") for c in marks))
-    other = still.select("bucket", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.col("common").alias("cb"), "main", *(F.col(c).alias(f"y{c}") for c in marks))
+    still = scratch.write(able.join(sets.select("rep", "bands", *(F.col("sig")[i].alias(c) for i, c in enumerate(marks))), "rep"), "still-able")
+    # a pair comes up in the first of its shared buckets only
+    earlier = F.exists(F.zip_with(F.slice("xbands", 1, F.col("band")), F.slice("ybands", 1, F.col("band")), lambda x, y: x == y), lambda same: same)
+    apart = still.where("label <> main").select("bucket", "band", F.col("bands").alias("xbands"), F.col("rep").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("common").alias("ca"), *(F.col(c).alias(f"x{c}") for c in marks))
+    other = still.select("bucket", F.col("bands").alias("ybands"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.col("common").alias("cb"), "main", *(F.col(c).alias(f"y{c}") for c in marks))
     fits = (F.col("la") != F.col("lb")) & ((F.col("lb") == F.col("main")) | (F.col("a") < F.col("b")))
     fits = fits & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & ((100 + percent) * F.least("ca", "cb") >= percent * (F.col("na") + F.col("nb")))
-    fits = fits & (_agreeing(marks) >= least_agreeing(percent, VALUES))
-    rest = apart.join(other, "bucket").where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    fits = fits & (_agreeing(marks) >= least_agreeing(percent, VALUES)) & ~earlier
+    rest = apart.join(other, "bucket").where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = verified(scratch.write(rest, "rest"), "more-links")
 
     # an id with several texts ties their classes
