@@ -1,11 +1,481 @@
-"""All queries of the library's own operators, and their SQL."""
+"""All queries of the library's own operators over the test tables, each with the SQL that gives the same rows.
+
+Array results are joined to strings and integers are long, so that both engines' results compare by value.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillspan.functions import refs as R
+from quillspan.functions import scoring as S
+from quillspan.functions import text as X
+from quillspan.operators import aggregates as A
+from quillspan.operators import browse as B
+from quillspan.operators import compose as C
+from quillspan.operators import gate as G
+from quillspan.operators import intervals as I
+from quillspan.operators import metrics as M
+from quillspan.operators import ordered as O
+from quillspan.operators import retrieval as L
+from quillspan.session import table
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
 
-def queries() -> dict:
-    return {}
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _join(col: str, sep: str = "|"):
+    return F.array_join(F.transform(col, lambda x: x.cast("string")), sep)
+
+
+# retrieval ------------------------------------------------------------------------------------------------
+
+_BM25 = """
+WITH tok AS (SELECT doc_id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z'']+'), lambda t: length(t) > 2)) AS term FROM documents),
+post AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY ALL),
+len AS (SELECT doc_id, sum(tf) AS length FROM post GROUP BY ALL),
+whole AS (SELECT count(*) AS n, avg(length) AS mean FROM len),
+df AS (SELECT term, count(*) AS df FROM post GROUP BY ALL),
+q AS (SELECT item_id AS query_id, term, count(*) AS w FROM (SELECT item_id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z'']+'), lambda t: length(t) > 2)) AS term FROM benchmark) GROUP BY ALL),
+scored AS (SELECT q.query_id, p.doc_id, round(sum(q.w * greatest(0.01, ln(1 + (n - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score
+  FROM q JOIN post p USING (term) JOIN df USING (term) JOIN len ON len.doc_id = p.doc_id CROSS JOIN whole {keep} GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored)
+"""
+
+
+def _bm25(spark: SparkSession, d: str, k: int, keep: DataFrame | None = None) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return L.bm25(L.weighted_terms(q), L.postings(docs, {"text": 1}), k, keep, digits=6)
+
+
+@query(_BM25.format(keep="") + "SELECT query_id, doc_id, score, rank FROM ranked WHERE rank <= 10")
+def q01_bm25_topk(spark, d):
+    return _bm25(spark, d, 10).select("query_id", "doc_id", "score", F.col("rank").cast("long"))
+
+
+@query(_BM25.format(keep="WHERE p.doc_id IN (SELECT doc_id FROM documents WHERE lang IN ('en', 'de')) AND p.doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)") + "SELECT query_id, doc_id, score, rank FROM ranked WHERE rank <= 5")
+def q02_bm25_filtered(spark, d):
+    toxic = table(spark, d, "labels").where("toxic = 1").select("doc_id")
+    docs = table(spark, d, "documents").withColumnRenamed("lang", "canon")
+    keep = docs.where(L.Filters(canon=("en", "de")).column(docs)).join(toxic, "doc_id", "left_anti")
+    return _bm25(spark, d, 5, keep).select("query_id", "doc_id", "score", F.col("rank").cast("long"))
+
+
+@query("""
+WITH f AS (SELECT p_partkey AS doc_id, unnest(list_filter(regexp_extract_all(lower(p_name), '[a-z'']+'), lambda t: length(t) > 2)) AS term, 3 AS w FROM part
+  UNION ALL SELECT p_partkey, unnest(list_filter(regexp_extract_all(lower(p_type), '[a-z'']+'), lambda t: length(t) > 2)), 2 FROM part
+  UNION ALL SELECT p_partkey, unnest(list_filter(regexp_extract_all(lower(p_brand), '[a-z'']+'), lambda t: length(t) > 2)), 1 FROM part)
+SELECT doc_id, term, CAST(sum(w) AS DOUBLE) AS tf FROM f GROUP BY ALL""")
+def q03_weighted_fields(spark, d):
+    parts = table(spark, d, "part").withColumnRenamed("p_partkey", "doc_id")
+    return L.postings(parts, {"p_name": 3, "p_type": 2, "p_brand": 1})
+
+
+_DENSE = """
+WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+u AS (SELECT vec_id, label, e, greatest(sqrt(list_dot_product(e, e)), 1e-12) AS n FROM v),
+scored AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, round(list_dot_product(a.e, b.e) / a.n / b.n, 6) AS score FROM u a JOIN u b ON a.vec_id <> b.vec_id WHERE a.vec_id % 10 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored)
+"""
+
+
+def _dense(spark, d, k):
+    v = table(spark, d, "embeddings")
+    docs = v.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    return L.nearest(docs.where("doc_id % 10 = 0").select(F.col("doc_id").alias("query_id"), "vector"), docs, k)
+
+
+@query(_DENSE + "SELECT query_id, doc_id, score, rank FROM ranked WHERE rank <= 10")
+def q04_dense_topk(spark, d):
+    """Queries are every tenth vector (a stated query set) against all."""
+    return _dense(spark, d, 10).select("query_id", "doc_id", "score", F.col("rank").cast("long"))
+
+
+@query(_DENSE + """, second AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY (doc_id * 7919) % 1009, doc_id) AS r2 FROM ranked WHERE rank <= 25),
+lists AS (SELECT query_id, doc_id, rank AS r FROM ranked WHERE rank <= 25 UNION ALL SELECT query_id, doc_id, r2 FROM second WHERE r2 <= 12),
+fused AS (SELECT query_id, doc_id, round(least(1.0, sum(1.0 / (60 + r)) / (2.0 / 61)), 6) AS score, count(*) AS n_lists FROM lists GROUP BY ALL),
+best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM fused)
+SELECT query_id, doc_id, score, n_lists, rank FROM best WHERE rank <= 10""")
+def q05_hybrid_rrf(spark, d):
+    first = _dense(spark, d, 25)
+    other = first.withColumn("score", -((F.col("doc_id") * 7919) % 1009)).drop("rank")
+    second = L.top_k(other, 12, [F.desc("score"), F.asc("doc_id")])
+    return L.fuse([first, second]).select("query_id", "doc_id", "score", "n_lists", F.col("rank").cast("long"))
+
+
+@query(_DENSE + """, best AS (SELECT query_id, max(CASE WHEN score - 0.45 <= 0 THEN 0 ELSE (score - 0.45) / (score - 0.45 + 0.22) END) AS s FROM ranked WHERE rank <= 5 GROUP BY ALL)
+SELECT v.vec_id AS query_id, coalesce(s < 0.08, true) AS abstained FROM v LEFT JOIN best ON query_id = vec_id WHERE v.vec_id % 10 = 0""")
+def q06_dense_abstain(spark, d):
+    hits = _dense(spark, d, 5).withColumn("score", S.dense_score(F.col("score")))
+    return L.abstains(hits, table(spark, d, "embeddings").where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id")), 0.08)
+
+
+_METRICS = _DENSE + """, qrels AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, 1 + b.vec_id % 2 AS grade FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 10 = 0),
+ideal AS (SELECT query_id, count(*) AS n_rel, sum(CASE WHEN r <= 10 THEN (2 ** grade - 1) / log2(r + 1) END) AS ideal FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, doc_id) AS r FROM qrels) GROUP BY ALL),
+got AS (SELECT r.query_id, count(*) FILTER (rank <= 10) AS found, min(rank) AS first, sum(CASE WHEN rank <= 10 THEN (2 ** grade - 1) / log2(rank + 1) END) AS dcg FROM ranked r JOIN qrels USING (query_id, doc_id) WHERE rank <= 25 GROUP BY ALL),
+each AS (SELECT i.query_id, coalesce(found / n_rel, 0.0) AS recall, coalesce(1.0 / first, 0.0) AS rr, coalesce(dcg / ideal, 0.0) AS ndcg FROM ideal i LEFT JOIN got USING (query_id))
+"""
+
+
+def _judged(spark, d):
+    v = table(spark, d, "embeddings").select("vec_id", "label")
+    q = v.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), "label")
+    return q.join(v.withColumnRenamed("vec_id", "doc_id"), "label").where("query_id <> doc_id").select("query_id", "doc_id", (1 + F.col("doc_id") % 2).alias("grade"))
+
+
+@query(_METRICS + "SELECT query_id, round(recall, 6) AS recall, round(rr, 6) AS rr, round(ndcg, 6) AS ndcg FROM each")
+def q07_ranking_metrics(spark, d):
+    each = M.per_query(_dense(spark, d, 25), _judged(spark, d))
+    return each.select("query_id", *(F.round(c, 6).alias(c) for c in ("recall", "rr", "ndcg")))
+
+
+@query(_METRICS + "SELECT count(*) AS n, round(avg(recall), 6) AS recall, round(avg(rr), 6) AS rr, round(avg(ndcg), 6) AS ndcg FROM each")
+def q08_metric_summary(spark, d):
+    return M.summary(M.per_query(_dense(spark, d, 25), _judged(spark, d)))
+
+
+@query(_DENSE + "SELECT query_id, round(avg(CASE WHEN a.label = b.label THEN 1.0 ELSE 0.0 END), 6) AS share FROM ranked JOIN v a ON a.vec_id = query_id JOIN v b ON b.vec_id = doc_id WHERE rank <= 5 GROUP BY ALL")
+def q09_label_precision(spark, d):
+    v = table(spark, d, "embeddings").select("vec_id", "label")
+    hits = _dense(spark, d, 5).join(v.select(F.col("vec_id").alias("query_id"), F.col("label").alias("a")), "query_id").join(v.select(F.col("vec_id").alias("doc_id"), F.col("label").alias("b")), "doc_id")
+    return M.share_at(hits, F.col("a") == F.col("b"), 5).withColumn("share", F.round("share", 6))
+
+
+@query("""SELECT event_type, value AS percentile FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
+WHERE i = least(n - 1, CAST(floor(n * 0.95) AS BIGINT))""")
+def q10_percentile(spark, d):
+    return M.nearest_rank(table(spark, d, "events"), "value", 0.95, ["event_type"])
+
+
+# intervals ------------------------------------------------------------------------------------------------
+
+
+def _ranges(spark, d):
+    """Per customer: order-key ranges of each status (left) and priority (right)."""
+    o = table(spark, d, "orders")
+    a = o.groupBy(F.col("o_custkey").alias("book"), F.col("o_orderstatus").alias("id")).agg(F.min("o_orderkey").alias("lo"), F.max("o_orderkey").alias("hi")).withColumn("seq", F.lit(0))
+    b = o.groupBy(F.col("o_custkey").alias("book"), F.col("o_orderpriority").alias("id")).agg(F.min("o_orderkey").alias("lo"), F.max("o_orderkey").alias("hi")).withColumn("seq", F.lit(0))
+    return a, b
+
+
+_OVERLAP = """
+WITH a AS (SELECT o_custkey AS book, o_orderstatus AS id, min(o_orderkey) AS lo, max(o_orderkey) AS hi FROM orders GROUP BY ALL),
+b AS (SELECT o_custkey AS book, o_orderpriority AS id, min(o_orderkey) AS lo, max(o_orderkey) AS hi FROM orders GROUP BY ALL),
+pairs AS (SELECT a.book, a.id AS a_id, b.id AS b_id, CASE WHEN a.lo = b.lo AND a.hi = b.hi THEN 'exact' WHEN b.lo <= a.lo AND b.hi >= a.hi THEN 'contains' WHEN a.lo <= b.lo AND a.hi >= b.hi THEN 'within' ELSE 'overlaps' END AS relation
+  FROM a JOIN b ON a.book = b.book AND a.lo <= b.hi AND b.lo <= a.hi)
+"""
+
+
+@query(_OVERLAP + "SELECT book, a_id, b_id, relation FROM pairs")
+def q11_interval_overlap(spark, d):
+    return I.overlap_join(*_ranges(spark, d)).select("book", "a_id", "b_id", "relation")
+
+
+@query(_OVERLAP + "SELECT book, a_id, b_id, relation FROM pairs")
+def q12_interval_overlap_binned(spark, d):
+    """The same pairs by bins, for keys that hold most ranges."""
+    return I.overlap_join(*_ranges(spark, d), bin_size=4096).select("book", "a_id", "b_id", "relation")
+
+
+@query(_OVERLAP + """, s AS (SELECT *, CASE relation WHEN 'exact' THEN 0 WHEN 'contains' THEN 1 WHEN 'within' THEN 2 ELSE 3 END AS n FROM pairs)
+SELECT a_id, b_id, arg_min(relation, n) AS relation FROM s GROUP BY ALL""")
+def q13_strongest_relation(spark, d):
+    return I.strongest(I.overlap_join(*_ranges(spark, d))).select("a_id", "b_id", "relation")
+
+
+@query("""SELECT e.event_id, (SELECT max(m.event_id) FROM events m WHERE m.user_id = e.user_id AND m.event_type IN ('signup', 'error') AND m.ts = (SELECT max(x.ts) FROM events x WHERE x.user_id = e.user_id AND x.event_type IN ('signup', 'error') AND x.ts <= e.ts)) AS mark
+FROM events e WHERE e.event_type = 'purchase'""")
+def q14_as_of(spark, d):
+    e = table(spark, d, "events")
+    marks = e.where(F.col("event_type").isin("signup", "error")).select("user_id", "ts", F.col("event_id").alias("mark"))
+    return I.as_of(e.where("event_type = 'purchase'").select("event_id", "user_id", "ts"), marks, ["user_id"], "ts", "mark").select("event_id", "mark")
+
+
+@query(_OVERLAP + ", hit AS (SELECT a.book, a.id, b.id AS span_id, row_number() OVER (PARTITION BY a.book, a.id ORDER BY b.hi - b.lo, b.id) AS r FROM a JOIN b ON a.book = b.book AND b.lo <= a.lo AND b.hi >= a.hi) SELECT a.book, a.id, h.span_id FROM a LEFT JOIN hit h ON h.book = a.book AND h.id = a.id AND r = 1")
+def q15_containing_range(spark, d):
+    a, b = _ranges(spark, d)
+    key = F.struct("book", F.col("id").alias("name"))
+    out = I.containing(a.withColumn("id", key), b.withColumn("seq", F.col("id")))
+    return out.select("id.book", F.col("id.name").alias("id"), "span_id")
+
+
+@query("""SELECT CAST(l.l_orderkey AS BIGINT) AS id, CAST(count(*) AS BIGINT) AS n, string_agg(CAST(l_linenumber AS VARCHAR), ',' ORDER BY l_linenumber) AS numbers
+FROM lineitem l WHERE l_linenumber BETWEEN 2 AND 4 GROUP BY l_orderkey""")
+def q16_range_expansion(spark, d):
+    li = table(spark, d, "lineitem")
+    blocks = li.select(F.col("l_orderkey").alias("book"), F.col("l_linenumber").cast("long").alias("lo"), F.col("l_linenumber").cast("long").alias("hi"), F.col("l_linenumber").cast("string").alias("text"))
+    ranges = li.select(F.col("l_orderkey").alias("id"), F.col("l_orderkey").alias("book")).distinct().select("id", F.lit(1).alias("seq"), "book", F.lit(2).cast("long").alias("lo"), F.lit(4).cast("long").alias("hi"))
+    return I.expand(ranges, blocks).select("id", F.size("blocks").cast("long").alias("n"), F.array_join(F.transform("blocks", lambda x: x.text), ",").alias("numbers"))
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+def q17_anti_join(spark, d):
+    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+
+
+@query("SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def q18_semi_join(spark, d):
+    return table(spark, d, "documents").join(table(spark, d, "labels").where("quality = 1"), "doc_id", "left_semi").select("doc_id", "lang")
+
+
+# ordered rows ---------------------------------------------------------------------------------------------
+
+_LINES = """WITH lines AS (SELECT doc_id, CAST(generate_subscripts(string_split(text, chr(10)), 1) AS BIGINT) AS line, unnest(string_split(text, chr(10))) AS value FROM documents)"""
+
+
+def _lines(spark, d):
+    return O.lines_of(table(spark, d, "documents"))
+
+
+@query(_LINES + " SELECT doc_id, count(*) AS n_lines, max(line) AS last_line, max(length(value)) AS longest FROM lines GROUP BY ALL")
+def q19_line_scan(spark, d):
+    return _lines(spark, d).groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.max("line").cast("long").alias("last_line"), F.max(F.length("value")).cast("long").alias("longest"))
+
+
+@query("""SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS asked FROM conversations""")
+def q20_forward_fill(spark, d):
+    c = table(spark, d, "conversations")
+    return O.forward_fill(c, ["conv_id"], "turn", [("asked", F.when(F.col("role") == "user", F.col("turn")))]).select("conv_id", "turn", "asked")
+
+
+@query(_LINES + """, marked AS (SELECT *, sum(CASE WHEN length(value) < 12 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line) AS island FROM lines)
+SELECT doc_id, CAST(island AS BIGINT) AS island, max(CASE WHEN length(value) < 12 THEN value END) AS head, count(*) FILTER (length(value) >= 12) AS n_body FROM marked GROUP BY ALL""")
+def q21_segments(spark, d):
+    """Lines under 12 characters stand for headings."""
+    out = O.segments(_lines(spark, d), F.length("value") < 12)
+    return out.select("doc_id", "island", "head", F.size("body").cast("long").alias("n_body"))
+
+
+@query("""SELECT p_partkey, 'part.' || CASE WHEN length(CAST(n AS VARCHAR)) < 4 THEN lpad(CAST(n AS VARCHAR), 4, '0') ELSE CAST(n AS VARCHAR) END AS id FROM (SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part)""")
+def q22_numbered_ids(spark, d):
+    return O.numbered_ids(table(spark, d, "part"), "part", ["p_brand"], ["p_partkey"]).select("p_partkey", "id")
+
+
+@query("""WITH s AS (SELECT p_partkey, regexp_replace(regexp_replace(lower(trim(p_type)), '[^\\w\\s-]', '', 'g'), '\\s+', '-', 'g') AS slug FROM part),
+n AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY p_partkey) - 1 AS i FROM s) SELECT p_partkey, CASE WHEN i > 0 THEN slug || '-' || i ELSE slug END AS slug FROM n""")
+def q23_slugs(spark, d):
+    parts = table(spark, d, "part").select("p_partkey", X.slug(F.col("p_type")).alias("slug"))
+    return O.slug_suffixes(parts, "slug", "p_partkey")
+
+
+@query("""SELECT o_orderkey, o_custkey, lag(o_orderkey) OVER w AS previous, lead(o_orderkey) OVER w AS next, row_number() OVER w AS position, count(*) OVER (PARTITION BY o_custkey) AS total FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)""")
+def q24_neighbours(spark, d):
+    out = O.neighbours(table(spark, d, "orders").select("o_orderkey", "o_custkey"), ["o_custkey"], "o_orderkey", "o_orderkey")
+    return out.withColumn("position", F.col("position").cast("long"))
+
+
+@query("""SELECT * FROM (SELECT o_custkey, o_orderkey, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before FROM orders) WHERE before IS NOT NULL AND o_orderkey <> before + 1""")
+def q25_discontinuities(spark, d):
+    return O.discontinuities(table(spark, d, "orders").select("o_custkey", "o_orderkey"), ["o_custkey"], "o_orderkey", "o_orderkey").select("o_custkey", "o_orderkey", "before")
+
+
+@query("SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders GROUP BY ALL")
+def q26_first_occurrence(spark, d):
+    return O.first_occurrences(table(spark, d, "orders").select("o_custkey", "o_orderkey"), ["o_custkey"], ["o_orderkey"])
+
+
+# aggregates -----------------------------------------------------------------------------------------------
+
+
+@query("""SELECT CAST(l_partkey AS BIGINT) AS key, count(*) AS n, string_agg(CAST(l_orderkey AS VARCHAR), '|' ORDER BY l_orderkey, l_linenumber) AS ids, array_to_string(list_sort(list_distinct(list(l_returnflag))), '|') AS facets FROM lineitem GROUP BY l_partkey""")
+def q27_inversion(spark, d):
+    li = table(spark, d, "lineitem").select(F.col("l_partkey").alias("key"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"), F.col("l_orderkey").alias("id"), "l_returnflag", "l_linestatus")
+    out = A.invert(li, "key", "seq", "id", F.col("l_linestatus"), F.col("l_returnflag"))
+    return out.select("key", "n", _join("ids").alias("ids"), _join("facets").alias("facets"))
+
+
+@query("SELECT v.p_size AS label, CAST(count(p.p_partkey) AS BIGINT) AS n FROM (SELECT DISTINCT p_size FROM part) v LEFT JOIN part p ON p.p_size = v.p_size AND p.p_retailprice > 1200 GROUP BY ALL")
+def q28_label_counts(spark, d):
+    p = table(spark, d, "part")
+    used = p.where("p_retailprice > 1200").select(F.array("p_size").alias("labels"))
+    return A.label_counts(used, "labels", p.select(F.col("p_size").alias("label")).distinct())
+
+
+@query("""SELECT n.n_nationkey AS agent, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS n_customer, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS n_supplier FROM nation n
+WHERE n_nationkey IN (SELECT c_nationkey FROM customer UNION SELECT s_nationkey FROM supplier)""")
+def q29_role_counts(spark, d):
+    return A.role_counts({"customer": table(spark, d, "customer").select(F.col("c_nationkey").alias("agent")), "supplier": table(spark, d, "supplier").select(F.col("s_nationkey").alias("agent"))})
+
+
+@query("""WITH c AS (SELECT r_name, n_name, count(c_custkey) AS n FROM region JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey AND c_acctbal > 9000 GROUP BY ALL)
+SELECT r_name AS canon, n_name AS book, CAST(n AS BIGINT) AS n_items FROM c""")
+def q30_tree(spark, d):
+    """Region, nation, customers over 9000; nations without any still appear."""
+    nation = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("canon"), F.col("n_name").alias("book"), "n_nationkey")
+    items = table(spark, d, "customer").where("c_acctbal > 9000").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    out = A.tree(items, "canon", "book", "c_name", "c_custkey", nation)
+    return out.select("canon", F.inline("books")).select("canon", "book", F.size("items").cast("long").alias("n_items"))
+
+
+@query("SELECT lang, count(l.doc_id) AS owned, count(*) - count(l.doc_id) AS unowned FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id GROUP BY ALL")
+def q31_coverage(spark, d):
+    labels = table(spark, d, "labels").select("doc_id", F.col("quality").alias("owner"))
+    return A.coverage(table(spark, d, "documents").join(labels, "doc_id", "left"), ["lang"], "owner")
+
+
+@query("SELECT lang, count(*) AS n, round(avg(toxic), 6) AS toxic, round(avg(quality), 6) AS good FROM documents JOIN labels USING (doc_id) GROUP BY ALL")
+def q32_rates(spark, d):
+    both = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
+    out = A.rates(both, ["lang"], {"toxic": F.col("toxic") == 1, "good": F.col("quality") == 1})
+    return out.withColumns({c: F.round(c, 6) for c in ("toxic", "good")})
+
+
+@query("SELECT l_returnflag, round(median(l_extendedprice), 4) AS median FROM lineitem GROUP BY ALL")
+def q33_median(spark, d):
+    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.round(F.median("l_extendedprice"), 4).alias("median"))
+
+
+@query("SELECT p_type, n FROM (SELECT p_type, count(*) AS n, min(p_partkey) AS f FROM part GROUP BY ALL) ORDER BY n DESC, f LIMIT 10")
+def q34_most_common(spark, d):
+    """A top-k report."""
+    return A.most_common(table(spark, d, "part"), "p_type", "p_partkey", 10)
+
+
+# browsing and text ----------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, lang, source FROM documents WHERE lang = 'en' AND source = 'src3' AND contains(lower(text), 'th') AND contains(lower(text), 'on')")
+def q35_faceted(spark, d):
+    docs = B.faceted(table(spark, d, "documents"), lang="en", source="src3", unknown="x")
+    return docs.where(X.holds_all(F.col("text"), X.query_tokens("Th on"))).select("doc_id", "lang", "source")
+
+
+@query("""WITH s AS (SELECT 'documents' AS source, doc_id AS item_id, lang AS title, text FROM documents WHERE contains(lower(text), 'rest')
+ UNION ALL SELECT 'benchmark', item_id, 'item', text FROM benchmark WHERE contains(lower(text), 'rest')),
+p AS (SELECT *, strpos(lower(text), 'rest') AS hit FROM s), b AS (SELECT *, greatest(hit - 1 - 46, 0) AS a, least(length(text), hit - 1 + 140) AS z FROM p)
+SELECT source, item_id, title, CASE WHEN a > 0 THEN '…' ELSE '' END || trim(substr(text, a + 1, z - a)) || CASE WHEN z < length(text) THEN '…' ELSE '' END AS snippet, (SELECT count(*) FROM b) AS total FROM b""")
+def q36_search_snippets(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), F.col("doc_id").alias("seq"), F.col("lang").alias("title"), F.col("text").alias("blob"))
+    items = table(spark, d, "benchmark").select(F.col("item_id"), F.col("item_id").alias("seq"), F.lit("item").alias("title"), F.col("text").alias("blob"))
+    return B.search([("documents", docs, "title", "blob"), ("benchmark", items, "title", "blob")], "REST", limit=None)
+
+
+@query("SELECT doc_id, lang FROM documents ORDER BY doc_id LIMIT 20 OFFSET 40")
+def q37_page(spark, d):
+    """One page of a list."""
+    return B.page(table(spark, d, "documents").select("doc_id", "lang"), ["doc_id"], 40, 20)
+
+
+@query("SELECT doc_id, CAST(NULL AS VARCHAR) AS text, n_chars FROM documents")
+def q38_redaction(spark, d):
+    return B.redacted(table(spark, d, "documents").select("doc_id", "text", "n_chars"), ["text"], allowed=False)
+
+
+@query("""WITH h AS (SELECT p_partkey, CAST(('0x' || substr(sha256(CAST(p_partkey AS VARCHAR) || '|ask'), 1, 2)) AS INTEGER) % 7 AS choice FROM part) SELECT p_partkey, CAST(choice AS BIGINT) AS choice FROM h""")
+def q39_stable_pick(spark, d):
+    return table(spark, d, "part").select("p_partkey", X.pick(F.col("p_partkey").cast("string"), "ask", 7).cast("long").alias("choice"))
+
+
+@query("""WITH d AS (SELECT doc_id, text, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS l FROM documents)
+SELECT doc_id, CASE WHEN length(text) < 10 THEN 0.0 ELSE round(greatest(0.0, least(100.0, 100.0 - 30.0 * len(list_filter(l, lambda x: length(trim(x)) < 10)) / greatest(len(l), 1)
+ - least(2.0 * (length(text) - length(replace(replace(replace(replace(text, '|', ''), '~', ''), '^', ''), '\\', ''))), 30.0))), 6) END AS score FROM d""")
+def q40_text_quality(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.round(X.ocr_quality(F.col("text")), 6).alias("score"))
+
+
+@query("""WITH b AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9'']+') AS w FROM benchmark), g AS (SELECT DISTINCT item_id, array_to_string(w[i:i+5], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 4)) AS i FROM b WHERE len(w) >= 6)),
+d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9'']+') AS w FROM documents), h AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+5], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 4)) AS i FROM d WHERE len(w) >= 6))
+SELECT doc_id, item_id, count(*) AS shared FROM g JOIN h USING (g) GROUP BY ALL""")
+def q41_quoted_ngrams(spark, d):
+    grams = lambda df, i: df.select(i, F.explode(X.ngrams(X.words(F.col("text")), 6)).alias("g")).distinct()
+    both = grams(table(spark, d, "benchmark"), "item_id").join(grams(table(spark, d, "documents"), "doc_id"), "g")
+    return both.groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
+
+
+@query("""SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: s <> '')) AS BIGINT) AS n FROM documents""")
+def q42_sentences(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.size(X.sentences(F.col("text"))).cast("long").alias("n"))
+
+
+@query("SELECT doc_id, trim(regexp_replace(text, '[\\s ]+', ' ', 'g')) AS text FROM documents")
+def q43_collapse(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.collapse(F.col("text")).alias("text"))
+
+
+# gate, analysis, composition ------------------------------------------------------------------------------
+
+_CATEGORIES = [G.Category("insult", ["idiot", "clown", "trash"]), G.Category("scorn", ["pathetic", "worthless"]), G.Category("licence", [], [r"licen[cs]ed under"])]
+_THEMES = [G.Theme("legal", ["license", "rights"], ["law"], ["court"], ["permit"]), G.Theme("scorn", ["idiot", "worthless"], ["harm", "law"], [], ["abuse"])]
+
+
+@query("""WITH h AS (SELECT doc_id, [CASE WHEN regexp_matches(lower(text), '(?:^|[^a-z0-9_])(?:idiot|clown|trash)(?:$|[^a-z0-9_])') THEN 'insult' END, CASE WHEN regexp_matches(lower(text), '(?:^|[^a-z0-9_])(?:pathetic|worthless)(?:$|[^a-z0-9_])') THEN 'scorn' END,
+ CASE WHEN regexp_matches(lower(text), 'licen[cs]ed under') THEN 'licence' END] AS x FROM documents)
+SELECT doc_id, array_to_string(list_filter(x, lambda v: v IS NOT NULL), '|') AS hits, CASE WHEN len(list_filter(x, lambda v: v IS NOT NULL)) > 0 THEN 'crisis' ELSE 'ok' END AS status FROM h""")
+def q44_safety_gate(spark, d):
+    return G.gate(table(spark, d, "documents"), "text", _CATEGORIES).select("doc_id", _join("hits").alias("hits"), "status")
+
+
+@query("""WITH t AS (SELECT doc_id, regexp_matches(lower(text), '(?:^|[^a-z0-9_])(?:license|rights)(?:$|[^a-z0-9_])') AS a, regexp_matches(lower(text), '(?:^|[^a-z0-9_])(?:idiot|worthless)(?:$|[^a-z0-9_])') AS b FROM documents)
+SELECT doc_id, concat_ws('|', CASE WHEN a THEN 'legal' END, CASE WHEN b THEN 'scorn' END) AS themes, CASE WHEN a AND b THEN 'law|harm' WHEN a THEN 'law' WHEN b THEN 'harm|law' ELSE '' END AS labels, concat_ws('|', CASE WHEN a THEN 'permit' END, CASE WHEN b THEN 'abuse' END) AS expansions FROM t""")
+def q45_analyse(spark, d):
+    out = G.analyse(table(spark, d, "documents"), "text", _THEMES)
+    return out.select("doc_id", *(_join(c).alias(c) for c in ("themes", "labels", "expansions")))
+
+
+@query("""WITH p AS (SELECT doc_id AS id, arg_max(CASE WHEN toxic = 1 THEN 'exclude' ELSE 'explain_only' END, toxic) AS p FROM labels WHERE quality = 0 GROUP BY ALL) SELECT d.doc_id AS id, coalesce(p, 'compose') AS policy FROM documents d LEFT JOIN p ON p.id = d.doc_id""")
+def q46_policy_overlay(spark, d):
+    policy = table(spark, d, "labels").where("quality = 0").select(F.col("doc_id").alias("id"), F.when(F.col("toxic") == 1, "exclude").otherwise("explain_only").alias("policy"), F.lit(None).cast("string").alias("reason"), F.col("toxic").alias("seq"))
+    return G.with_policy(table(spark, d, "documents").select(F.col("doc_id").alias("id")), policy).select("id", "policy")
+
+
+@query()
+def q47_anchor(spark, d):
+    """The anchor of each document for the words of a fixed query; each is a slice of its text."""
+    docs = table(spark, d, "documents").select("doc_id", "text", F.array(F.lit("rest"), F.lit("heed")).alias("tokens"))
+    return docs.select("doc_id", C.anchor("text", "tokens").alias("a")).select("doc_id", "a.text", "a.start", "a.end")
+
+
+@query()
+def q48_compose_verify(spark, d):
+    """Responses composed around anchors, with the rules that each breaks."""
+    docs = table(spark, d, "documents").select("doc_id", "text", F.array(F.lit("rest")).alias("tokens")).withColumn("a", C.anchor("text", "tokens"))
+    run = C.compose(["Let us keep what was given to us, and let us pass it on to those who come after us in good order."] * 4, "We rely on what we have read.", "So be it.")
+    made = docs.withColumn("m", run(F.lit("To all,"), F.col("a.text"), F.lit("We name here what was asked of us today by all."), F.lit("Let it be heard.")))
+    return made.select("doc_id", C.spoken(F.col("m")).alias("spoken"), _join_col(C.violations(F.col("m"), F.col("text"))).alias("violations"))
+
+
+def _join_col(col):
+    return F.array_join(col, "|")
+
+
+_BOOKS = R.Books({"alpha": "Alp", "beta": "Bet", "2 beta": "2Bet", "gamma": "Gam"}, {"Alp": 50, "Bet": 12, "2Bet": 12, "Gam": None})
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE l_linenumber % 3 WHEN 0 THEN 'Alp' WHEN 1 THEN 'Bet' ELSE 'Gam' END || '.' || CASE WHEN l_linenumber % 3 = 2 THEN '1' ELSE CAST(1 + l_partkey % 12 AS VARCHAR) END || '.' || CAST(1 + l_suppkey % 30 AS VARCHAR) AS osis FROM lineitem""")
+def q49_reference_parser(spark, d):
+    """Printed references made of line items, parsed back into ranges."""
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    chapter, verse = (1 + F.col("l_partkey") % 12).cast("string"), (1 + F.col("l_suppkey") % 30).cast("string")
+    third = F.col("l_linenumber") % 3
+    raw = F.when(third == 0, F.concat(F.lit("Alpha "), chapter, F.lit(":"), verse)).when(third == 1, F.concat(F.lit("Beta "), chapter, F.lit(":"), verse)).otherwise(F.concat(F.lit("Gamma "), verse))
+    parsed = li.withColumn("r", F.get(R.reference_parser(_BOOKS)(raw), F.lit(0)))
+    return parsed.select("l_orderkey", "l_linenumber", R.osis(F.col("r.book"), F.col("r.lo_chapter"), F.col("r.lo_verse"), F.col("r.hi_chapter"), F.col("r.hi_verse")).alias("osis"))
+
+
+@query("""SELECT a.doc_id, CASE WHEN b.text IS NULL THEN 'missing' ELSE 'spacing' END AS kind FROM documents a LEFT JOIN (SELECT doc_id, replace(text, ' ', '  ') AS text FROM documents WHERE doc_id % 3 > 0) b ON a.doc_id = b.doc_id WHERE b.text IS NULL OR a.text <> b.text""")
+def q50_edition_compare(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    other = docs.where("doc_id % 3 > 0").withColumn("text", F.replace("text", F.lit(" "), F.lit("  ")))
+    return I.changed(docs, other, ["doc_id"])
