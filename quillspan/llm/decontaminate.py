@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quillspan.llm import kernel as K
 
@@ -156,7 +157,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     out = None
     for ids, texts in _item_blocks(benchmark, item_col, item_text):
         shared = docs.sparkSession.sparkContext.broadcast((ids, texts))
-        part = source.mapInArrow(_searcher(shared, shingle, percent), schema)
+        part = source.mapInArrow(_searcher(shared, shingle, percent, to_arrow_type(benchmark.schema[item_col].dataType)), schema)
         out = part if out is None else out.unionByName(part)
     if out is None:
         out = docs.sparkSession.createDataFrame([], schema)
@@ -181,7 +182,7 @@ def _item_blocks(benchmark: DataFrame, item_col: str, item_text: str) -> Iterato
         yield ids, texts
 
 
-def _searcher(shared, shingle: int, percent: int):
+def _searcher(shared, shingle: int, percent: int, item_type: pa.DataType):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(*shared.value, shingle)
         short = index.lengths and index.lengths[0] < shingle
@@ -201,6 +202,6 @@ def _searcher(shared, shingle: int, percent: int):
                         at_rows.append(i + int(r))
             if rows:
                 item, value, start, size = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at_rows)), pa.array(item), pa.array(value, pa.float64()), pa.array(start, pa.int64()), pa.array(size, pa.int64())], ["id", "item_id", "similarity", "start_word", "n_words"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at_rows)), pa.array(item, item_type), pa.array(value, pa.float64()), pa.array(start, pa.int64()), pa.array(size, pa.int64())], ["id", "item_id", "similarity", "start_word", "n_words"])
 
     return search

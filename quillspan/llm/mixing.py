@@ -9,8 +9,6 @@ cut. Cuts are set from the largest size class (powers of 2) down, each class mak
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -39,11 +37,10 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
     every = W.partitionBy(F.lit(0))
     steps = with_weight.withColumn("whole", F.sum("source_size").over(every) * F.lit(float(share)))
     steps = steps.withColumn("capped", F.coalesce(F.sum(F.col("source_size") * cap).over(upto), F.lit(0))).withColumn("rest", F.sum("weight").over(after))
-    # the level if this source and all that fill earlier are at their caps, where the next one isn't
+    # the level if just the sources that fill before this one are at their caps: it rises up to the true one, then falls
     steps = steps.withColumn("own", F.col("capped") - F.col("source_size") * cap).withColumn("with_own", F.coalesce("rest", F.lit(0)) + F.col("weight"))
     steps = steps.withColumn("level", (F.col("whole") - F.col("own")) / F.col("with_own"))
-    level = F.min(F.when(F.col("level") <= F.col("full_at"), F.col("level"))).over(every)
-    target = F.least(F.col("source_size") * F.lit(float(cap)), F.col("weight") * F.coalesce(level, F.lit(math.inf)))
+    target = F.least(F.col("source_size") * F.lit(float(cap)), F.col("weight") * F.max("level").over(every))
     return steps.select("source", "source_size", F.when(F.col("source_size") == 0, 0.0).otherwise(target).alias("target"))
 
 
@@ -81,15 +78,18 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Returns one row per row of docs: id_col, size (words, null 0), source_size, target (of its source), rate, copies, taken =
     copies * size. carry: the columns of docs instead, each row as often as it has
-    copies. Only id, text and source are read, so extra columns clash with nothing (rid is taken). Targets: see
+    copies. Other columns clash with nothing. Targets: see
     source_targets. Wordless texts have rate 1. A null source is a source; an empty table gives an empty result. Draws come from
     id and text, so the result doesn't depend on how rows are dealt; only rows equal in both get theirs by input order.
     """
     scratch = Scratch(docs.sparkSession, "mix")
-    size = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
-    draw = F.xxhash64(F.col(id_col), F.xxhash64(text_col))
-    base_rows = scratch.write(row_ids(docs), "docs") if carry else row_ids(docs)
-    slim = scratch.write(base_rows.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), draw.alias("h"), "rid"), "sizes")
+    if carry:  # whole rows as one column, so that no name of theirs meets one of ours
+        whole = scratch.write(row_ids(docs.select(F.struct("*").alias("row"))), "docs")
+        slim = whole.select("rid", F.col("row")[id_col].alias("_id"), F.col("row")[source_col].alias("_source"), F.col("row")[text_col].alias("_text"))
+    else:
+        slim = row_ids(docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.col(text_col).alias("_text")))
+    size = F.coalesce(F.regexp_count("_text", F.lit(WORD)), F.lit(0)).cast("long")
+    slim = scratch.write(slim.select(F.col("_id").alias("id"), F.col("_source").alias("source"), size.alias("size"), F.xxhash64("_id", F.xxhash64("_text")).alias("h"), "rid"), "sizes")
     stats = scratch.write(slim.groupBy("source", "size").agg(F.count("*").alias("n")), "stats")
     totals = stats.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).cast("long").alias("source_size"))
     params = _tilts(stats, scratch.write(source_targets(totals, weights, cap, share), "targets"), cap, scratch)
@@ -127,5 +127,5 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     done = done.withColumn("copies", copies)
     if not carry:
         return done.select(F.col("id").alias(id_col), "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
-    copied = base_rows.join(done.select("rid", "copies").where("copies > 0"), "rid")
-    return copied.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*(F.col(c) for c in docs.columns))
+    copied = whole.join(done.select("rid", "copies").where("copies > 0"), "rid")
+    return copied.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")

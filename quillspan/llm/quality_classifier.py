@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillspan.llm import kernel as K
 
@@ -130,9 +131,9 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_i
                 yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns[1:]), pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*names, "score", "predicted"])
 
     names = [id_col, *keep]
-    source = docs.select(F.col(text_col).alias("_text"), *names)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[1:])
-    return source.mapInArrow(judge, f"{schema}, score double, predicted int")
+    source = docs.select(F.col(text_col).alias("_text"), *(F.col(c) for c in names))
+    schema = T.StructType([*source.schema.fields[1:], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    return source.mapInArrow(judge, schema)
 
 
 def held_out(id_col: str):

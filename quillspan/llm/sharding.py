@@ -119,16 +119,17 @@ def shard_documents(docs: DataFrame, shards: int = 16, key_col: str = "doc_id",
     extra columns can't arise: without carry only key and text are read, and with it shard and slot of docs are replaced.
     """
     scratch = Scratch(docs.sparkSession, "shards")
-    docs = docs.drop("shard", "slot") if carry else docs
     size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 1
     levels = ["_has", "_key", "_rid"]
-    base = docs if carry else docs.select(F.col(key_col), size.alias("size"), F.crc32(F.col(text_col).cast("binary")).alias("text_crc32"))
-    weight = size if carry else F.col("size")
-    base = base.withColumn("_size", weight).withColumn("_has", F.col(key_col).isNotNull().cast("long")).withColumn("_key", F.coalesce(F.col(key_col).cast("long"), F.lit(0)))
+    key = [F.col(key_col).isNotNull().cast("long").alias("_has"), F.coalesce(F.col(key_col).cast("long"), F.lit(0)).alias("_key"), size.alias("size")]
+    if carry:  # whole rows as one column, so that no name of theirs meets one of ours
+        base = docs.select(F.struct(*(F.col(c) for c in docs.columns if c not in ("shard", "slot"))).alias("row"), *key)
+    else:
+        base = docs.select(F.col(key_col), *key, F.crc32(F.col(text_col).cast("binary")).alias("text_crc32"))
     base = scratch.write(row_ids(base, "_rid"), "keys")
-    bounds = splitters(base, levels, "_size", shards, tolerance)
+    bounds = splitters(base, levels, "size", shards, tolerance)
     placed = base.withColumn("shard", shard_of(levels, bounds))
     out = ranked(placed, ["shard"], [F.col(c) for c in levels], scratch)
     if carry:
-        return out.select(*(F.col(c) for c in docs.columns), "shard", "slot")
+        return out.select("row.*", "shard", "slot")
     return out.select(key_col, "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
