@@ -14,7 +14,6 @@ from quillspan.llm.decontaminate import find_leaks
 from quillspan.llm.mixing import mix_documents
 from quillspan.llm.near_dup import near_dup_groups
 from quillspan.llm.quality_classifier import fit, held_out, score
-from quillspan.llm.ranked import row_ids
 from quillspan.llm.sharding import shard_documents
 from quillspan.plans.scratch import Scratch
 from quillspan.session import table
@@ -26,11 +25,12 @@ ORACLE_SQL = None
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject."""
     model = fit(docs, table(spark, sf_dir, "labels").where(~held_out("doc_id")))
-    return score(docs.withColumn("_t", F.col("text")), model, "doc_id", "_t", keep=[c for c in docs.columns if c != "doc_id"]).where("predicted = 1").select(*docs.columns)
+    whole = docs.select("doc_id", "text", F.struct("*").alias("row"))  # no name of a column can meet one of the score's
+    return score(whole, model, keep=["row"]).where("predicted = 1").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least id of each group of near-duplicates; of rows with one id and text, one."""
+    """The document of the least id of each group of near-duplicates. Rows of one id are one document."""
     groups = near_dup_groups(docs).select("doc_id", "component_id").where("doc_id <> component_id").distinct()
     groups = Scratch(spark, "dropped").write(groups.select("doc_id"), "ids")
     return docs.join(groups, "doc_id", "left_anti").select(*docs.columns)
