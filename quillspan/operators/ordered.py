@@ -86,5 +86,10 @@ def excerpt(items: Column, anchor: Column, span: int = 8, limit: int = 20) -> Co
 
 def offset_to_item(lengths: Column, offset: Column) -> Column:
     """The place (from 0) of the item that holds a character offset of the items joined by one space."""
-    state = F.aggregate(lengths, F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")), lambda s, x: F.struct((s.end + x + 1).alias("end"), (s.n + F.when(s.end + x + 1 <= offset, 1).otherwise(0)).alias("n")))
-    return F.least(state.n, F.size(lengths) - 1)
+    zero = F.lit(0).cast("long")
+
+    def step(s: Column, x: Column) -> Column:
+        end = s.end + x.cast("long") + 1
+        return F.struct(end.alias("end"), (s.n + F.when(end <= offset, 1).otherwise(0)).cast("long").alias("n"))
+
+    return F.least(F.aggregate(lengths, F.struct(zero.alias("end"), zero.alias("n")), step).n, F.size(lengths).cast("long") - 1)

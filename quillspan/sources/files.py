@@ -47,7 +47,7 @@ def read_definitions(spark: SparkSession, path: str) -> DataFrame:
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(path, line, value) of whole text files; lines count from 1 in each file."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), F.posexplode(F.split("value", "\n")).alias("_i", "value"))
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.posexplode(F.split("value", "\n")).alias("_i", "value"))
     return whole.select("path", (F.col("_i") + 1).alias("line"), "value")
 
 
