@@ -62,21 +62,23 @@ def features(data: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> tuple[n
 
 def train(rows: list[tuple[int, np.ndarray, np.ndarray]], bits: int = BITS, epochs: int = EPOCHS, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2) -> tuple[np.ndarray, float]:
     """Weights and bias after epochs passes over (label, features, values) in the order given."""
-    size = (1 << bits) + 1  # the last is the bias
-    z, n = np.zeros(size), np.zeros(size)
-    padded = [(y, np.append(i, size - 1), np.append(x, 1.0)) for y, i, x in rows]
+    z, n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)  # the last is the bias
+    last = 1 << bits
 
     def weight(i):
         return np.where(np.abs(z[i]) <= l1, 0.0, -(z[i] - np.sign(z[i]) * l1) / ((beta + np.sqrt(n[i])) / alpha + l2))
 
+    def learn(i, w, g):
+        z[i] += g - (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / alpha * w
+        n[i] += g * g
+
     for _ in range(epochs):
-        for y, i, x in padded:
-            w = weight(i)
-            p = 1 / (1 + np.exp(-np.clip(w @ x, -35, 35)))
-            g = (p - y) * x
-            z[i] += g - (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / alpha * w
-            n[i] += g * g
-    w = weight(np.arange(size))
+        for y, i, x in rows:
+            w, bias = weight(i), weight(last)
+            p = 1 / (1 + np.exp(-np.clip(w @ x.astype(np.float64) + bias, -35, 35)))
+            learn(i, w, (p - y) * x.astype(np.float64))
+            learn(last, bias, p - y)
+    w = weight(np.arange(last + 1))
     return w[:-1].astype(np.float32), float(w[-1])
 
 
@@ -99,17 +101,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # max_rows bounds what is broadcast here and what the driver gathers (2**bits features a row at most)
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id").select("id", "y", "text")
     kind = docs.schema[id_col].dataType.simpleString()
-    table = chosen.mapInArrow(count, f"id {kind}, y int, f array<int>, v array<float>").toArrow().combine_chunks()
-    ids, labels_ = table.column("id").to_pylist(), table.column("y").to_pylist()
-    rows: dict = {}
-    for k in range(table.num_rows):
-        f, v = (np.asarray(table.column(c)[k].values) for c in ("f", "v"))
-        old = rows.get(ids[k])
-        if old is None or (len(f), f.tolist()) < (len(old[1]), old[1].tolist()):
-            rows[ids[k]] = (labels_[k], f.astype(np.int64), v.astype(np.float64))
+    table = chosen.mapInArrow(count, f"id {kind}, y int, f array<int>, v array<float>").toArrow()
+    rows: dict = {}  # views into the gathered columns, which are never copied
+    for batch in table.to_batches():
+        f, v, at = np.asarray(batch.column(2).values), np.asarray(batch.column(3).values), np.asarray(batch.column(2).offsets)
+        for k, (i, y) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+            new = (y, f[at[k] : at[k + 1]], v[at[k] : at[k + 1]])
+            if i not in rows or (len(new[1]), new[1].tolist()) < (len(rows[i][1]), rows[i][1].tolist()):
+                rows[i] = new
     order = np.random.Generator(np.random.PCG64(7)).permutation(len(rows))
-    listed = [rows[i] for i in sorted(rows)]
-    return train([listed[k] for k in order], bits)
+    ids = sorted(rows)
+    return train([rows[ids[k]] for k in order], bits)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
