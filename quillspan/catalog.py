@@ -16,11 +16,13 @@ from quillspan.functions import text as X
 from quillspan.operators import aggregates as A
 from quillspan.operators import browse as B
 from quillspan.operators import compose as C
+from quillspan.operators import documents as D
 from quillspan.operators import gate as G
 from quillspan.operators import intervals as I
 from quillspan.operators import metrics as M
 from quillspan.operators import ordered as O
 from quillspan.operators import retrieval as L
+from quillspan.operators import suggest as P
 from quillspan.session import table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -479,3 +481,39 @@ def q50_edition_compare(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
     other = docs.where("doc_id % 3 > 0").withColumn("text", F.replace("text", F.lit(" "), F.lit("  ")))
     return I.changed(docs, other, ["doc_id"])
+
+
+_BANK = P.Bank(
+    address=("To all,", "To those who read,"), naming=("We name what was asked:",), naming_for_others=("We name those for whom this was asked:",), ask=("Let it be heard.", "Let it be kept."), trust=("We rely on what we have read.",), close=("So be it.",),
+    extensions=tuple(f"Let us keep what was given to us, and let us pass it on to those who come after us in the {x}." for x in ("morning", "evening", "summer", "winter")), ask_by_label={"de": ("Let the words stand.",)},
+)
+
+
+@query()
+def q51_suggest(spark, d):
+    """The whole answer to each benchmark text as a request, one row per suggestion; requests that abstain have none."""
+    docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("title"), "text", F.array("lang").alias("labels"), F.lit("compose").alias("policy"))
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    out = P.suggest(asked, docs, L.postings(docs, {"title": 2, "text": 1}), _BANK, _CATEGORIES, _THEMES)
+    each = out.select("query_id", "status", F.explode("suggestions").alias("s"))
+    return each.select("query_id", "status", F.col("s.rank"), F.col("s.doc_id"), F.col("s.score"), F.array_join("s.matched_on", "|").alias("matched_on"), F.col("s.spoken"), F.col("s.word_count").cast("long").alias("word_count"))
+
+
+@query("""SELECT n_nationkey AS chapter, o_orderpriority AS topic, count(DISTINCT o_custkey) FILTER (WHERE o_orderstatus = 'F') AS n_items,
+ count(DISTINCT o_orderstatus) FILTER (WHERE o_orderstatus <> 'F') AS n_children FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL""")
+def q52_topic_tree(spark, d):
+    """Orders as a tree of nations, priorities and states; state F stands for the topic itself."""
+    orders = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    sub = F.when(F.col("o_orderstatus") != "F", F.col("o_orderstatus"))
+    items = orders.select(F.col("c_nationkey").alias("chapter"), F.col("o_orderpriority").alias("topic"), sub.alias("subtopic"), F.col("o_orderkey").alias("seq"), F.col("o_custkey").alias("item_id"))
+    nodes = items.select("chapter", "topic", "subtopic").union(items.select("chapter", "topic", F.lit(None).cast("string"))).distinct()
+    topics = nodes.withColumn("seq", F.concat_ws("|", "topic", "subtopic"))
+    each = D.topic_tree(topics, items).select("chapter", F.explode("topics").alias("t"))
+    return each.select("chapter", "t.topic", F.size("t.items").cast("long").alias("n_items"), F.size("t.children").cast("long").alias("n_children"))
+
+
+@query("""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '\\(([A-Za-z ]+)\\)', 1)) AS inner_text FROM documents)
+SELECT doc_id, CASE WHEN lower(trim(inner_text)) LIKE '%previously quoted%' THEN 'previously_quoted' WHEN lower(trim(inner_text)) LIKE '%as above%' OR lower(trim(inner_text)) LIKE 'as %' THEN 'as_above' WHEN lower(trim(inner_text)) LIKE 'see%' THEN 'see_topic' ELSE 'editorial_summary' END AS kind, count(*) AS n FROM t GROUP BY ALL""")
+def q53_back_reference_kinds(spark, d):
+    notes = table(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"\(([A-Za-z ]+)\)"), F.lit(1))).alias("inner"))
+    return notes.withColumn("kind", D.back_reference_kind(F.col("inner"))).groupBy("doc_id", "kind").agg(F.count("*").alias("n"))

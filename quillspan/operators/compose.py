@@ -18,8 +18,11 @@ from quillspan.functions.text import ngrams, words
 MOVEMENTS = ("address", "anchor", "naming", "ask", "trust", "close")
 LOW, HIGH = 60, 180
 
-_COARSE, _FINE = re.compile(r"[.!?;:]"), re.compile("[.!?;:,—]")
-_YOU, _WE, _TOLD = (re.compile(p, re.I) for p in (r"\b(?:you|your|thee|thou|thy)\b", r"\b(?:i|me|my|we|us|our)\b", r"\b(?:said|went|came|saw|answered)\b"))
+#: Ends of clauses (a sentence's, then also a phrase's) and words that mark speech to persons, of persons, and narration.
+_COARSE, _FINE = re.compile(r"[.!?;:]['’”]?\s+|\n"), re.compile(r"[.!?;:,—]['’”]?\s+|\n")
+_YOU = re.compile(r"\b(?:you|your|yours|thee|thy)\b", re.I)
+_WE = re.compile(r"\b(?:i|me|my|mine|we|us|our)\b", re.I)
+_TOLD = re.compile(r"\b(?:said|says|saying|prayed|vowed|answered|cried out|spoke|replied|stood|knelt|lifted up (?:his|her|their)|these words)\b", re.I)
 
 
 def window_score(n: int, you: int, we: int, told: bool, overlap: int, aim: int = 24) -> float:
@@ -39,7 +42,7 @@ def _clauses(text: str, start: int, end: int, cut: re.Pattern) -> list[tuple[int
 
 def speech(text: str) -> tuple[int, int]:
     a, b = text.find("“"), text.rfind("”")
-    return (a + 1, b) if 0 <= a < b else (0, len(text))
+    return (0, len(text)) if a < 0 else (a + 1, b if b > a else len(text))
 
 
 def choose_anchor(text: str, wanted: set[str], low: int = 8, high: int = 45, after: int = 0) -> tuple[int, int] | None:

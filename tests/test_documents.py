@@ -1,0 +1,125 @@
+"""Books in Markdown and XML, each fixture with malformed entries."""
+
+import zipfile
+
+import pytest
+from pyspark.sql import functions as F
+
+from quillspan.functions import refs as R
+from quillspan.operators import documents as D
+from quillspan.operators import ordered as O
+from quillspan.sources import edition
+
+BOOKS = R.Books({"ge": "Gen", "genesis": "Gen", "mt": "Matt", "mk": "Mark", "sus": "Sus", "jude": "Jude", "hebrews": "Heb"}, {"Gen": 50, "Matt": 28, "Mark": 16, "Sus": None, "Jude": 1, "Heb": 13})
+
+
+@pytest.mark.parametrize(
+    ("raw", "want"),
+    [
+        ("Ge 32:9-12", [("Gen", 32, 9, 32, 12, False)]),
+        ("Ge 2:11-3:8", [("Gen", 2, 11, 3, 8, False)]),
+        ("Sus 42-43", [("Sus", 1, 42, 1, 43, True)]),
+        ("Mt 26:39, Mk 14:36, and Ge 1:1", [("Matt", 26, 39, 26, 39, False), ("Mark", 14, 36, 14, 36, False), ("Gen", 1, 1, 1, 1, False)]),
+        ("Ge 51:1", None),
+        ("Ge 3:9-2", None),
+        ("Xx 1:1", None),
+        ("Ge 1:x", None),
+        ("", None),
+    ],
+)
+def test_lists(raw, want):
+    rows, problem = D.listed(raw, BOOKS)
+    assert (problem is None) == (want is not None) and [r[:6] for r in rows] == (want or [])
+
+
+BOOK = """# Title
+- **Lament**: the “cry” of one
+
+### Before any canon
+## Old Testament
+### A Prayer
+*Ge 32:9-12 records a [solitary](#solitary) prayer by Jacob and Esau to God. The prayer was in Canaan, the fords, and Jordan.*
+
+**Content:** [Petition](#petition), [Lament](#lament)
+
+**Related:**
+- One
+- Two
+### A Prayer
+*Mk 1:1 records an [open](#open) prayer by the people to God.*
+**Content:** [Praise](#praise)
+### No Descriptor
+text
+### Bad Reference
+*Ge 99:1 records a [solitary](#solitary) prayer by A to B.*
+**Content:** [Praise](#praise)
+### Bad Tail
+*Ge 9:1 records a [solitary](#solitary) prayer by A to B. It was late.*
+**Content:** [Praise](#praise)
+### No Content
+*Ge 9:1 records a [solitary](#solitary) prayer by A to B.*
+## Appendix
+### Outside
+*Ge 9:1 records a [solitary](#solitary) prayer by A to B.*
+**Content:** [Praise](#praise)"""
+
+
+def test_entries(spark):
+    docs = spark.createDataFrame([(1, BOOK), (2, ""), (3, None)], "doc_id long, text string")
+    rows = D.entries(docs, BOOKS, {"Old Testament": "OT"}, "src", groups=("the people",)).orderBy("line").collect()
+    assert [(r.title, r.id, r.slug) for r in rows] == [("A Prayer", "src.0001", "a-prayer"), ("A Prayer", "src.0002", "a-prayer-1"), ("No Descriptor", None, None), ("Bad Reference", None, None), ("Bad Tail", None, None), ("No Content", None, None)]
+    a, b = rows[:2]
+    assert a.speakers == ["Jacob", "Esau"] and a.places == ["Canaan", "the fords", "Jordan"] and a.contents == ["petition", "lament"] and a.related == ["One", "Two"]
+    assert (a.context, a.addressee, a.verse_count, a.canon, a.line, a.collective) == ("solitary", "God", 4, "OT", 6, False)
+    assert b.collective and b.places == [] and b.related == [] and b.verse_count == 1
+    assert [r.problem.split(":")[0] for r in rows[2:]] == ["no descriptor", "chapter out of range", "unrecognised tail", "no content line"]
+    assert [(r.label, r.definition) for r in D.vocabulary(docs, "# Title").collect()] == [("lament", 'the "cry" of one')]
+
+
+def test_bodies(spark):
+    lines = ["Prose.", "", "1. First", "> In the beginning", "> — Genesis 1:1; see 2:3; Hebrews 11:5, 6", "> A line", "> another", "> — D. W. L.", "<!-- seen", "through -->", "> Odd", "> — Nowhere 3:4", "More prose."]
+    quotes, poetry, paragraphs, outline, notes, problems = D.split_body(lines, BOOKS)
+    assert paragraphs == ["Prose.", "More prose."] and outline == [(1, "First")] and notes == ["<!-- seen through -->"]
+    assert len(poetry) + len(quotes) == 2 and poetry[-1][3] == "Nowhere 3:4" and len(problems) == 1
+    row = spark.createDataFrame([(lines[:6], "Gen"), ([], None), (None, None)], "l array<string>, b string").select(D.body_parser(BOOKS)("l", "b").alias("x")).collect()
+    assert row[0].x.quotes[0].refs == ["Gen.1.1", "Gen.2.3", "Heb.11.5", "Heb.11.6"] and row[2].x.paragraphs == []
+
+
+def test_roles():
+    rows, problems = D.with_roles("Genesis 5:21-24; Hebrews 11:5, 6; Jude 14; see 3; cf. Genesis x", BOOKS)
+    assert [(r[0], r[5]) for r in rows] == [("Gen", "primary"), ("Heb", "parallel"), ("Heb", "parallel"), ("Jude", "parallel"), ("Jude", "see_also")] and len(problems) == 1
+    assert D.with_roles("Genesis 4:1, 5:2", BOOKS) == ([], ["not a reference: Genesis 4:1, 5:2"]) and D.with_roles("4:26", BOOKS, "Gen")[0][0][:5] == ("Gen", 4, 26, 4, 26)
+
+
+def test_contents_lint_and_kinds(spark):
+    docs = spark.createDataFrame([(1, "- [Abel](#abel) — 12\nx <!-- ref: Genesis 4:1; Nowhere 2 --> <!-- ref: Ge 60 -->")], "doc_id long, text string")
+    toc = D.printed_contents(O.lines_of(docs)).first()
+    assert (toc.label, toc.anchor, toc.page, toc.line) == ("Abel", "abel", 12, 1)
+    assert [(r.seq, r.problem is None) for r in D.checked_references(docs, BOOKS).orderBy("seq").collect()] == [(1, True), (2, False), (3, False)]
+    tails = spark.createDataFrame([("— text",), ("*(as above)*",), ("",), ("odd",)], "t string")
+    assert [r[0] for r in tails.select(D.citation_source(F.col("t"))).collect()] == ["inline", "back_reference", "none", "other"]
+
+
+def test_topic_tree(spark):
+    topics = spark.createDataFrame([(1, 1, "a", None), (1, 2, "a", "x"), (1, 3, "b", None), (2, 1, "a", None)], "chapter int, seq int, topic string, subtopic string")
+    items = spark.createDataFrame([(1, "a", None, 1, "p"), (1, "a", None, 2, "q"), (1, "a", None, 3, "p"), (1, "a", "x", 4, "r")], "chapter int, topic string, subtopic string, seq int, item_id string")
+    tree = {r.chapter: r.topics for r in D.topic_tree(topics, items).collect()}
+    assert [(t.topic, t["items"], [(c.subtopic, c["items"]) for c in t.children]) for t in tree[1]] == [("a", ["p", "q"], [("x", ["r"])]), ("b", [], [])]
+    assert tree[2][0]["items"] == [] and tree[2][0].children == []
+
+
+XML = """<usfx><book id="PSA"><h>Psalms</h><c id="3"/><d>A psalm <f>a note</f>of David.</d><q><v id="1"/>Lord, how <f><ft>note</ft></f>many
+ are</q><q>my foes!<ve/></q><q><v id="2-3"/>Many say<ve/> stray</q><q><v id="4"/><ve/></q></book><book id="GEN"><c id="1"/><p><v id="1"/>In the beginning.</p></book></usfx>"""
+
+
+def test_edition(spark, tmp_path):
+    for name, member in (("a.zip", "eng_usfx.xml"), ("b.zip", "readme.txt")):
+        with zipfile.ZipFile(tmp_path / name, "w") as z:
+            z.writestr(member, XML)
+    rows = edition.read_edition_archive(spark, str(tmp_path / "*.zip")).orderBy("seq").collect()
+    assert [(r.book, r.chapter, r.lo, r.hi, r.kind, r.lines) for r in rows] == [
+        ("PSA", 3, 0, 0, "superscription", ["A psalm of David."]),
+        ("PSA", 3, 1, 1, "verse", ["Lord, how many are", "my foes!"]),
+        ("PSA", 3, 2, 3, "verse", ["Many say"]),
+        ("GEN", 1, 1, 1, "verse", ["In the beginning."]),
+    ]
