@@ -1,7 +1,7 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming search, exact verification.
 
-For each benchmark item of L words, the windows of L words of a document have a 64-bit SimHash of their 5-word
-shingles, read off prefix sums. Fingerprints of items are indexed by (L, block, value) for 8 blocks of 8 bits, each under every value
+For each benchmark item of L words, the windows of L words of a document (a shorter document is one window) have a
+64-bit SimHash of their 5-word shingles, read off prefix sums. Fingerprints of items are indexed by (L, block, value) for 8 blocks of 8 bits, each under every value
 within 2 bits: by the pigeonhole principle a lookup of a window's 8 blocks meets every fingerprint within
 RADIUS = 8 * 3 - 1 = 23 bits. Those are verified exactly: the shingles' multiset similarity (sum of least counts over sum of
 greatest) must be 75 % or more. Such windows have a mean distance under 11.5 bits (deviation 3.1) from their item, so one is lost with a chance of
@@ -97,13 +97,16 @@ class Index:
         full, _, _ = K.shingles(hashes, np.array([0, len(hashes)]), self.shingle, short=False)
         full_hits, full_sums = self.has(full), None
         for size in self.lengths:
-            if len(hashes) < size:
+            held = min(size, len(hashes))  # a document shorter than the item is one window
+            if held < min(size, self.shingle):
                 break
             if size < self.shingle:  # an item shorter than a shingle is its whole sequence
                 found, windows = _short(hashes, size), 1
                 hits = self.has(found)
             else:
-                found, windows, hits = full, size - self.shingle + 1, full_hits
+                found, windows, hits = full, held - self.shingle + 1, full_hits
+                if 100 * windows < percent * (size - self.shingle + 1):
+                    break
             if not len(hits):
                 continue
             last = len(found) - windows
@@ -147,7 +150,7 @@ def _short(hashes: np.ndarray, size: int) -> np.ndarray:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(id_col, item_id, similarity, start_word, n_words): the best window of each document for each item that it holds.
 
-    Words are lower-cased for A-Z. Of equally similar windows the first counts; start_word counts from 0. Items with the
+    Words are lower-cased for A-Z. Of equally similar windows the first counts; start_word counts from 0, n_words is the window's length. Items with the
     same text are separate items. Null, empty and wordless texts and items hold and match nothing; an item shorter than a shingle matches where its whole sequence stands.
     Repeated rows of docs give repeated rows. Only the named columns are read.
     """
@@ -198,7 +201,7 @@ def _searcher(shared, shingle: int, percent: int, item_type: pa.DataType):
                     todo = np.unique(np.searchsorted(begin, index.has(found), "right") - 1)
                 for r in todo:
                     for item, (value, s) in sorted(index.matches(hashes[at[r] : at[r + 1]], percent).items()):
-                        rows.append((index.ids[item], value, s, index.size[item]))
+                        rows.append((index.ids[item], value, s, min(index.size[item], int(at[r + 1] - at[r]))))
                         at_rows.append(i + int(r))
             if rows:
                 item, value, start, size = zip(*rows, strict=True)

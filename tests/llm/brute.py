@@ -39,7 +39,7 @@ def leaks(docs, items):
     for d, text in docs:
         w = words(text)
         for item, t in items:
-            n = len(words(t))
+            n = min(len(words(t)), len(w))
             goal = Counter(shingles(t))
             best = (0.0, None)
             for s in range(len(w) - n + 1) if n else ():
