@@ -512,8 +512,10 @@ def q52_topic_tree(spark, d):
     return each.select("chapter", "t.topic", F.size("t.items").cast("long").alias("n_items"), F.size("t.children").cast("long").alias("n_children"))
 
 
-@query("""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '\\(([A-Za-z ]+)\\)', 1)) AS inner_text FROM documents)
-SELECT doc_id, CASE WHEN lower(trim(inner_text)) LIKE '%previously quoted%' THEN 'previously_quoted' WHEN lower(trim(inner_text)) LIKE '%as above%' OR lower(trim(inner_text)) LIKE 'as %' THEN 'as_above' WHEN lower(trim(inner_text)) LIKE 'see%' THEN 'see_topic' ELSE 'editorial_summary' END AS kind, count(*) AS n FROM t GROUP BY ALL""")
+@query("""SELECT event_type, CASE event_id % 4 WHEN 0 THEN 'previously_quoted' WHEN 1 THEN 'as_above' WHEN 2 THEN 'see_topic' ELSE 'editorial_summary' END AS kind, count(*) AS n FROM events GROUP BY ALL""")
 def q53_back_reference_kinds(spark, d):
-    notes = table(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"\(([A-Za-z ]+)\)"), F.lit(1))).alias("inner"))
-    return notes.withColumn("kind", D.back_reference_kind(F.col("inner"))).groupBy("doc_id", "kind").agg(F.count("*").alias("n"))
+    """Notes made of events, told apart again."""
+    turn, kind = F.col("event_id") % 4, F.col("event_type")
+    note = F.when(turn == 0, F.concat(F.lit("as previously quoted under "), kind)).when(turn == 1, F.concat(F.lit("As "), kind)).when(turn == 2, F.concat(F.lit("See "), kind)).otherwise(kind)
+    notes = table(spark, d, "events").select("event_type", D.back_reference_kind(note).alias("kind"))
+    return notes.groupBy("event_type", "kind").agg(F.count("*").alias("n"))
