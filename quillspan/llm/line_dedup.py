@@ -21,21 +21,22 @@ def _has_word(line: Column) -> Column:
     return F.trim(F.translate(line, "\t\x0b\x0c\r", "    ")) != ""
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, short: bool = False) -> DataFrame:
     """One row per row of docs: id_col, n_lines, n_removed (long) and text without later copies of repeated windows.
 
     Lines are split at \\n and compared whole, case and spaces included. Lines without a word are skipped when
     windows are formed, so blank lines neither make nor break one; those inside a removed run go with it. The first occurrence by
     (id, row, line) stays, ids that are null first; rows of one id go in input order. A document of fewer than three lines with words
-    has no window and stays as it is. Every removed line has an equal line before it that is kept. A null text has 0 lines and stays null.
+    has no window and stays as it is; with short its whole sequence of these lines is one window, equal only to that of another such document. Every removed line has an equal line before it that is kept. A null text has 0 lines and stays null.
     Other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "line-dedup")
     base = scratch.write(row_ids(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))), "docs")
     lines = F.split(F.col("text"), "\n", -1)
     filled = F.transform(F.filter(lines, _has_word), lambda x: F.struct(F.xxhash64(x).alias("h"), F.xxhash64(F.lit(1), x).alias("g")))
-    hashed = base.select("id", "rid", filled.alias("s")).where(F.size("s") >= window)
-    at = F.sequence(F.lit(0), F.size("s") - window)
+    hashed = base.select("id", "rid", filled.alias("s")).where(F.size("s") >= (1 if short else window))
+    # get() beyond the end gives nulls, which a hash skips
+    at = F.sequence(F.lit(0), F.greatest(F.size("s") - window, F.lit(0)) if short else F.size("s") - window)
     both = F.transform(at, lambda i: F.struct(i.alias("pos"), F.xxhash64(*(F.get("s", i + k).h for k in range(window))).alias("h"), F.xxhash64(*(F.get("s", i + k).g for k in range(window))).alias("g")))
     windows = scratch.write(hashed.select("id", "rid", F.inline(both)), "windows")
 
@@ -53,6 +54,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     full = F.filter(F.transform("lines", lambda x, i: F.when(_has_word(x), i)), lambda i: i.isNotNull())
     cut = F.col("begin").isNotNull()
     joined = joined.withColumn("full", F.when(cut, full))
+    if short:
+        joined = joined.withColumn("end", F.transform("end", lambda x: F.least(x, F.size("full") - 1)))
 
     def between(k: Column) -> Column:
         since = F.when(k == 0, 0).otherwise(F.get("full", F.get("end", k - 1)) + 1)

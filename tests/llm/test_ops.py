@@ -67,6 +67,14 @@ def test_line_dedup_odd_rows(odd, empty):
     assert all(r.text is None for r in rows if r.doc_id == 3) and dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_of_short_documents(spark):
+    texts = ["a b\nc d", "\na b\n \nc d\n", "a b", "a b", "a b\nc d\ne f", "a b\nc d\ne f", "", None, "c d\na b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.text) for r in dedup_lines(docs, short=True).collect()}
+    want = {0: (0, texts[0]), 1: (2, "\n"), 2: (0, "a b"), 3: (1, ""), 4: (0, texts[4]), 5: (3, ""), 6: (0, ""), 7: (0, None), 8: (0, texts[8])}
+    assert got == want
+
+
 # 3 decontamination
 
 
