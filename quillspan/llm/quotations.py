@@ -3,7 +3,8 @@
 A line that begins with quote marks (``>``, any number, spaces between allowed) has that many levels. Runs of
 lines of one level are passages. Passages of level 0 are a message's own words; the others quote. Normalised
 passages are compared by 128-bit hashes. The original of a passage is the earliest message of the scope that holds it as its own,
-found by a grouped minimum, so a passage that thousands quote or repeat is never paired out.
+found by a grouped minimum, so a passage that thousands quote or repeat is never paired out. Parts of longer messages are found by
+the first ANCHOR words of the quotes: each place where these stand gives one window for each length of such quotes.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from quillspan.llm.ranked import ranked, row_ids
 from quillspan.plans.scratch import Scratch
 
 MARKS = r"^[ \t]*((?:>[ \t]*)+)"
+#: A quote of so many words is found anywhere in a message, a shorter one as whole lines only.
+ANCHOR = 5
 
 
 def _normal(text: Column) -> Column:
@@ -22,6 +25,21 @@ def _normal(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[\x20\x09-\x0D]+", " "))
 
 
+def _hashes(text: Column) -> list[Column]:
+    return [F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("g")]
+
+
+def _line_pieces(passage: Column) -> Column:
+    """The passage, its lines, and its runs of lines with fewer than ANCHOR words together; normalised."""
+    lines = F.filter(F.transform(F.split(passage, "\n", -1), _normal), lambda x: x != "")
+
+    def runs(r: int) -> Column:
+        every = F.transform(F.sequence(F.lit(0), F.size(lines) - r), lambda i: F.array_join(F.slice(lines, i + 1, r), " "))
+        return F.when(F.size(lines) >= r, F.filter(every, lambda x: F.size(F.split(x, " ")) < ANCHOR)).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.concat(F.array(_normal(passage)), lines, *map(runs, range(2, ANCHOR))))
+
+
 def passages(messages: DataFrame, text: str) -> DataFrame:
     """messages with (level, part, passage): one row a run of lines of one level with a word in it."""
     parsed = F.transform(F.split(text, "\n", -1), lambda x: F.struct(F.length(F.regexp_replace(F.regexp_extract(x, MARKS, 1), r"[^>]", "")).alias("level"), F.regexp_replace(x, MARKS, "").alias("line")))
@@ -46,20 +64,32 @@ def link_quotations(messages: DataFrame, scope: str = "conv_id", order: str = "t
     Returns scope, order, role_col, n_quotes (quoted passages of the message), parent (the order value of the message it
     answers, null if none), depth (levels of the deepest quote) and position (long, from 0 in the scope; a
     message follows the one it answers), text (own words). The message answered is the latest original among those of its quotes of the least level that
-    are linked; an original comes strictly before, by order. A passage of level n is matched with the own words of a message as a whole
-    passage, or as one line of it. Null scopes are one scope; messages without order come first and
+    are linked; an original comes strictly before, by order. A passage of level n is matched, whatever its line ends, with a whole
+    passage of a message's own words, with one or more whole lines of it, or, if it has ANCHOR words or more, with any run of words in it. Null scopes are one scope; messages without order come first and
     are no originals; messages of one order are none for each other and keep input order. Null or empty texts quote nothing.
     """
     scratch = Scratch(messages.sparkSession, "quotes")
     base = scratch.write(row_ids(messages.select(F.col(scope).alias("scope"), F.col(order).cast("long").alias("at"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))), "messages")
     found = passages(base, "text")
     normal = _normal(F.col("passage"))
-    keyed = scratch.write(found.select("scope", "at", "rid", "level", normal.alias("p")).select("*", F.xxhash64("p").alias("h"), F.xxhash64(F.lit(1), "p").alias("g")).drop("p"), "passages")
-    quotes = keyed.where("level > 0")
+    words = F.split(normal, " ")
+    start = F.xxhash64(F.array_join(F.slice(words, 1, ANCHOR), " "))
+    quotes = found.where("level > 0").select("scope", "at", "rid", "level", F.size(words).alias("n"), start.alias("start"), *_hashes(normal))
+    quotes = scratch.write(quotes, "passages")
     scopes = scratch.write(quotes.select("scope").distinct(), "quoting")
-    parts = found.where("level = 0").join(scopes.withColumnRenamed("scope", "_s"), F.col("scope").eqNullSafe(F.col("_s")), "left_semi")
-    pieces = parts.select("scope", "at", F.explode(F.array_distinct(F.concat(F.array(normal), F.transform(F.split("passage", "\n", -1), _normal)))).alias("p")).where("p <> '' and at is not null")
-    firsts = pieces.groupBy("scope", F.xxhash64("p").alias("h"), F.xxhash64(F.lit(1), "p").alias("g")).agg(F.min("at").alias("first"))
+    parts = found.where("level = 0 and at is not null").join(scopes.withColumnRenamed("scope", "_s"), F.col("scope").eqNullSafe(F.col("_s")), "left_semi")
+    pieces = parts.select("scope", "at", F.explode(_line_pieces(F.col("passage"))).alias("p"))
+    # quotes of ANCHOR words or more: places of their first words, then windows of their lengths
+    anchors = quotes.where(F.col("n") >= ANCHOR).groupBy(F.col("scope").alias("_s"), F.col("start").alias("_k")).agg(F.collect_set("n").alias("lengths"))
+    anchors = scratch.write(anchors, "anchors")
+    split = parts.select("scope", "at", "rid", "part", words.alias("w")).where(F.size("w") >= ANCHOR)
+    keys = F.transform(F.sequence(F.lit(0), F.size("w") - ANCHOR), lambda i: F.xxhash64(F.array_join(F.slice("w", i + 1, ANCHOR), " ")))
+    places = split.select("scope", "rid", "part", F.posexplode(keys).alias("pos", "k"))
+    hits = places.join(anchors, (F.col("k") == F.col("_k")) & F.col("scope").eqNullSafe(F.col("_s")))
+    hits = scratch.write(hits.select("rid", "part", "pos", F.explode("lengths").alias("n")), "places")
+    windows = split.join(hits, ["rid", "part"]).where("pos + n <= size(w)")
+    pieces = pieces.unionByName(windows.select("scope", "at", F.array_join(F.slice("w", F.col("pos") + 1, F.col("n")), " ").alias("p")))
+    firsts = pieces.groupBy("scope", *_hashes(F.col("p"))).agg(F.min("at").alias("first"))
     firsts = scratch.write(firsts.withColumnRenamed("scope", "_s"), "originals")
     linked = quotes.join(firsts, ["h", "g"]).where(F.col("scope").eqNullSafe(F.col("_s")) & (F.col("first") < F.col("at")))
     best = linked.groupBy("rid").agg(F.max(F.struct((-F.col("level")).alias("near"), F.col("first"))).getField("first").alias("parent"))

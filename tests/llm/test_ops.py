@@ -278,6 +278,29 @@ def test_quotations(spark, odd):
     assert link_quotations(out.select("conv_id", "turn", "role", "text").limit(0)).count() == 0
 
 
+def test_partial_and_wrapped_quotations(spark):
+    whole = "First of all, hello there.\nHow are you?\n\nThe second paragraph has many\nwords on each of its lines\nand ends here.\n\nyes\nno\nBye for now."
+    quotes = [
+        "> The second paragraph has many\n> words on each of its lines\n> and ends here.",  # a paragraph
+        "> words on each of its lines\n> and ends here.",  # two lines
+        "> The second paragraph has many words on\n> each of its lines and ends here.",  # wrapped anew
+        "> paragraph has many words on each",  # inside of lines
+        "> yes\n> no",  # short lines
+        "> How are you?\n>\n> The second paragraph has many",  # over a blank line
+        "> The second paragraph has many others",  # not there
+        "> are you",  # short and no whole line
+        "> and ends here. yes yes",
+    ]
+    rows = [(1, 0, "user", "Another thing to say here first."), (1, 1, "user", whole), (1, 2, "user", whole + "\nmore")]
+    rows += [(1, 3 + k, "assistant", q + "\nFine.") for k, q in enumerate(quotes)]
+    rows += [(None, t, r, x) for _, t, r, x in rows] + [(2, 9, "user", quotes[0])]
+    out = link_quotations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = {(r.conv_id, r.turn): r.parent for r in out.collect()}
+    for c in (1, None):
+        assert [got[c, 3 + k] for k in range(len(quotes))] == [1] * 6 + [None] * 3
+    assert got[2, 9] is None and len(got) == len(rows)
+
+
 # 9 mixing
 
 
