@@ -62,8 +62,8 @@ def link_quotations(messages: DataFrame, scope: str = "conv_id", order: str = "t
     """Reply-ordered conversations without quotes, one row per message.
 
     Returns scope, order, role_col, n_quotes (quoted passages of the message), parent (the order value of the message it
-    answers, null if none), depth (levels of the deepest quote) and position (long, from 0 in the scope; a
-    message follows the one it answers), text (own words). The message answered is the latest original among those of its quotes of the least level that
+    answers, null if none), depth (levels of the deepest quote) and position (long, from 0 in the scope, by order alone; a
+    message follows the one it answers, branches stay interleaved), text (own words). The message answered is the latest original among those of its quotes of the least level that
     are linked; an original comes strictly before, by order. A passage of level n is matched, whatever its line ends, with a whole
     passage of a message's own words, with one or more whole lines of it, or, if it has ANCHOR words or more, with any run of words in it. Null scopes are one scope; messages without order come first and
     are no originals; messages of one order are none for each other and keep input order. Null or empty texts quote nothing.
