@@ -1,7 +1,8 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming search, exact verification.
 
 For each benchmark item of L words, the windows of L words of a document (a shorter document is one window) have a
-64-bit SimHash of their 5-word shingles, read off prefix sums. Fingerprints of items are indexed by (L, block, value) for 8 blocks of 8 bits, each under every value
+64-bit SimHash of their 5-word shingles, read off prefix sums. The nth occurrence of a shingle in a window is an element of its own
+there, so that fingerprints follow the similarity of multisets and no repeated shingle outweighs the rest. Fingerprints of items are indexed by (L, block, value) for 8 blocks of 8 bits, each under every value
 within 2 bits: by the pigeonhole principle a lookup of a window's 8 blocks meets every fingerprint within
 RADIUS = 8 * 3 - 1 = 23 bits. Those are verified exactly: the shingles' multiset similarity (sum of least counts over sum of
 greatest) must be 75 % or more. Such windows have a mean distance under 11.5 bits (deviation 3.1) from their item, so one is lost with a chance of
@@ -42,6 +43,58 @@ def _sign_sums(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
+def _places(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by value and place, the place of each shingle in this order, and the first place there of its value."""
+    order = np.argsort(shingles, kind="stable")
+    each = np.arange(len(order))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = shingles[order[1:]] != shingles[order[:-1]]
+    at, first = np.empty_like(each), np.empty_like(each)
+    at[order] = each
+    first[order] = np.maximum.accumulate(np.where(fresh, each, 0))
+    return order, at, first
+
+
+def _nth(shingles: np.ndarray, nth: np.ndarray) -> np.ndarray:
+    """The element that the nth occurrence (from 0) of each shingle is; the first one is the shingle."""
+    return np.where(nth == 0, shingles, K.mix(shingles + nth.astype(np.uint64) * K.U(0x9E3779B97F4A7C15)))
+
+
+def fingerprint(shingles: np.ndarray) -> int:
+    _, at, first = _places(shingles)
+    return int(_pack(_sign_sums(_nth(shingles, at - first))[-1:])[0])
+
+
+class _Repeats:
+    """What later occurrences in a window change in its sums of signs, which count each as a first one."""
+
+    def __init__(self, shingles: np.ndarray):
+        self.shingles = shingles
+        self.order, self.at, self.first = _places(shingles)
+        n = len(shingles)
+        self.key = self.first[self.order] * (n + 1) + self.order
+        self.where = np.flatnonzero(np.bincount(self.first, minlength=n)[self.first] > 1)
+
+    def changes(self, windows: int, starts: np.ndarray) -> np.ndarray | int:
+        """For windows of so many shingles that begin at starts."""
+        if not len(self.where):
+            return 0
+        y, n = self.where, len(self.shingles)
+        base = self.first[y] * (n + 1)
+        entry = np.maximum(y - windows + 1, 0)  # the first window that y is in
+        came = self.at[y] - np.searchsorted(self.key, base + entry)  # as its nth occurrence
+        went = np.searchsorted(self.key, base + np.minimum(y + windows, n)) - self.at[y] - 1  # leaving, it takes the last one along
+        begin, nth, sign = np.concatenate([entry, y + 1]), np.concatenate([came, went]), np.repeat([1, -1], len(y))
+        x = np.concatenate([self.shingles[y], self.shingles[y]])
+        some = np.flatnonzero(nth > 0)
+        some = some[np.argsort(begin[some], kind="stable")]
+        begin, nth, sign, x = begin[some], nth[some], sign[some], x[some]
+        bits = ((_nth(x, nth)[:, None] >> _SHIFTS) & K.U(1)).astype(np.int8) - ((x[:, None] >> _SHIFTS) & K.U(1)).astype(np.int8)
+        total = np.zeros((len(x) + 1, 64), np.int32)
+        np.cumsum(bits * (2 * sign[:, None]).astype(np.int8), axis=0, dtype=np.int32, out=total[1:])
+        return total[np.searchsorted(begin, starts, "right")]
+
+
 def _pack(sums: np.ndarray) -> np.ndarray:
     return ((sums > 0).astype(np.uint64) << _SHIFTS).sum(axis=1, dtype=np.uint64)
 
@@ -68,7 +121,7 @@ class Index:
                 self.size.append(size)
                 values, counts = np.unique(own, return_counts=True)
                 self.bags.append(dict(zip(values.tolist(), counts.tolist(), strict=True)))
-                mark = int(_pack(_sign_sums(own)[-1:])[0])
+                mark = fingerprint(own)
                 self.prints.append(mark)
                 for b in range(BLOCK_COUNT):
                     value = (mark >> (b * BLOCK_BITS)) & ((1 << BLOCK_BITS) - 1)
@@ -95,7 +148,7 @@ class Index:
         """Items that some window of one document reaches: the best similarity and its first window's first word."""
         best: dict[int, tuple[float, int]] = {}
         full, _, _ = K.shingles(hashes, np.array([0, len(hashes)]), self.shingle, short=False)
-        full_hits, full_sums = self.has(full), None
+        full_hits, full_sums, repeats = self.has(full), None, None
         for size in self.lengths:
             held = min(size, len(hashes))  # a document shorter than the item is one window
             if held < min(size, self.shingle):
@@ -115,13 +168,13 @@ class Index:
             np.add.at(wanted, np.minimum(hits, last) + 1, -1)
             starts = np.flatnonzero(np.cumsum(wanted[:-1]) > 0)
             if found is full and full_sums is None and len(full) <= 65536:
-                full_sums = _sign_sums(full)
+                full_sums, repeats = _sign_sums(full), _Repeats(full)
             for part in range(0, len(starts), 4096):
                 at = starts[part : part + 4096]
                 if found is full and full_sums is not None:
-                    marks = _pack(full_sums[at + windows] - full_sums[at])
+                    marks = _pack(full_sums[at + windows] - full_sums[at] + repeats.changes(windows, at))
                 else:
-                    marks = np.concatenate([_pack(_sign_sums(found[x : x + windows])[-1:]) for x in at])
+                    marks = np.array([fingerprint(found[x : x + windows]) for x in at], np.uint64)
                 for x, mark in zip(at.tolist(), marks.tolist(), strict=True):
                     for item in self.near(size, mark):
                         value = self._similarity(found[x : x + windows].tolist(), item)

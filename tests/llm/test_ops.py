@@ -107,6 +107,28 @@ def test_multi_index_meets_all_within_radius():
         assert index.near(16, mark) == {0}
 
 
+def test_leaks_with_a_run_of_one_shingle(spark):
+    rng = random.Random(8)
+    items, docs = [], []
+    for k in range(12):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(730)]
+        other = w[:-100] + ["-"] * 100  # similarity over 0.75
+        items.append((k, " ".join(other if k % 2 else w)))
+        docs.append((k, "before it. " + " ".join(w if k % 2 else other)))
+    got = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    found = {(r.doc_id, r.item_id): (r.similarity, r.start_word) for r in got.collect()}
+    assert found == {k: (pytest.approx(v), s) for k, (v, s) in brute.leaks(docs, items).items()} and len(found) == 12
+
+
+def test_window_sums_count_occurrences():
+    rng = np.random.default_rng(3)
+    for n, kinds, windows in ((60, 4, 9), (60, 1, 20), (50, 1000, 7), (30, 3, 30), (40, 5, 1)):
+        x = rng.integers(0, 1 << 63, kinds, dtype=np.uint64)[rng.integers(0, kinds, n)]
+        sums, at = decontaminate._sign_sums(x), np.arange(n - windows + 1)
+        marks = decontaminate._pack(sums[at + windows] - sums[at] + decontaminate._Repeats(x).changes(windows, at))
+        assert marks.tolist() == [decontaminate.fingerprint(x[i : i + windows]) for i in at]
+
+
 def test_leaks_odd_rows(spark, odd, empty):
     items = spark.createDataFrame([(1, "The first line of it is here. The second line"), (2, None), (3, " ")], "item_id int, text string")
     assert sorted(str(r.doc_id) for r in decontaminate.find_leaks(odd, items).collect()) == ["1", "1", "2", "None"]
