@@ -14,6 +14,7 @@ from quillspan.llm.decontaminate import find_leaks
 from quillspan.llm.mixing import mix_documents
 from quillspan.llm.near_dup import near_dup_groups
 from quillspan.llm.quality_classifier import fit, held_out, score
+from quillspan.llm.ranked import row_ids
 from quillspan.llm.sharding import shard_documents
 from quillspan.plans.scratch import Scratch
 from quillspan.session import table
@@ -38,8 +39,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of the benchmark."""
-    leaks = Scratch(spark, "leaks").write(find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "ids")
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    scratch, items = Scratch(spark, "leaks"), table(spark, sf_dir, "benchmark")
+    leaks = scratch.write(find_leaks(docs, items).select("doc_id").distinct(), "ids")
+    kept = docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    if leaks.where("doc_id is null").isEmpty():
+        return kept
+    # a null meets nothing in a join: rows without an id go by a number of their own
+    rows = docs.where("doc_id is null").select("text", F.struct(*docs.columns).alias("row"))
+    rows = scratch.write(row_ids(rows, "_place"), "rows")
+    found = scratch.write(find_leaks(rows, items, id_col="_place").select("_place").distinct(), "places")
+    clean = rows.join(found, "_place", "left_anti").select("row.*")
+    return kept.where("doc_id is not null").unionByName(clean)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
