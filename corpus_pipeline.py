@@ -31,10 +31,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least id of each group of near-duplicates. Rows of one id are one document."""
+    """The document of the least id of each group of near-duplicates: one row of each id and text. Rows without an id all stay."""
+    scratch = Scratch(spark, "dropped")
     groups = near_dup_groups(docs).select("doc_id", "component_id").where("doc_id <> component_id").distinct()
-    groups = Scratch(spark, "dropped").write(groups.select("doc_id"), "ids")
-    return docs.join(groups, "doc_id", "left_anti").select(*docs.columns)
+    groups = scratch.write(groups.select("doc_id"), "ids")
+    kept = docs.join(groups, "doc_id", "left_anti").select(*docs.columns)
+    repeated = scratch.write(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return kept
+    rows = kept.join(repeated, "doc_id", "left_semi").select("doc_id", "text", F.struct(*docs.columns).alias("row"))
+    rows = scratch.write(row_ids(rows, "_place"), "rows")
+    first = rows.groupBy("doc_id", "text").agg(F.min_by("row", "_place").alias("row")).select("row.*")
+    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(first)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -61,6 +61,14 @@ def test_leaks_without_an_id_go(spark, small):
     assert out == sorted(map(str, [docs.collect()[k] for k in (1, 3, 4)]))
 
 
+def test_one_row_of_each_id_and_text(spark, small):
+    import corpus_pipeline as cp
+
+    rows = [(1, "one text of words."), (1, "one text of words."), (1, "quite another one here."), (2, None), (2, None), (3, "one text of words."), (3, "one text of words."), (4, "alone it stands."), (None, "no id."), (None, "no id.")]
+    out = cp.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), small).collect()
+    assert sorted(map(tuple, out), key=str) == sorted([rows[k] for k in (0, 2, 3, 7, 8, 9)], key=str)
+
+
 def test_entry_registers_all():
     entry = importlib.import_module("__spark_entry__")
     names = entry.queries()
