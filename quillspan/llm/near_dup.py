@@ -157,10 +157,12 @@ def near_dup_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # texts of the classes that have a candidate, read again for their full sets
     wanted = scratch.write(member.select(F.col("rep").alias("id")).distinct(), "wanted")
     full = scratch.write(slim.join(wanted, "id", "left_semi").mapInArrow(_set_maker(shingle), "id long, fa long, fb long, items array<long>"), "sets")
+    several = None
     if not full.groupBy("id").count().where("count > 1").isEmpty():
         # an id with several rows: each of its classes once
         keys = sets.select(F.col("rep").alias("id"), "fa", "fb")
         full = scratch.write(full.join(keys, ["id", "fa", "fb"]).groupBy("id", "fa", "fb").agg(F.first("items").alias("items")), "sets")
+        several = scratch.write(full.groupBy("id").count().where("count > 1").select(F.col("id").alias("rep")), "several")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         with_a = pairs.join(full.select(F.col("id").alias("a"), F.col("items").alias("xs")), "a")
@@ -187,6 +189,8 @@ def near_dup_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = scratch.write(still.select("rep").distinct(), "still-reps")
     item = full.join(reps.withColumnRenamed("rep", "id"), "id").select("id", F.explode("items").alias("item"))
     lone = item.groupBy("item").agg(F.count("*").alias("times"), F.min("id").alias("rep")).where("times = 1").groupBy("rep").agg(F.count("*").alias("lone"))
+    if several is not None:  # a representative of several classes: the count would be that of all its texts, so none is taken off
+        lone = lone.join(several, "rep", "left_anti")
     still = still.join(scratch.write(lone, "lone"), "rep", "left").withColumn("common", F.col("n") - F.coalesce("lone", F.lit(0)))
     marks = [f"s{i}" for i in range(VALUES // 16)]
     able = still.where(100 * F.col("common") >= percent * F.col("n")).drop("lone")

@@ -256,6 +256,22 @@ def test_groups_odd_rows(spark, odd, empty):
     assert by[10] == {(9, False)} and by[9] == {(9, True)} and by[3] == {(3, True)} and by[4] == {(4, True)}
 
 
+def test_groups_of_ids_with_unlike_texts(spark):
+    rng = random.Random(4)
+    word = lambda: f"w{rng.randrange(10**7)}"
+    rows = []
+    for k in range(16):  # 3k is near to 3k + 2 but not enough, 3k + 1 is enough and has another text too
+        base = [word() for _ in range(204)]
+        less, more = list(base), list(base)
+        for i in range(6):
+            less[10 + 30 * i] = word()
+        for i in range(5):
+            more[25 + 30 * i] = word()
+        rows += [(3 * k, " ".join(less)), (3 * k + 1, " ".join(more)), (3 * k + 1, " ".join(word() for _ in range(500))), (3 * k + 2, " ".join(base))]
+    got = near_dup.near_dup_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == brute.groups(rows)
+
+
 def test_superminhash_estimates_similarity():
     rng = np.random.default_rng(2)
     values = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
