@@ -10,13 +10,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm.decontaminate import find_leaks
+from quillspan.llm.decontaminate import drop_leaks
 from quillspan.llm.mixing import mix_documents
 from quillspan.llm.near_dup import near_dup_groups
 from quillspan.llm.quality_classifier import fit, held_out, score
 from quillspan.llm.ranked import row_ids
 from quillspan.llm.sharding import shard_documents
-from quillspan.plans.scratch import Scratch
+from quillspan.plans.scratch import Scratch, scratch_scope
 from quillspan.session import table
 
 #: SQL has no union-find, SuperMinHash, FTRL training or Newton steps; the stages are tested against brute force instead.
@@ -46,18 +46,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no passage of the benchmark."""
-    scratch, items = Scratch(spark, "leaks"), table(spark, sf_dir, "benchmark")
-    leaks = scratch.write(find_leaks(docs, items).select("doc_id").distinct(), "ids")
-    kept = docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
-    if leaks.where("doc_id is null").isEmpty():
-        return kept
-    # a null meets nothing in a join: rows without an id go by a number of their own
-    rows = docs.where("doc_id is null").select("text", F.struct(*docs.columns).alias("row"))
-    rows = scratch.write(row_ids(rows, "_place"), "rows")
-    found = scratch.write(find_leaks(rows, items, id_col="_place").select("_place").distinct(), "places")
-    clean = rows.join(found, "_place", "left_anti").select("row.*")
-    return kept.where("doc_id is not null").unionByName(clean)
+    """Documents that hold no passage of the benchmark; each row is judged by its own text, whatever its id."""
+    return drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -81,7 +71,11 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = scratch.write(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch_scope():  # what a stage wrote for itself goes when its rows are written
+            made = scratch.write(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before is not None:
+            scratch.drop(before)
+        docs = before = made
     return docs

@@ -52,13 +52,13 @@ def test_stages_take_odd_rows(spark, odd, empty, small):
         docs.count()
 
 
-def test_leaks_without_an_id_go(spark, small):
+def test_leaks_go_whatever_their_id(spark, small):
     import corpus_pipeline as cp
 
     item = table(spark, small, "benchmark").first().text
-    docs = spark.createDataFrame([(None, item), (None, "a clean text that stays here."), (1, item), (2, "another clean text."), (None, None)], "doc_id long, text string")
+    docs = spark.createDataFrame([(None, item), (None, "a clean text that stays here."), (1, item), (2, "another clean text."), (None, None), (1, "a clean text of an id that leaks.")], "doc_id long, text string")
     out = sorted(map(str, cp.decontaminated(spark, docs, small).collect()))
-    assert out == sorted(map(str, [docs.collect()[k] for k in (1, 3, 4)]))
+    assert out == sorted(map(str, [docs.collect()[k] for k in (1, 3, 4, 5)]))
 
 
 def test_one_row_of_each_id_and_text(spark, small):
