@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
 from quillspan.plans.scratch import Scratch
 
-_BITS = 33  # monotonically_increasing_id keeps the place in the partition in these low bits
+PLACE_BITS = 33  # monotonically_increasing_id keeps the place in the partition in these low bits
 
 
 def row_ids(df: DataFrame, name: str = "rid") -> DataFrame:
@@ -16,6 +17,22 @@ def row_ids(df: DataFrame, name: str = "rid") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """name, or the first of name_1, name_2 and so on that isn't taken in any case."""
+    used = {c.lower() for c in taken}
+    return next(n for n in (name, *(f"{name}_{i}" for i in range(1, len(used) + 2))) if n.lower() not in used)
+
+
+def is_integral(df: DataFrame, column: str) -> bool:
+    return isinstance(df.schema[column].dataType, T.IntegralType)
+
+
+def numbered(keys: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, number): the distinct values of the one column of keys in their order (strings by code point) as longs from 0; null has none."""
+    each = keys.toDF("key").where("key is not null").distinct().withColumn("_all", F.lit(0))
+    return scratch.write(ranked(each, ["_all"], [F.col("key")], scratch, "number").select("key", "number"), "numbers")
+
+
 def ranked(df: DataFrame, groups: list[str], order: list[Column], scratch: Scratch, name: str = "slot") -> DataFrame:
     """df with the row's place (from 0) in its group under order, which must be total within a group.
 
@@ -26,7 +43,7 @@ def ranked(df: DataFrame, groups: list[str], order: list[Column], scratch: Scrat
     keys = [F.col(c) for c in groups]
     dealt = df.repartitionByRange(parts, *keys, *order).sortWithinPartitions(*keys, *order)
     dealt = scratch.write(dealt.withColumn("_at", F.monotonically_increasing_id()), "ranked")
-    dealt = dealt.withColumn("_part", F.shiftright("_at", _BITS)).withColumn("_at", F.col("_at").bitwiseAND((1 << _BITS) - 1))
+    dealt = dealt.withColumn("_part", F.shiftright("_at", PLACE_BITS)).withColumn("_at", F.col("_at").bitwiseAND((1 << PLACE_BITS) - 1))
     runs = dealt.groupBy(*groups, "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_rows"))
     before = F.sum("_rows").over(W.partitionBy(*groups).orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
     runs = scratch.write(runs.withColumn("_before", F.coalesce(before, F.lit(0))), "runs").drop("_rows")

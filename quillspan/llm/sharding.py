@@ -3,7 +3,9 @@
 The key is a list of long columns compared in turn; the last makes it unique, so a key that holds a third of
 all rows is split like any other. A pass counts the bytes of at most PROBES equal cells of each open interval
 of the key space (partial sums in every task; the driver sees a bounded table of cells), then narrows each
-splitter to one cell. Passes read only the narrow key table. Rows move once, when the splitters are known.
+splitter to one cell. Passes read only the narrow key table. Shards are cut on into even parts in the same passes, whose
+splitters need only be near, so that no task sorts a whole shard. The splitters then are the partitioner of the one exchange of rows; a row's
+slot is its place in its sorted part plus the rows counted in the shard's earlier parts.
 """
 
 from __future__ import annotations
@@ -13,10 +15,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.ranked import ranked, row_ids
+from quillspan.llm.ranked import PLACE_BITS, free_name, is_integral, numbered, row_ids
 from quillspan.plans.scratch import Scratch
 
 PROBES = 1024
+#: How far the splitters inside a shard may be off, in sizes of a part.
+LOOSE = 0.5
 _LEAST = -(1 << 63)
 
 
@@ -31,18 +35,19 @@ class _Search:
     found: tuple[int, ...] | None = None
 
 
-def splitters(keys: DataFrame, levels: list[str], weight: str, shards: int, tolerance: float = 0.0) -> list[tuple[int, ...]]:
-    """shards - 1 least keys, in order: shard i takes the keys from splitter i - 1 on and below splitter i.
+def splitters(keys: DataFrame, levels: list[str], weight: str, shards: int, tolerance: float = 0.0, parts: int = 1) -> list[tuple[int, ...]]:
+    """shards * parts - 1 least keys, in order: part i takes the keys from splitter i - 1 on and below splitter i.
 
-    A splitter stands at the row boundary nearest to its share of the whole weight (the lower of two), or at the
-    first boundary met within tolerance * weight / shards of it. A key may be cut short; missing levels count as least.
+    The splitters between shards stand at the row boundary nearest to their share of the whole weight (the lower of two), or at the
+    first boundary met within tolerance * weight / shards of it; those inside a shard stand within LOOSE of a part's size. A key may be cut short;
+    missing levels count as least.
     """
     whole = keys.agg(F.sum(weight), F.min(levels[0]), F.max(levels[0])).first()
     total = whole[0] or 0
+    inner, shards = parts, shards * parts
     if not total:
         return [(_LEAST,)] * (shards - 1)
     goals = [_Search((), whole[1], whole[2] + 1, 0) for _ in range(shards - 1)]
-    slack = tolerance * total
     while True:
         open_ = list(dict.fromkeys((g.prefix, g.lo, g.hi) for g in goals if g.found is None))
         if not open_:
@@ -51,6 +56,7 @@ def splitters(keys: DataFrame, levels: list[str], weight: str, shards: int, tole
         for i, g in enumerate(goals, 1):
             if g.found is not None:
                 continue
+            slack = (LOOSE if i % inner else tolerance * inner) * total  # in weights times shards
             width = -((g.lo - g.hi) // PROBES)
             below, aim = g.below, total * i  # weights are compared times shards
             for cell, w, rows, first, last in cells[open_.index((g.prefix, g.lo, g.hi))]:
@@ -100,12 +106,17 @@ def _count(keys: DataFrame, levels: list[str], weight: str, open_: list[tuple])
 
 
 def shard_of(levels: list[str], bounds: list[tuple[int, ...]]) -> Column:
+    """The number of bounds that are not above the key, by a balanced tree of comparisons."""
     key = F.struct(*(F.col(c) for c in levels))
-    out = F.lit(0)
-    for b in bounds:
-        full = [*b, *[_LEAST] * (len(levels) - len(b))]
-        out = out + (key >= F.struct(*(F.lit(v).cast("long").alias(c) for c, v in zip(levels, full, strict=True)))).cast("int")
-    return out
+
+    def below(i: int, j: int) -> Column:
+        if i == j:
+            return F.lit(i)
+        m = (i + j) // 2
+        full = [*bounds[m], *[_LEAST] * (len(levels) - len(bounds[m]))]
+        return F.when(key < F.struct(*(F.lit(v).cast("long").alias(c) for c, v in zip(levels, full, strict=True))), below(i, m)).otherwise(below(m + 1, j))
+
+    return below(0, len(bounds))
 
 
 def shard_documents(docs: DataFrame, shards: int = 16, key_col: str = "doc_id", text_col: str = "text", tolerance: float = 0.0, carry: bool = False) -> DataFrame:
@@ -113,23 +124,36 @@ def shard_documents(docs: DataFrame, shards: int = 16, key_col: str = "doc_id",
 
     Returns one row per row of docs: key_col, size (UTF-8 bytes of the text, none for null, plus 1), text_crc32 (null for a
     null text), law ('bytes'), shard (from 0), slot (from 0 in each shard, in key order, without gaps) and grown_shard
-    (null: this law moves rows when shards are added). carry: all columns of docs, then shard and slot; the text then moves in
-    the one exchange. Rows without a key come first. Equal keys and whole repeated rows stay
-    separate rows in input order and may be split between shards. More shards than rows leave shards empty. Clashing
-    extra columns can't arise: without carry only key and text are read, and with it shard and slot of docs are replaced.
+    (null: this law moves rows when shards are added). carry: all columns of docs, then shard and slot, which are called shard_1 and so on where
+    docs has such a column; the text then moves in the one exchange. Keys are whole numbers, or anything that sorts (strings by code point).
+    Rows without a key come first. Equal keys and whole repeated rows stay
+    separate rows in input order and may be split between shards. More shards than rows leave shards empty. Other columns are not read without carry.
     """
-    scratch = Scratch(docs.sparkSession, "shards")
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "shards")
     size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 1
     levels = ["_has", "_key", "_rid"]
-    key = [F.col(key_col).isNotNull().cast("long").alias("_has"), F.coalesce(F.col(key_col).cast("long"), F.lit(0)).alias("_key"), size.alias("size")]
+    key = [F.col(key_col).isNotNull().cast("long").alias("_has"), F.col(key_col).alias("_key"), size.alias("size")]
     if carry:  # whole rows as one column, so that no name of theirs meets one of ours
-        base = docs.select(F.struct(*(F.col(c) for c in docs.columns if c not in ("shard", "slot"))).alias("row"), *key)
+        base = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("row"), *key)
     else:
-        base = docs.select(F.col(key_col), *key, F.crc32(F.col(text_col).cast("binary")).alias("text_crc32"))
+        base = docs.select(F.col(key_col).alias("_id"), *key, F.crc32(F.col(text_col).cast("binary")).alias("text_crc32"))
     base = scratch.write(row_ids(base, "_rid"), "keys")
-    bounds = splitters(base, levels, "size", shards, tolerance)
-    placed = base.withColumn("shard", shard_of(levels, bounds))
-    out = ranked(placed, ["shard"], [F.col(c) for c in levels], scratch)
+    if is_integral(docs, key_col):
+        base = base.withColumn("_key", F.coalesce(F.col("_key").cast("long"), F.lit(0)))
+    else:
+        named = base.join(numbered(base.select("_key"), scratch).withColumnRenamed("key", "_key"), "_key", "left")
+        base = scratch.write(named.withColumn("_key", F.coalesce("number", F.lit(0))).drop("number"), "numbered")
+
+    parts = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // shards)
+    bounds = splitters(base, levels, "size", shards, tolerance, parts)
+    placed = base.withColumn("_part", shard_of(levels, bounds))
+    rows = {r[0]: r[1] for r in placed.groupBy("_part").count().collect()}  # one row a part
+    before = [sum(rows.get(j, 0) for j in range(i - i % parts, i)) for i in range(shards * parts)]
+    dealt = placed.repartitionById(shards * parts, "_part").sortWithinPartitions(*levels)
+    at = F.monotonically_increasing_id().bitwiseAND((1 << PLACE_BITS) - 1)
+    slot = (at + F.get(F.array(*(F.lit(n).cast("long") for n in before)), F.col("_part"))).alias("slot")
+    out = dealt.select("*", slot).withColumn("shard", F.floor(F.col("_part") / parts).cast("int"))
     if carry:
-        return out.select("row.*", "shard", "slot")
-    return out.select(key_col, "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+        return out.select("row.*", F.col("shard").alias(free_name("shard", docs.columns)), F.col("slot").alias(free_name("slot", docs.columns)))
+    return out.select(F.col("_id").alias(key_col), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -44,8 +44,28 @@ def test_shards_of_a_hot_key_and_odd_rows(spark, odd, empty):
     for s in range(3):
         assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
     carried = sharding.shard_documents(odd, 3, carry=True)
-    assert carried.columns == [*(c for c in odd.columns if c not in ("shard", "slot")), "shard", "slot"] and carried.count() == odd.count()
-    assert sharding.shard_documents(empty).count() == 0
+    assert carried.columns == [*odd.columns, "shard_1", "slot_1"] and carried.count() == odd.count()
+    assert sorted(map(str, carried.drop("shard_1", "slot_1").collect())) == sorted(map(str, odd.collect()))
+    assert sharding.shard_documents(empty).count() == 0 and sharding.shard_documents(empty, carry=True).count() == 0
+
+
+def test_parts_of_shards_are_near_equal_and_tasks_hold_one(spark):
+    rows = spark.range(20_000).select(F.when(F.col("id") < 9000, 5).otherwise(F.col("id") * F.col("id")).alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") % 50).cast("int")).alias("text"))
+    out = sharding.shard_documents(rows, 2).withColumn("task", F.spark_partition_id())
+    parts = out.groupBy("shard", "task").agg(F.sum("size").alias("size"), F.min("slot").alias("a"), F.max("slot").alias("b"), F.count("*").alias("n")).orderBy("shard", "a").collect()
+    assert len(parts) == 4 and all(r.b - r.a + 1 == r.n for r in parts)
+    sizes = [r["size"] for r in parts]
+    assert abs(sizes[0] + sizes[1] - sizes[2] - sizes[3]) <= 51 and max(sizes) < 2 * min(sizes)
+
+
+def test_shards_of_string_keys(spark):
+    rng = random.Random(3)
+    ids = [None, None, "", "é", "z", "zz", "Z", *("".join(rng.choice("abé") for _ in range(rng.randrange(9))) for _ in range(200))]
+    docs = spark.createDataFrame([(i, "t" * rng.randrange(9)) for i in ids], "doc_id string, text string").repartition(5)
+    rows = sorted(sharding.shard_documents(docs, 3).collect(), key=lambda r: (r.shard, r.slot))
+    assert [r.doc_id for r in rows] == sorted(ids, key=lambda x: (x is not None, (x or "").encode()))
+    sizes = [sum(r["size"] for r in rows if r.shard == s) for s in range(3)]
+    assert max(sizes) - min(sizes) <= 18
 
 
 # 2 line dedup
