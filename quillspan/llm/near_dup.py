@@ -8,7 +8,8 @@ a pair inside a group can't change the group. Of those, exact bounds on the inte
 one candidate has) leave out pairs that can't reach the similarity, and so do signatures that agree in fewer than
 ``least_agreeing`` of 256 values: a pair of similarity 0.75 does so with a chance of 3e-6. No bucket, group or partner list is capped.
 
-With 32 bands of 4 values a pair of similarity 0.75 is missed with a probability of 5e-6.
+With 32 bands of 4 values a pair of similarity 0.75 is missed with a probability of 5e-6. ``every_candidate`` leaves the signatures' estimate out,
+so that only banding can miss a pair. Equal sets are told by 128-bit fingerprints: two unlike sets meet with a chance of 2**-128 a pair.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 
 from quillspan.llm import kernel as K
 from quillspan.llm.graph import components
+from quillspan.llm.ranked import is_integral, numbered
 from quillspan.plans.scratch import Scratch
 
 #: Values of a signature; the first BANDS * BAND_ROWS make the bands, all serve to estimate similarity.
@@ -60,7 +62,7 @@ def superminhash(hashes: np.ndarray, at: np.ndarray, m: int) -> np.ndarray:
             break
         if j == 0:
             live, row, pick = live[keep], row[keep], pick[keep]
-            places = np.tile(np.arange(m, dtype=np.uint8), (len(live), 1))
+            places = np.tile(np.arange(m, dtype=np.uint8 if m <= 256 else np.uint16), (len(live), 1))
             places[np.arange(len(live)), pick] = 0
         elif keep.sum() < 0.7 * len(keep):
             live, row, places = live[keep], row[keep], places[keep]
@@ -134,18 +136,27 @@ def _agreeing(marks: list[str]) -> Column:
     return out
 
 
-def near_dup_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, band_rows: int = BAND_ROWS) -> DataFrame:
+def near_dup_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, band_rows: int = BAND_ROWS, every_candidate: bool = False) -> DataFrame:
     """One row per row of docs: id, n_shingles, component_id (least id of its group), kept (id = component_id).
 
-    docs may have any other columns; the result has only these four, the first under the name id_col.
-    Words are lower-cased for A-Z; a text with fewer words than a shingle is one shingle. Null and wordless
+    docs may have any other columns; the result has only these four, the first under the name id_col. Ids are whole numbers, or anything that sorts
+    (strings by code point). Words are lower-cased for A-Z; a text with fewer words than a shingle is one shingle. Null and wordless
     texts have an empty set and stay alone. Rows with words that share an id are one node: it links to whatever
     one of them links to, and all are kept or dropped together. A row without an id stays alone: component_id null, kept.
-    An empty table gives an empty result. Ties need no rule: groups and their least ids are unique.
+    An empty table gives an empty result. Ties need no rule: groups and their least ids are unique. every_candidate verifies every pair that shares a
+    band and can reach the similarity, without the estimate. Signatures have bands * band_rows values, VALUES at least and 65,536 at most.
     """
+    m = max(VALUES, bands * band_rows)
+    if bands < 1 or band_rows < 1 or m > 1 << 16 or m % 16:
+        raise ValueError("bands * band_rows must be at most 65536, and a multiple of 16 where it is over 256")
     scratch = Scratch(docs.sparkSession, "near-dup")
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketch = scratch.write(slim.mapInArrow(_sketcher(shingle, bands, band_rows), "id long, n long, fa long, fb long, bands array<long>, sig array<long>"), "sketch")
+    sketch_schema = "n long, fa long, fb long, bands array<long>, sig array<long>"
+    slim, numbers = docs.select(F.col(id_col).cast("long").alias("id") if is_integral(docs, id_col) else F.col(id_col).alias("id"), F.col(text_col).alias("text")), None
+    kind = slim.schema["id"].dataType.simpleString()
+    sketch = scratch.write(slim.mapInArrow(_sketcher(shingle, bands, band_rows), f"id {kind}, {sketch_schema}"), "sketch")
+    if kind != "bigint":  # nodes are longs from here on
+        numbers = numbered(sketch.select("id"), scratch)
+        sketch = scratch.write(_renamed(sketch, numbers), "numbered")
 
     # a class: one set of shingles, under its least id
     sets = scratch.write(sketch.where("n > 0 and id is not null").groupBy("n", "fa", "fb").agg(F.min("id").alias("rep"), F.min_by(F.struct("bands", "sig"), "id").alias("s")).select("n", "fa", "fb", "rep", "s.*"), "classes")
@@ -156,7 +167,12 @@ def near_dup_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # texts of the classes that have a candidate, read again for their full sets
     wanted = scratch.write(member.select(F.col("rep").alias("id")).distinct(), "wanted")
-    full = scratch.write(slim.join(wanted, "id", "left_semi").mapInArrow(_set_maker(shingle), "id long, fa long, fb long, items array<long>"), "sets")
+    if numbers is None:
+        full = slim.join(wanted, "id", "left_semi").mapInArrow(_set_maker(shingle), "id long, fa long, fb long, items array<long>")
+    else:
+        texts = slim.join(wanted.join(numbers, F.col("id") == F.col("number")).select(F.col("key").alias("id")), "id", "left_semi")
+        full = _renamed(texts.mapInArrow(_set_maker(shingle), f"id {kind}, fa long, fb long, items array<long>"), numbers)
+    full = scratch.write(full, "sets")
     several = None
     if not full.groupBy("id").count().where("count > 1").isEmpty():
         # an id with several rows: each of its classes once
@@ -192,7 +208,7 @@ def near_dup_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if several is not None:  # a representative of several classes: the count would be that of all its texts, so none is taken off
         lone = lone.join(several, "rep", "left_anti")
     still = still.join(scratch.write(lone, "lone"), "rep", "left").withColumn("common", F.col("n") - F.coalesce("lone", F.lit(0)))
-    marks = [f"s{i}" for i in range(VALUES // 16)]
+    marks = [f"s{i}" for i in range(m // 16)]
     able = still.where(100 * F.col("common") >= percent * F.col("n")).drop("lone")
     still = scratch.write(able.join(sets.select("rep", "bands", *(F.col("sig")[i].alias(c) for i, c in enumerate(marks))), "rep"), "still-able")
     # a pair comes up in the first of its shared buckets only
@@ -201,7 +217,7 @@ def near_dup_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     other = still.select("bucket", F.col("bands").alias("ybands"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.col("common").alias("cb"), "main", *(F.col(c).alias(f"y{c}") for c in marks))
     fits = (F.col("la") != F.col("lb")) & ((F.col("lb") == F.col("main")) | (F.col("a") < F.col("b")))
     fits = fits & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & ((100 + percent) * F.least("ca", "cb") >= percent * (F.col("na") + F.col("nb")))
-    fits = fits & (_agreeing(marks) >= least_agreeing(percent, VALUES)) & ~earlier
+    fits = fits & ~earlier if every_candidate else fits & (_agreeing(marks) >= least_agreeing(percent, m)) & ~earlier
     rest = apart.join(other, "bucket").where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = verified(scratch.write(rest, "rest"), "more-links")
 
@@ -213,4 +229,18 @@ def near_dup_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     out = of_row.join(final.withColumnRenamed("node", "rep"), "rep", "left")
     out = out.select("id", F.col("n").alias("n_shingles"), F.coalesce("label", "rep", "id").alias("component_id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    if numbers is not None:
+        out = _named(_named(out, numbers, "id"), numbers, "component_id")
+    out = scratch.write(out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept")), "groups")
+    scratch.keep(out)
+    return out
+
+
+def _renamed(df: DataFrame, numbers: DataFrame) -> DataFrame:
+    """The numbers of ids instead of the ids."""
+    return df.join(numbers, F.col("id") == F.col("key"), "left").select(F.col("number").alias("id"), *df.columns[1:])
+
+
+def _named(df: DataFrame, numbers: DataFrame, column: str) -> DataFrame:
+    """The ids of the numbers in a column."""
+    return df.join(numbers, F.col(column) == F.col("number"), "left").select(*(F.col("key").alias(c) if c == column else F.col(c) for c in df.columns))

@@ -293,8 +293,10 @@ def test_groups_equal_brute_force(spark, small):
         for _ in range(rng.randrange(6)):
             w[rng.randrange(len(w))] = f"edit{rng.randrange(10**6)}"
         rows.append((20_000 + k, " ".join(w)))
-    got = near_dup.near_dup_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = near_dup.near_dup_groups(docs).collect()
     truth = brute.groups(rows)
+    assert {r.doc_id: r.component_id for r in near_dup.near_dup_groups(docs, bands=64, band_rows=5, every_candidate=True).collect()} == truth
     assert {r.doc_id: r.component_id for r in got} == truth
     assert {r.doc_id: r.n_shingles for r in got} == {i: len(set(brute.shingles(t))) for i, t in rows}
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
@@ -311,6 +313,20 @@ def test_groups_odd_rows(spark, odd, empty):
     assert by[10] == {(9, False)} and by[9] == {(9, True)} and by[3] == {(3, True)} and by[4] == {(4, True)}
 
 
+def test_groups_of_string_ids(spark):
+    a, b = " ".join(f"w{i}" for i in range(50)), " ".join(f"v{i}" for i in range(50))
+    rows = [("é", a), ("b", a + " end"), ("c", b), ("ca", b), (None, a), (None, None), ("", "alone here"), ("d", ""), ("b", b)]
+    got = near_dup.near_dup_groups(spark.createDataFrame(rows, "doc_id string, text string").repartition(3)).collect()
+    assert sorted((str(r.doc_id), str(r.component_id), r.kept) for r in got) == sorted([("é", "b", False), ("b", "b", True), ("b", "b", True), ("c", "b", False), ("ca", "b", False), ("None", "None", True), ("None", "None", True), ("", "", True), ("d", "d", True)])
+
+
+def test_signature_sizes(spark):
+    with pytest.raises(ValueError, match="multiple of 16"):
+        near_dup.near_dup_groups(spark.createDataFrame([], "doc_id long, text string"), bands=51, band_rows=6)
+    x = np.random.default_rng(1).integers(0, 1 << 63, 4000, dtype=np.uint64)
+    assert (near_dup.superminhash(x, np.array([0, len(x)]), 512) < np.iinfo(np.uint64).max).all()
+
+
 def test_groups_of_ids_with_unlike_texts(spark):
     rng = random.Random(4)
     word = lambda: f"w{rng.randrange(10**7)}"
