@@ -3,7 +3,7 @@
 A glob has literals, ``?`` (one byte) and ``*`` (any bytes). Each literal is one bit of a word vector; bits of all globs lie one after
 another over as many 64-bit words as they take. One step for a byte c is D = (D << 1 & B[c]) | (D & L) over the words, where B[c] has the
 bits whose literal accepts c, and L those behind which a ``*`` stands. A glob matches if its last bit is set at the end.
-Steps run over a block of URLs at once.
+Steps run over a block of URLs at once, as many as keep its states within STATE_BYTES; hosts and paths are cut out by column functions before.
 """
 
 from __future__ import annotations
@@ -13,12 +13,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspan.llm import kernel as K
+
 U = np.uint64
 #: Stands between host and path of a canonical URL; no other byte of it is zero.
 SEAM = b"\x00"
+#: Bytes of the states that step at once, and URLs that are too few to.
+STATE_BYTES, FEW = 1 << 23, 8
 
 # The rules of host, path and verdict.
 RULES = (
@@ -40,6 +44,7 @@ class Automaton:
     loops: np.ndarray
     starts: np.ndarray
     last: np.ndarray
+    _masks: tuple[list[int], int] | None = None
 
     @classmethod
     def of(cls, globs: list[bytes]) -> Automaton:
@@ -68,42 +73,45 @@ class Automaton:
                 first[word] |= bit
         return cls(accept, loops, first, np.array(last, np.int64))
 
-    def run(self, urls: list[bytes]) -> np.ndarray:
-        """A row for each URL, a column for each glob."""
-        size = np.fromiter(map(len, urls), np.int64, len(urls))
+    def run(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """A row for each URL (the bytes between two offsets), a column for each glob."""
+        size = np.diff(offsets)
         order = np.argsort(-size, kind="stable")
-        out = np.zeros((len(urls), len(self.last)), bool)
-        word, bit = self.last // 64, (self.last % 64).astype(np.uint64)
-        i = 0
-        while i < len(order):
-            wide = max(1, int(size[order[i]]))
-            part = order[i : i + max(1, (1 << 22) // wide)]
-            i += len(part)
-            text = np.frombuffer(b"".join(urls[k].ljust(wide, b"\x00") for k in part), np.uint8).reshape(len(part), wide)
-            state = np.repeat(self.starts[None], len(part), axis=0)
-            left = size[part]
-            for at in range(int(left.max(initial=0))):
-                n = int(np.searchsorted(-left, -at, "left"))  # URLs longer than at come first
+        out = np.zeros((len(size), len(self.last)), bool)
+        rows = max(1, STATE_BYTES // (8 * len(self.loops) + len(self.last)))  # the states of a block, whatever the width of the automaton
+        for i in range(0, len(order), rows):
+            part = order[i : i + rows]
+            state, left, begin = np.repeat(self.starts[None], len(part), axis=0), size[part], offsets[part]
+            at, n = 0, int(np.searchsorted(-left, 0, "left"))
+            while n > FEW:  # URLs longer than at come first
                 now = state[:n]
                 moved = now << U(1)
                 moved[:, 1:] |= now[:, :-1] >> U(63)
-                state[:n] = (moved & self.accept[text[:n, at]]) | (now & self.loops)
-            out[part] = (state[:, word] >> bit) & U(1) != 0
+                state[:n] = (moved & self.accept[data[begin[:n] + at]]) | (now & self.loops)
+                at += 1
+                n = int(np.searchsorted(-left, -at, "left"))
+            for k in range(n):
+                state[k] = self._alone(state[k], data[begin[k] + at : begin[k] + left[k]].tobytes())
+            out[part] = (state[:, self.last // 64] >> (self.last % 64).astype(np.uint64)) & U(1) != 0
         return out
 
-
-def canonical(url: str | None) -> tuple[str, str]:
-    """Host (A-Z lower-cased) and path; both empty for null or without ://."""
-    if url is None or "://" not in url:
-        return "", ""
-    rest = url.split("://", 1)[1]
-    cut = min((i for i in map(rest.find, "/?#") if i >= 0), default=len(rest))
-    host, path = rest[:cut].translate(_LOWER), rest[cut:]
-    end = min((i for i in map(path.find, "?#") if i >= 0), default=len(path))
-    return host, path[:end]
+    def _alone(self, state: np.ndarray, text: bytes) -> np.ndarray:
+        """The same steps for one URL, whose words make one whole number: the few that are longer than the rest of their block."""
+        if self._masks is None:
+            self._masks = [int.from_bytes(a.tobytes(), "little") for a in self.accept], int.from_bytes(self.loops.tobytes(), "little")
+        (accept, loops), now = self._masks, int.from_bytes(state.tobytes(), "little")
+        for c in text:
+            now = ((now << 1) & accept[c]) | (now & loops)
+        return np.frombuffer(now.to_bytes(8 * len(state), "little"), np.uint64)
 
 
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+def parts_of(url: Column) -> tuple[Column, Column]:
+    """Host (A-Z lower-cased) and path; both empty for null or without ://."""
+    rest = F.when(F.contains(url, F.lit("://")), F.substr(url, F.locate("://", url) + 3)).otherwise("")
+    rest = F.coalesce(rest, F.lit(""))
+    host = F.regexp_extract(rest, r"^[^/?#]*", 0)
+    path = F.regexp_extract(F.substr(rest, F.length(host) + 1), r"^[^?#]*", 0)
+    return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), path
 
 
 def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple = RULES, blocked: tuple[str, ...] = BLOCKED) -> DataFrame:
@@ -120,21 +128,26 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
         globs += [tail, b"*." + tail]
     machine = Automaton.of([*globs, *(b.encode() for b in blocked)])
     names = [h + p for h, p, _ in rules]
-    by_length = sorted(range(len(rules)), key=lambda i: (-len(names[i]), i))
+    by_length = np.array(sorted(range(len(rules)), key=lambda i: (-len(names[i]), i)), np.int64)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [canonical(u) for u in batch.column(1).to_pylist()]
-            hit = machine.run([h.encode().replace(SEAM, b"\x01") + SEAM + p.encode().replace(SEAM, b"\x01") for h, p in parts])
-            listed = hit[:, 2 * len(rules) :].any(axis=1)
-            rule: list[str | None] = []
-            verdict = []
-            for i, (host, _) in enumerate(parts):
-                best = next((k for k in by_length if hit[i, 2 * k] or hit[i, 2 * k + 1]), None)
-                rule.append(None if best is None else names[best])
-                verdict.append(rules[best][2] if best is not None else "block" if listed[i] or not host else "allow")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h for h, _ in parts], pa.string()), pa.array([p for _, p in parts], pa.string()), pa.array(rule, pa.string()), pa.array(verdict, pa.string())], ["id", "host", "path", "rule", "verdict"])
+            rules_hit, listed = [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+            for _, _, data, offsets in K.blocks(batch.column(3)):
+                hit = machine.run(data, offsets)
+                fits = np.zeros((len(hit), len(rules) + 1), bool)
+                fits[:, :-1] = hit[:, 0 : 2 * len(rules) : 2][:, by_length] | hit[:, 1 : 2 * len(rules) : 2][:, by_length]
+                fits[:, -1] = True  # none of the rules
+                rules_hit.append(np.append(by_length, -1)[fits.argmax(axis=1)])
+                listed.append(hit[:, 2 * len(rules) :].any(axis=1))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.concatenate(rules_hit)), pa.array(np.concatenate(listed))], ["id", "host", "path", "n", "listed"])
 
     kind = pages.schema[id_col].dataType.simpleString()
-    out = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string")).mapInArrow(judge, f"id {kind}, host string, path string, rule string, verdict string")
-    return out.withColumnRenamed("id", id_col)
+    host, path = parts_of(F.col(url_col).cast("string"))
+    split = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
+    whole = F.concat(F.translate("host", "\x00", "\x01"), F.lit("\x00"), F.translate("path", "\x00", "\x01"))  # the seam is the only zero
+    out = split.select("*", whole.alias("whole")).mapInArrow(judge, f"id {kind}, host string, path string, n long, listed boolean")
+    of_rule = lambda values: F.get(F.array(*map(F.lit, values)), F.col("n").cast("int")) if values else F.lit(None).cast("string")
+    known = F.col("n") >= 0
+    verdict = F.when(known, of_rule([v for _, _, v in rules])).when(F.col("listed") | (F.col("host") == ""), "block").otherwise("allow")
+    return out.select(F.col("id").alias(id_col), "host", "path", F.when(known, of_rule(names)).alias("rule"), verdict.alias("verdict"))
