@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillspan.llm.ranked import row_ids
+from quillspan.llm.ranked import ranked, row_ids
 from quillspan.plans.scratch import Scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,25 +23,28 @@ BINS = 256
 STEPS = 60
 
 
-def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, share: float = 1.0) -> DataFrame:
+def source_targets(sizes: DataFrame, scratch: Scratch, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, share: float = 1.0) -> DataFrame:
     """(source, source_size, target) from (source, source_size): weights repeat over sources by code point, null last.
 
     A target is weight * level, or cap * source_size where that is less; the level makes all targets share * whole size. That is
-    where resharing what exceeds the caps by weight ends. One row a source; the two windows sort only these.
+    where resharing what exceeds the caps by weight ends: the level starts as if no source were capped and rises as those below it are, each
+    time to what the others must share, by one sum over sources. No step sorts or holds all sources in one task.
     """
-    place = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1
+    placed = ranked(sizes.withColumn("_all", F.lit(0)), ["_all"], [F.col("source").asc_nulls_last()], scratch, "place")
     turn = F.array(*map(F.lit, weights))
-    with_weight = sizes.withColumn("weight", F.get(turn, place % len(weights))).withColumn("full_at", F.lit(float(cap)) * F.col("source_size") / F.col("weight"))
-    upto = W.orderBy("full_at", F.col("source").asc_nulls_last()).rowsBetween(W.unboundedPreceding, W.currentRow)
-    after = W.orderBy("full_at", F.col("source").asc_nulls_last()).rowsBetween(1, W.unboundedFollowing)
-    every = W.partitionBy(F.lit(0))
-    steps = with_weight.withColumn("whole", F.sum("source_size").over(every) * F.lit(float(share)))
-    steps = steps.withColumn("capped", F.coalesce(F.sum(F.col("source_size") * cap).over(upto), F.lit(0))).withColumn("rest", F.sum("weight").over(after))
-    # the level if just the sources that fill before this one are at their caps: it rises up to the true one, then falls
-    steps = steps.withColumn("own", F.col("capped") - F.col("source_size") * cap).withColumn("with_own", F.coalesce("rest", F.lit(0)) + F.col("weight"))
-    steps = steps.withColumn("level", (F.col("whole") - F.col("own")) / F.col("with_own"))
-    target = F.least(F.col("source_size") * F.lit(float(cap)), F.col("weight") * F.max("level").over(every))
-    return steps.select("source", "source_size", F.when(F.col("source_size") == 0, 0.0).otherwise(target).alias("target"))
+    each = scratch.write(placed.select("source", "source_size", F.get(turn, (F.col("place") % len(weights)).cast("int")).alias("weight")), "weights")
+    full = F.col("source_size") * F.lit(cap)
+    whole = (each.agg(F.sum("source_size")).first()[0] or 0) * share
+    level, capped = 0.0, -1
+    while True:
+        now = full <= F.col("weight") * F.lit(level)
+        n, held, rest = each.agg(F.count_if(now), F.sum(F.when(now, full)), F.sum(F.when(~now, F.col("weight")))).first()
+        if n == capped or not rest:
+            break
+        level, capped = (whole - (held or 0)) / rest, n
+    if capped >= 0 and not rest:  # all are at their caps
+        level = float("inf")
+    return each.select("source", "source_size", F.when(F.col("source_size") == 0, 0.0).otherwise(F.least(full.cast("double"), F.col("weight") * F.lit(level))).alias("target"))
 
 
 def _tilts(stats: DataFrame, targets: DataFrame, cap: int, scratch: Scratch) -> DataFrame:
@@ -92,7 +95,7 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     slim = scratch.write(slim.select(F.col("_id").alias("id"), F.col("_source").alias("source"), size.alias("size"), F.xxhash64("_id", F.xxhash64("_text")).alias("h"), "rid"), "sizes")
     stats = scratch.write(slim.groupBy("source", "size").agg(F.count("*").alias("n")), "stats")
     totals = stats.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).cast("long").alias("source_size"))
-    params = _tilts(stats, scratch.write(source_targets(totals, weights, cap, share), "targets"), cap, scratch)
+    params = _tilts(stats, scratch.write(source_targets(totals, scratch, weights, cap, share), "targets"), cap, scratch)
 
     again = scratch.write(slim.groupBy("h").count().where("count > 1").select("h"), "again")
     if not again.isEmpty():
@@ -126,6 +129,10 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     copies = F.col("base") + ((F.col("size") > 0) & (F.col("base") < cap) & (F.col("flip") <= F.coalesce("cut", F.lit(-1)))).cast("int")
     done = done.withColumn("copies", copies)
     if not carry:
-        return done.select(F.col("id").alias(id_col), "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
-    copied = whole.join(done.select("rid", "copies").where("copies > 0"), "rid")
+        out = scratch.write(done.select(F.col("id").alias(id_col), "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken")), "mixed")
+        scratch.keep(out)
+        return out
+    counts = scratch.write(done.select("rid", "copies").where("copies > 0"), "copies")
+    scratch.keep(whole, counts)
+    copied = whole.join(counts, "rid")
     return copied.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")

@@ -2,8 +2,8 @@
 
 Tokens are runs of letters, digits and non-ASCII characters (A-Z lower-cased) and runs of one other
 character. Uni- and bigrams are hashed to 2**BITS features, counted, and a document's counts are scaled to length 1. Training reads
-a bounded, hash-chosen sample of labelled rows (max_rows) on the driver; scoring is a sparse dot product per document,
-with one float for each feature sent to the executors.
+a bounded, hash-chosen sample of labelled documents on the driver (max_rows of them, and of these as many as have max_features features together);
+scoring is a sparse dot product per document, with one float for each feature sent to the executors.
 """
 
 from __future__ import annotations
@@ -17,9 +17,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspan.llm import kernel as K
+from quillspan.plans.scratch import Scratch
 
 BITS = 18
 MAX_ROWS = 6000
+#: Features (8 bytes each) of all sampled documents together that the driver gathers at most.
+MAX_FEATURES = 30_000_000
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 0.6, 1.0, 0.002, 0.1
 THRESHOLD = 0.3
@@ -82,33 +85,47 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], bits: int = BITS, epoc
     return w[:-1].astype(np.float32), float(w[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_ROWS, bits: int = BITS) -> tuple[np.ndarray, float]:
-    """A model from at most max_rows labelled rows, those of the least hash of their id.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_ROWS, bits: int = BITS, max_features: int = MAX_FEATURES) -> tuple[np.ndarray, float]:
+    """A model from at most max_rows labelled documents, those of the least hash of their id, and max_features features of theirs.
 
-    Each id's label is 1 if at least half of its labels are; null ids and labels teach nothing. Of an id's texts one is used.
+    Each id's label is 1 if at least half of its labels are; null ids and labels teach nothing, nor do labels without a document. Of an id's texts
+    the one of the least hash is used. Documents beyond max_features in the order of the hash teach nothing (a document has 2**bits features at most).
     Without any labelled text the model is all zero and scores 0.5.
     """
     each = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.avg(label_col) >= 0.5).cast("int").alias("y"))
-    sample = each.orderBy(F.xxhash64("id"), "id").limit(max_rows)
+    there = docs.select(F.col(id_col).alias("id")).join(each, "id").distinct()
+    scratch = Scratch(docs.sparkSession, "training")
+    sample = scratch.write(there.orderBy(F.xxhash64("id"), "id").limit(max_rows), "sample")  # labels without a document take no place
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, data, offsets in K.blocks(batch.column(2)):
+            for i, j, data, offsets in K.blocks(batch.column(3)):
                 number, value, at = features(data, offsets, bits)
                 lists = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(v)) for v in (number.astype(np.int32), value.astype(np.float32))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), *lists], ["id", "y", "f", "v"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in range(3)), *lists], ["id", "y", "h", "f", "v"])
 
-    # max_rows bounds what is broadcast here and what the driver gathers (2**bits features a row at most)
-    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id").select("id", "y", "text")
+    # max_rows bounds what is broadcast here; sizes come first, so that the driver gathers no more than max_features
+    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id").select("id", "y", F.xxhash64("text").alias("h"), "text")
     kind = docs.schema[id_col].dataType.simpleString()
-    table = chosen.mapInArrow(count, f"id {kind}, y int, f array<int>, v array<float>").toArrow()
+    made = scratch.write(chosen.mapInArrow(count, f"id {kind}, y int, h long, f array<int>, v array<float>"), "features")
+    least: dict = {}  # of each id the hash and size of the text that teaches
+    for r in made.groupBy("id", "h").agg(F.max(F.size("f")).alias("n")).toLocalIterator():
+        if r.id not in least or r.h < least[r.id][0]:
+            least[r.id] = (r.h, r.n)
+    fit_in, total = [], 0
+    for (i,) in sample.orderBy(F.xxhash64("id"), "id").select("id").collect():
+        total += least[i][1]
+        if total > max_features:
+            break
+        fit_in.append((i, least[i][0]))
     rows: dict = {}  # views into the gathered columns, which are never copied
-    for batch in table.to_batches():
-        f, v, at = np.asarray(batch.column(2).values), np.asarray(batch.column(3).values), np.asarray(batch.column(2).offsets)
-        for k, (i, y) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-            new = (y, f[at[k] : at[k + 1]], v[at[k] : at[k + 1]])
-            if i not in rows or (len(new[1]), new[1].tolist()) < (len(rows[i][1]), rows[i][1].tolist()):
-                rows[i] = new
+    if fit_in:
+        picked = docs.sparkSession.createDataFrame(fit_in, f"id {kind}, h long")
+        for batch in made.join(F.broadcast(picked), ["id", "h"]).select("id", "y", "f", "v").toArrow().to_batches():
+            f, v, at = np.asarray(batch.column(2).values), np.asarray(batch.column(3).values), np.asarray(batch.column(2).offsets)
+            for k, (i, y) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                rows[i] = (y, f[at[k] : at[k + 1]], v[at[k] : at[k + 1]])  # equal texts have equal features
+    scratch.close()
     order = np.random.Generator(np.random.PCG64(7)).permutation(len(rows))
     ids = sorted(rows)
     return train([rows[ids[k]] for k in order], bits)

@@ -1,5 +1,8 @@
+import math
 import random
+import re
 import zlib
+from collections import Counter
 from fnmatch import fnmatchcase
 
 import numpy as np
@@ -273,6 +276,66 @@ def test_classifier_held_out_accuracy(spark):
     assert np.mean([r.predicted for r in held if r.quality]) > 0.98
 
 
+def plain_ftrl(rows, bits, epochs, alpha, beta, l1, l2):
+    """One coordinate at a time, in dictionaries."""
+    z, n = {}, {}
+
+    def weight(i):
+        zi = z.get(i, 0.0)
+        return 0.0 if abs(zi) <= l1 else -(zi - math.copysign(l1, zi)) / ((beta + math.sqrt(n.get(i, 0.0))) / alpha + l2)
+
+    for _ in range(epochs):
+        for y, f, v in rows:
+            x = [*zip(f, v), ("bias", 1.0)]
+            w = {i: weight(i) for i, _ in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * xi for i, xi in x)))
+            for i, xi in x:
+                g = (p - y) * xi
+                s = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / alpha
+                z[i], n[i] = z.get(i, 0.0) + g - s * w[i], n.get(i, 0.0) + g * g
+    return [weight(i) for i in range(1 << bits)], weight("bias")
+
+
+def plain_features(text, bits):
+    """Tokens and neighbours by a regular expression, hashed one by one."""
+    kinds = re.compile(r"[A-Za-z0-9\x80-\U0010ffff]+|([\x00-\x08\x0e-\x1f])[\x00-\x08\x0e-\x1f]*|([!-/:-@\[-`{-\x7f])\2*")
+    tokens = [m[0].encode() for m in kinds.finditer(text)]
+    hashes = [int(kernel.words(np.frombuffer(t, np.uint8), np.array([0, len(t)]), True)[0][0]) for t in tokens]
+    pairs = [int(kernel.shingles(np.array(p, np.uint64), np.array([0, 2]), 2)[0][0]) for p in zip(hashes, hashes[1:])]
+    count = Counter(h >> (64 - bits) for h in hashes + pairs)
+    norm = math.sqrt(sum(c * c for c in count.values()))
+    return {f: c / norm for f, c in count.items()}
+
+
+def test_features_and_training_equal_plain_ones(spark, small):
+    texts = [t for _, t in pairs(table(spark, small, "documents")) if len(t) < 2500][:40] + ["A--B!! é1 x\ty", "..."]
+    rows = []
+    for k, t in enumerate(texts):
+        data = t.encode()
+        f, v, _ = quality_classifier.features(np.frombuffer(data, np.uint8), np.array([0, len(data)]), 12)
+        assert dict(zip(f.tolist(), v.tolist(), strict=True)) == pytest.approx(plain_features(t, 12))
+        rows.append((k % 3 // 2, f.astype(np.int32), v.astype(np.float32)))
+    w, bias = quality_classifier.train(rows, 12, 3, 0.6, 1.0, 0.002, 0.1)
+    want, want_bias = plain_ftrl([(y, f.tolist(), v.tolist()) for y, f, v in rows], 12, 3, 0.6, 1.0, 0.002, 0.1)
+    assert w.tolist() == pytest.approx(want, abs=1e-5) and bias == pytest.approx(want_bias) and np.count_nonzero(w) > 100
+    t = texts[3].encode()
+    docs = spark.createDataFrame([(1, texts[3]), (2, None)], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in quality_classifier.score(docs, (w, bias)).collect()}
+    dot = sum(w[f] * v for f, v in plain_features(texts[3], 12).items())
+    assert got == {1: pytest.approx(1 / (1 + math.exp(-dot - bias)), abs=1e-5), 2: pytest.approx(1 / (1 + math.exp(-bias)))}
+
+
+def test_training_sample_is_of_labelled_documents(spark):
+    docs = spark.createDataFrame([(i, "good words here" if i % 2 else "$$$ bad ###") for i in range(0, 400, 10)] + [(10**6, "good words here"), (10**6, "$$$")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, (i // 10) % 2) for i in range(400)] + [(10**6, 1)], "doc_id long, quality int")
+    for r in (10, 41):  # labels without a document are nine of ten and don't use up the rows
+        w, bias = quality_classifier.fit(docs, labels, max_rows=r, bits=8)
+        assert np.any(w)
+    few = quality_classifier.fit(docs, labels, bits=8, max_features=20)
+    assert np.any(few[0]) and not np.array_equal(few[0], w) and not np.any(quality_classifier.fit(docs, labels, bits=8, max_features=1)[0])
+    assert np.array_equal(quality_classifier.fit(docs.repartition(9), labels.repartition(3), bits=8)[0], quality_classifier.fit(docs, labels, bits=8)[0])
+
+
 def test_classifier_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (None, 1), (9, None)], "doc_id long, quality int")
     rows = quality_classifier.classify_quality(odd, labels).collect()
@@ -451,7 +514,7 @@ def water_filling(sizes, weights=(5, 2, 1)):
 
 @pytest.mark.parametrize("sizes", [{"a": 10, "b": 100, "c": 1000, None: 5}, {"a": 100}, {"x": 1, "y": 10**6, "z": 7, "zz": 0}, {"a": 50, "b": 50, "c": 50, "d": 50}])
 def test_targets_equal_resharing(spark, sizes):
-    got = {r.source: r.target for r in source_targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}
+    got = {r.source: r.target for r in source_targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long"), Scratch(spark, "test")).collect()}
     assert got == pytest.approx(water_filling(sizes))
 
 
@@ -468,6 +531,29 @@ def test_mix_meets_targets(spark):
     assert {(r.doc_id, r.taken) for r in again} == {(r.doc_id, r.taken) for r in rows}
 
 
+def test_rates_equal_a_plain_solution(spark, small):
+    """Tilts by bisection on the dual's slope, one source after the other, in plain Python."""
+    docs = table(spark, small, "documents")
+    sizes = {}
+    for r in docs.select("source", "text").collect():
+        sizes.setdefault(r.source, []).append(len(brute.words(r.text, False)))
+    target = water_filling({s: sum(x) for s, x in sizes.items()})
+    rate = lambda t, x: 3 / (1 + 2 * math.exp(-max(-500, min(500, t * x))))
+    tilt = {}
+    for s, x in sizes.items():
+        mean, lo, hi = sum(x) / len(x), -600.0, 600.0
+        for _ in range(200):
+            t = (lo + hi) / 2
+            lo, hi = (lo, t) if sum(n * rate(t, n / mean) for n in x) > target[s] else (t, hi)
+        tilt[s] = (lo, mean, target[s] >= 3 * sum(x))
+    source = {r.doc_id: r.source for r in docs.collect()}
+    for r in mix_documents(docs).collect():
+        t, mean, full = tilt[source[r.doc_id]]
+        want = 1 if not r["size"] else 3 if full else rate(t, r["size"] / mean)
+        assert r.rate == pytest.approx(want, abs=2e-5 * (1 + r["size"] / mean))
+        assert math.floor(r.rate) <= r.copies <= math.ceil(r.rate)
+
+
 def test_mix_odd_rows(spark, odd, empty):
     rows = mix_documents(odd).collect()
     assert len(rows) == odd.count() and mix_documents(empty).count() == 0
@@ -481,12 +567,39 @@ def test_mix_odd_rows(spark, odd, empty):
 # 10 URL filter
 
 
-def test_automaton_equals_fnmatch():
+def test_automaton_equals_fnmatch(monkeypatch):
     rng = random.Random(4)
     globs = ["*", "a*b", "?", "ab?*c", "*aab", "", "**a", *("".join(rng.choice("ab*?") for _ in range(rng.randrange(1, 12))) for _ in range(60))]
     urls = ["", *("".join(rng.choice("ab") for _ in range(rng.randrange(15))) for _ in range(300))]
-    got = url_filter.Automaton.of([g.encode() for g in globs]).run([u.encode() for u in urls])
-    assert got.tolist() == [[fnmatchcase(u, g) for g in globs] for u in urls]
+    want = [[fnmatchcase(u, g) for g in globs] for u in urls]
+    data, offsets = np.frombuffer("".join(urls).encode(), np.uint8), np.concatenate([[0], np.cumsum([len(u) for u in urls])])
+    machine = url_filter.Automaton.of([g.encode() for g in globs])
+    assert machine.run(data, offsets).tolist() == want
+    for bytes_, few in ((1, 8), (500, 0), (5000, 100)):  # one URL a block, all in steps, all alone
+        monkeypatch.setattr(url_filter, "STATE_BYTES", bytes_)
+        monkeypatch.setattr(url_filter, "FEW", few)
+        assert machine.run(data, offsets).tolist() == want
+
+
+def test_long_url_is_quick(spark):
+    import time
+
+    machine = url_filter.Automaton.of([*(b.encode() for b in url_filter.BLOCKED), b"*x?y*\x00*z"])
+    text = b"host\x00/" + b"ab" * 500_000 + b"z"
+    began = time.time()
+    assert machine.run(np.frombuffer(text, np.uint8), np.array([0, len(text)])).tolist() == [[False] * 8]
+    assert time.time() - began < 1
+
+
+def test_url_odd_rows(spark):
+    urls = [None, "", "://", "http://", "http://A.com/x", "http://A.com/x", "a://b\x00c.com/\x00.exe", "http://é.NET/es/ü", "x://spam?.zip", "http://h.org/a.zip#b", "http://h.org/a\nb.exe"]
+    rows = [(k // 2, u, "s", 1, "n", "whole", True) for k, u in enumerate(urls)]
+    df = spark.createDataFrame(rows, "page_id long, url string, verdict string, n int, rule string, whole string, listed boolean").repartition(3)
+    got = sorted(tuple(r)[1:] for r in url_filter.filter_urls(df).collect())
+    want = [("", "", None, "block")] * 4 + [("a.com", "/x", "com/", "allow")] * 2
+    want += [("b\x00c.com", "/\x00.exe", "com/", "allow"), ("é.net", "/es/ü", "net/es/", "block"), ("spam", "", None, "block"), ("h.org", "/a.zip", None, "block"), ("h.org", "/a\nb.exe", None, "block")]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    assert [r.verdict for r in url_filter.filter_urls(df.where("url = 'http://A.com/x'"), rules=(), blocked=()).collect()] == ["allow"] * 2
 
 
 def test_url_rules(spark):
