@@ -4,7 +4,7 @@ A line with a word fails
 - punctuation: its last character isn't one of ``. ! ? : ; " ' ) ]`` or of the marks in END_MARKS, or over 10 % of its
   characters besides white space are of ``# * $ % & | < > ~ ^ = @``, or at least 3 words and 30 % of its words end in ``!!``;
 - navigation: it has 3 or more of ``| >``;
-- boilerplate: it holds one of the phrases in BOILERPLATE, in any case.
+- boilerplate: it holds one of the phrases given, in any case; by default those of the four languages in BOILERPLATE.
 """
 
 from __future__ import annotations
@@ -20,16 +20,20 @@ from pyspark.sql import functions as F
 
 from quillspan.llm import kernel as K
 
-# Phrases of boilerplate lines, and closing marks besides the ASCII ones.
-BOILERPLATE = ("all rights reserved", "privacy policy", "terms of use", "terms of service", "cookie policy", "javascript", "lorem ipsum", "click here", "read more", "sign up", "log in", "subscribe to")
+#: Phrases of boilerplate lines by language; further languages and phrases are a parameter.
+BOILERPLATE = {
+    "en": ("all rights reserved", "privacy policy", "terms of use", "terms of service", "cookie policy", "javascript", "lorem ipsum", "click here", "read more", "sign up", "log in", "subscribe to"),
+    "de": ("alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "impressum und", "cookie-richtlinie", "hier klicken", "klicken sie hier", "weiterlesen", "jetzt anmelden", "newsletter abonnieren"),
+    "es": ("todos los derechos reservados", "política de privacidad", "términos de uso", "condiciones de uso", "política de cookies", "haz clic aquí", "haga clic aquí", "leer más", "iniciar sesión", "suscríbete a"),
+    "fr": ("tous droits réservés", "politique de confidentialité", "conditions d'utilisation", "mentions légales", "politique de cookies", "cliquez ici", "lire la suite", "se connecter", "s'inscrire", "abonnez-vous à"),
+}
+# Closing marks besides the ASCII ones.
 END_MARKS = "…”’»›。！？"
 
 MIN_WORDS, MAX_REPEAT_PERCENT, MAX_LOST_PERCENT, WINDOW = 10, 20, 50, 5
 
 _SYMBOL, _NOISE, _NAV, _END = (np.isin(np.arange(256), list(x)) for x in (b"#*$%&|<>", b"#*$%&|<>~^=@", b"|>", b".!?:;\"')]"))
 _ENDS = [m.encode() for m in END_MARKS]
-_PHRASES = "|".join(map(re.escape, BOILERPLATE))
-_PHRASE_BYTES = re.compile(_PHRASES.encode(), re.IGNORECASE)
 
 
 def _per_line(flag: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -53,7 +57,7 @@ def _repeats(hashes: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
     return K.sums(np.cumsum(cover[:-1]) > 0, at)
 
 
-def _judge_block(data: np.ndarray, offsets: np.ndarray, suspects: np.ndarray, min_words: int, max_repeat: int, max_lost: int) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _judge_block(data: np.ndarray, offsets: np.ndarray, suspects: np.ndarray, phrase: re.Pattern, min_words: int, max_repeat: int, max_lost: int) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Figures of each row, and the lines: begin, end, row, fails."""
     n = len(offsets) - 1
     hashes, at, starts, ends = K.words(data, offsets, lower=False)
@@ -90,7 +94,7 @@ def _judge_block(data: np.ndarray, offsets: np.ndarray, suspects: np.ndarray, mi
     noisy = 10 * _per_line(_NOISE[data], begin, end) > _per_line(chars, begin, end)
     fails = full & (~closing | noisy | ((banged >= 3) & (10 * banged >= 3 * n_words)) | (_per_line(_NAV[data], begin, end) >= 3))
     for k in np.flatnonzero(full & ~fails & suspects[row]):
-        fails[k] = _PHRASE_BYTES.search(data[begin[k] : end[k]].tobytes()) is not None
+        fails[k] = phrase.search(data[begin[k] : end[k]].tobytes().decode()) is not None
 
     # equal lines of a row
     line_hash = K._hash_runs(data, begin[full], end[full], K._BYTE) ^ K.mix(row[full].astype(np.uint64) + K.U(1))
@@ -116,24 +120,26 @@ def _judge_block(data: np.ndarray, offsets: np.ndarray, suspects: np.ndarray, mi
     return figures, begin, end, row, fails
 
 
-def clean_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT, max_lost_percent: int = MAX_LOST_PERCENT) -> DataFrame:
+def clean_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT, max_lost_percent: int = MAX_LOST_PERCENT, boilerplate: dict[str, tuple[str, ...]] = BOILERPLATE) -> DataFrame:
     """One row per row of docs: id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, lost_words, lost_lines, base_failed, kept.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` of the whole text; lines are split at \\n. base_failed: under min_words words, or over
     max_repeat_percent of the words in 5-word windows found twice or more. kept: not base_failed and at most max_lost_percent
     of the words on failing lines. with_text adds text: the lines that stay (null for a null text). Null, empty and wordless
-    texts have no words and are base_failed. Rows are judged one by one: repeats, ties and other columns don't matter.
+    texts have no words and are base_failed. boilerplate: phrases by language, all of them looked for in every line. Rows are judged one by one: repeats, ties and other columns don't matter.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     longs = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lost_words", "lost_lines"]
+    phrases = "|".join(re.escape(p) for of_language in boilerplate.values() for p in of_language) or r"[^\s\S]"
+    phrase = re.compile(phrases, re.IGNORECASE)
     names = ["id", *longs, "base_failed", "kept", *["text"] * with_text]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = batch.column(1)
-            suspects = pc.match_substring_regex(text, _PHRASES, ignore_case=True).fill_null(False).to_numpy(zero_copy_only=False)
+            suspects = pc.match_substring_regex(text, phrases, ignore_case=True).fill_null(False).to_numpy(zero_copy_only=False)
             for i, j, data, offsets in K.blocks(text):
-                out, begin, end, row, fails = _judge_block(data, offsets, suspects[i:j], min_words, max_repeat_percent, max_lost_percent)
+                out, begin, end, row, fails = _judge_block(data, offsets, suspects[i:j], phrase, min_words, max_repeat_percent, max_lost_percent)
                 columns = [batch.column(0).slice(i, j - i), *(pa.array(np.asarray(out[c], np.int64)) for c in longs), pa.array(out["base_failed"]), pa.array(out["kept"])]
                 if with_text:
                     lines: list[list[bytes]] = [[] for _ in range(j - i)]

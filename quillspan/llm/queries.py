@@ -19,6 +19,10 @@ from quillspan.llm.url_filter import filter_urls
 from quillspan.session import table
 
 
+#: The vocabulary of op5: a file that the driver can open.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
@@ -36,7 +40,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return count_tokens(table(spark, sf_dir, "documents"))
+    return count_tokens(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +98,7 @@ SELECT d.doc_id, CAST(CASE WHEN d.text IS NULL THEN 0 ELSE len(string_split(d.te
 FROM documents d LEFT JOIN removed r ON r.doc_id = d.doc_id LEFT JOIN kept k ON k.doc_id = d.doc_id
 """
 
-_PHRASES = "|".join(BOILERPLATE)
+_PHRASES = "|".join(p for of_language in BOILERPLATE.values() for p in of_language)
 _OP4 = rf"""
 WITH base AS (
   SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -110,7 +114,7 @@ WITH base AS (
       OR 10 * (length(solid) - length(regexp_replace(solid, '[#*$%&|<>~^=@]', '', 'g'))) > length(solid)
       OR (len(list_filter(w, lambda x: x LIKE '%!!')) >= 3 AND 10 * len(list_filter(w, lambda x: x LIKE '%!!')) >= 3 * len(w))
       OR length(solid) - length(regexp_replace(solid, '[|>]', '', 'g')) >= 3
-      OR regexp_matches(line, '(?i){_PHRASES}')) AS fails FROM filled
+      OR regexp_matches(line, '(?i)(?:{_PHRASES})')) AS fails FROM filled
 ), per_doc AS (
   SELECT doc_id, sum(CASE WHEN fails THEN n ELSE 0 END) AS lost_words, sum(fails::INT) AS lost_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM judged GROUP BY doc_id
 ), grams AS (
@@ -150,34 +154,40 @@ FROM ruled
 
 _MARKS = r"^[ \t]*((?:>[ \t]*)+)"
 _OP8 = rf"""
-WITH lines AS (
+WITH RECURSIVE lines AS (
   SELECT conv_id, turn, generate_subscripts(string_split(text, chr(10)), 1) AS i, unnest(string_split(text, chr(10))) AS raw FROM conversations
 ), levelled AS (
   SELECT *, length(regexp_replace(regexp_extract(raw, '{_MARKS}', 1), '[^>]', '', 'g')) AS level, regexp_replace(raw, '{_MARKS}', '') AS line FROM lines
 ), marked AS (
   SELECT *, CASE WHEN level = lag(level) OVER (PARTITION BY conv_id, turn ORDER BY i) THEN 0 ELSE 1 END AS fresh FROM levelled
 ), parts AS (
-  SELECT *, sum(fresh) OVER (PARTITION BY conv_id, turn ORDER BY i) AS part FROM marked
+  SELECT *, sum(fresh) OVER (PARTITION BY conv_id, turn ORDER BY i) AS part, trim(regexp_replace(lower(line), '{_S}+', ' ', 'g')) AS bare FROM marked
 ), passages AS (
-  SELECT conv_id, turn, level, trim(regexp_replace(lower(string_agg(line, chr(10) ORDER BY i)), '{_S}+', ' ', 'g')) AS p FROM parts GROUP BY conv_id, turn, part, level
-), pieces AS (
-  SELECT conv_id, turn, p FROM passages WHERE level = 0 AND p <> ''
-  UNION SELECT conv_id, turn, trim(regexp_replace(lower(line), '{_S}+', ' ', 'g')) AS p FROM levelled WHERE level = 0
-), originals AS (
-  SELECT conv_id, p, min(turn) AS first FROM pieces WHERE p <> '' GROUP BY conv_id, p
+  SELECT conv_id, turn, part, level, trim(regexp_replace(lower(string_agg(line, chr(10) ORDER BY i)), '{_S}+', ' ', 'g')) AS p FROM parts GROUP BY conv_id, turn, part, level
+), followed AS (
+  SELECT conv_id, turn, bare AS a, lead(bare, 1) OVER w AS b, lead(bare, 2) OVER w AS c, lead(bare, 3) OVER w AS d FROM parts WHERE level = 0 AND bare <> '' WINDOW w AS (PARTITION BY conv_id, turn, part ORDER BY i)
+), runs AS (
+  SELECT conv_id, turn, a AS p FROM followed UNION SELECT conv_id, turn, a || ' ' || b FROM followed UNION SELECT conv_id, turn, a || ' ' || b || ' ' || c FROM followed
+  UNION SELECT conv_id, turn, a || ' ' || b || ' ' || c || ' ' || d FROM followed UNION SELECT conv_id, turn, p FROM passages WHERE level = 0
 ), quotes AS (
-  SELECT * FROM passages WHERE level > 0 AND p <> ''
+  SELECT *, len(string_split(p, ' ')) AS n FROM passages WHERE level > 0 AND p <> ''
+), linked AS (
+  SELECT q.conv_id, q.turn, q.level, q.p, min(r.turn) AS first FROM quotes q JOIN runs r ON r.conv_id = q.conv_id AND r.p = q.p AND r.turn < q.turn WHERE q.n < 5 GROUP BY ALL
+  UNION ALL SELECT q.conv_id, q.turn, q.level, q.p, min(o.turn) FROM quotes q JOIN passages o ON o.conv_id = q.conv_id AND o.level = 0 AND o.turn < q.turn AND contains(' ' || o.p || ' ', ' ' || q.p || ' ') WHERE q.n >= 5 GROUP BY ALL
 ), parents AS (
-  SELECT q.conv_id, q.turn, arg_max(o.first, -q.level * 1000000000 + o.first) AS parent FROM quotes q JOIN originals o ON o.conv_id = q.conv_id AND o.p = q.p AND o.first < q.turn GROUP BY q.conv_id, q.turn
+  SELECT conv_id, turn, arg_max(first, -level * 1000000000 + first) AS parent FROM linked GROUP BY conv_id, turn
+), threads AS (
+  SELECT c.conv_id, c.turn, c.turn AS thread FROM conversations c LEFT JOIN parents p ON p.conv_id = c.conv_id AND p.turn = c.turn WHERE p.parent IS NULL
+  UNION ALL SELECT p.conv_id, p.turn, t.thread FROM parents p JOIN threads t ON t.conv_id = p.conv_id AND t.turn = p.parent
 ), counts AS (
   SELECT conv_id, turn, count(*) AS n, max(level) AS depth FROM quotes GROUP BY conv_id, turn
 ), own AS (
   SELECT conv_id, turn, string_agg(raw, chr(10) ORDER BY i) AS t FROM levelled WHERE level = 0 GROUP BY conv_id, turn
 )
-SELECT c.conv_id, c.turn, c.role, CAST(coalesce(k.n, 0) AS BIGINT) AS n_quotes, p.parent, CAST(coalesce(k.depth, 0) AS BIGINT) AS depth,
-  CAST(row_number() OVER (PARTITION BY c.conv_id ORDER BY c.turn) - 1 AS BIGINT) AS position,
+SELECT c.conv_id, c.turn, c.role, CAST(coalesce(k.n, 0) AS BIGINT) AS n_quotes, p.parent, CAST(coalesce(k.depth, 0) AS BIGINT) AS depth, h.thread,
+  CAST(row_number() OVER (PARTITION BY c.conv_id ORDER BY h.thread, c.turn) - 1 AS BIGINT) AS position,
   CASE WHEN c.text IS NULL THEN NULL ELSE regexp_replace(coalesce(o.t, ''), '^{_S}+|{_S}+$', '', 'g') END AS text
-FROM conversations c LEFT JOIN counts k ON k.conv_id = c.conv_id AND k.turn = c.turn
+FROM conversations c LEFT JOIN counts k ON k.conv_id = c.conv_id AND k.turn = c.turn LEFT JOIN threads h ON h.conv_id = c.conv_id AND h.turn = c.turn
 LEFT JOIN parents p ON p.conv_id = c.conv_id AND p.turn = c.turn LEFT JOIN own o ON o.conv_id = c.conv_id AND o.turn = c.turn
 """
 

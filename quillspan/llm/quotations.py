@@ -4,7 +4,8 @@ A line that begins with quote marks (``>``, any number, spaces between allowed)
 lines of one level are passages. Passages of level 0 are a message's own words; the others quote. Normalised
 passages are compared by 128-bit hashes. The original of a passage is the earliest message of the scope that holds it as its own,
 found by a grouped minimum, so a passage that thousands quote or repeat is never paired out. Parts of longer messages are found by
-the first ANCHOR words of the quotes: each place where these stand gives one window for each length of such quotes.
+the first ANCHOR words of the quotes: each place where these stand gives one window for each length of such quotes. Messages that answer each
+other make a thread; the first message of each is found by doubling the links, and threads set the order of replies.
 """
 
 from __future__ import annotations
@@ -62,11 +63,13 @@ def link_quotations(messages: DataFrame, scope: str = "conv_id", order: str = "t
     """Reply-ordered conversations without quotes, one row per message.
 
     Returns scope, order, role_col, n_quotes (quoted passages of the message), parent (the order value of the message it
-    answers, null if none), depth (levels of the deepest quote) and position (long, from 0 in the scope, by order alone; a
-    message follows the one it answers, branches stay interleaved), text (own words). The message answered is the latest original among those of its quotes of the least level that
+    answers, null if none), depth (levels of the deepest quote), thread (the order value of the first message of its thread, its own if it answers none),
+    position (long, from 0 in the scope: threads in the order of their first messages, a thread's messages by order, so that each follows the one it
+    answers and branches of other threads don't interleave) and text (own words). The message answered is the latest original among those of its quotes of the least level that
     are linked; an original comes strictly before, by order. A passage of level n is matched, whatever its line ends, with a whole
     passage of a message's own words, with one or more whole lines of it, or, if it has ANCHOR words or more, with any run of words in it. Null scopes are one scope; messages without order come first and
-    are no originals; messages of one order are none for each other and keep input order. Null or empty texts quote nothing.
+    are no originals; messages of one order are none for each other and keep input order, and the first of them stands for all where threads are
+    followed. Null or empty texts quote nothing. Other columns are not read.
     """
     scratch = Scratch(messages.sparkSession, "quotes")
     base = scratch.write(row_ids(messages.select(F.col(scope).alias("scope"), F.col(order).cast("long").alias("at"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))), "messages")
@@ -96,5 +99,28 @@ def link_quotations(messages: DataFrame, scope: str = "conv_id", order: str = "t
     count = quotes.groupBy("rid").agg(F.count("*").alias("n_quotes"), F.max("level").alias("depth"))
     facts = scratch.write(count.join(best, "rid", "left"), "facts")
     out = base.join(facts, "rid", "left").withColumn("text", own_words("text"))
-    out = ranked(out.na.fill(0, ["n_quotes", "depth"]), ["scope"], [F.col("at"), F.col("rid")], scratch, "position")
-    return out.select(F.col("scope").alias(scope), F.col("at").alias(order), F.col("role").alias(role_col), F.col("n_quotes").cast("long"), "parent", F.col("depth").cast("long"), "position", "text")
+    tops = _threads(base, facts, scratch)
+    if tops is None:
+        out = out.withColumn("thread", F.col("at"))
+    else:
+        same = (F.col("parent") == F.col("_at")) & F.col("scope").eqNullSafe(F.col("_s"))
+        out = out.join(tops, same, "left").withColumn("thread", F.coalesce("top", "parent", "at")).drop("_s", "_at", "top")
+    out = ranked(out.na.fill(0, ["n_quotes", "depth"]), ["scope"], [F.col("thread"), F.col("at"), F.col("rid")], scratch, "position")
+    return out.select(F.col("scope").alias(scope), F.col("at").alias(order), F.col("role").alias(role_col), F.col("n_quotes").cast("long"), "parent", F.col("depth").cast("long"), "thread", "position", "text")
+
+
+def _threads(base: DataFrame, facts: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """(_s, _at, top): the first message of the thread of every message that answers one; None if none does. Rounds double what they follow."""
+    answers = facts.where("parent is not null").select("rid", "parent")
+    if answers.isEmpty():
+        return None
+    linked = base.select("scope", "at", "rid").join(answers, "rid", "left")
+    # the first message of an order value stands for it, also where only a later one answers
+    up = linked.where("at is not null").groupBy("scope", "at").agg(F.min_by(F.struct("parent"), "rid").alias("p")).where("p.parent is not null")
+    up = scratch.write(up.select("scope", "at", F.col("p.parent").alias("top")), "answers")
+    while True:
+        ahead = up.select(F.col("scope").alias("_s"), F.col("at").alias("_at"), F.col("top").alias("far"))
+        both = up.join(ahead, (F.col("top") == F.col("_at")) & F.col("scope").eqNullSafe(F.col("_s")), "left")
+        up = scratch.write(both.select("scope", "at", F.coalesce("far", "top").alias("top"), F.col("far").isNotNull().alias("moved")), "followed")
+        if up.where("moved").isEmpty():
+            return up.select(F.col("scope").alias("_s"), F.col("at").alias("_at"), "top")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quillspan.llm import decontaminate, graph, kernel, near_dup, quality_classifier, quality_rules, sharding, token_counts, url_filter
 from quillspan.llm.line_dedup import dedup_lines
 from quillspan.llm.mixing import mix_documents, source_targets
+from quillspan.llm.queries import VOCABULARY
 from quillspan.llm.quotations import link_quotations
 from quillspan.plans.scratch import Scratch
 from quillspan.session import table
@@ -205,6 +206,14 @@ def test_rules_by_hand(spark):
     assert r.text == "This is a good line of prose.\nThis is a good line of prose."
 
 
+def test_boilerplate_phrases_are_a_parameter(spark):
+    text = "Une belle phrase du matin.\nTOUS DROITS RÉSERVÉS par nous.\nBitte Hier Klicken jetzt sofort.\nMy own phrase stands here too."
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    kept = lambda **k: quality_rules.clean_documents(docs, with_text=True, **k).first().text.split("\n")
+    lines = text.split("\n")
+    assert kept() == [lines[0], lines[3]] and kept(boilerplate={}) == lines and kept(boilerplate={"x": ("OWN phrase",)}) == lines[:3]
+
+
 def test_rules_odd_rows(odd, empty):
     rows = quality_rules.clean_documents(odd, with_text=True).collect()
     assert len(rows) == odd.count() and quality_rules.clean_documents(empty).count() == 0
@@ -224,11 +233,11 @@ def test_tokens_equal_brute_force(spark, small, rule):
 
     import tiktoken
 
-    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(token_counts.VOCABULARY, "rb"))}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(VOCABULARY, "rb"))}
     enc = tiktoken.Encoding("own", pat_str=token_counts.PATTERN, mergeable_ranks=ranks, special_tokens={})
     docs = table(spark, small, "documents").limit(40)
     got = {}
-    for r in token_counts.count_tokens(docs, rule=rule).collect():
+    for r in token_counts.count_tokens(docs, VOCABULARY, rule=rule).collect():
         got.setdefault(r.doc_id, []).append((r.section, r.begin, r.end, r.n_tokens))
     for i, text in pairs(docs):
         ends, at = [], 0
@@ -253,8 +262,8 @@ def test_boundary_rules():
 
 
 def test_tokens_odd_rows_and_pieces(odd, empty, monkeypatch):
-    whole = token_counts.count_tokens(odd).groupBy("doc_id").agg(F.sum("n_tokens")).collect()
-    assert 3 not in {r[0] for r in whole} and token_counts.count_tokens(empty).count() == 0
+    whole = token_counts.count_tokens(odd, VOCABULARY).groupBy("doc_id").agg(F.sum("n_tokens")).collect()
+    assert 3 not in {r[0] for r in whole} and token_counts.count_tokens(empty, VOCABULARY).count() == 0
     text = "ab cd.\nEf gh.\n\n x y\n z.\nlast one here.\n" * 50
     own = np.frombuffer(text.encode(), np.uint8)
     monkeypatch.setattr(token_counts, "PIECE", 64)
@@ -262,6 +271,64 @@ def test_tokens_odd_rows_and_pieces(odd, empty, monkeypatch):
     assert "".join(parts) == text and len(parts) > 10
 
 
+def encoder():
+    import base64
+
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(VOCABULARY, "rb"))}
+    return tiktoken.Encoding("own", pat_str=token_counts.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_cut_texts_have_the_tokens_of_whole_ones(spark, small, monkeypatch):
+    enc, rng = encoder(), random.Random(2)
+    texts = [t for _, t in pairs(table(spark, small, "documents"))][:60]
+    texts += ["".join(rng.choice("ab.\n\t \r'sé—1") for _ in range(3000)) for _ in range(40)]
+    monkeypatch.setattr(token_counts, "PIECE", 50)
+    cut = 0
+    for t in texts:
+        parts = list(token_counts._pieces(np.frombuffer(t.encode(), np.uint8)))
+        assert [i for p in parts for i in enc.encode_ordinary(p)] == enc.encode_ordinary(t)
+        cut += len(parts) - 1
+    assert cut > 500
+
+
+@pytest.mark.parametrize("rule", token_counts.RULES)
+def test_tokens_of_fields(spark, rule):
+    enc, rng = encoder(), random.Random(7)
+    texts = {i: "".join(rng.choice(["the ", "é", "water", " of", "\n", "1", ". "]) for _ in range(80)) for i in range(30)} | {50: "", 51: None, 52: "no spans here"}
+    spans = []
+    for i in range(30):
+        cuts = sorted(rng.sample(range(len(texts[i]) + 20), 6))
+        spans += [(i, "title", cuts[0], cuts[1]), (i, "body", cuts[1], cuts[2]), (i, "title", cuts[4], cuts[5])]
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("field", F.lit("x")).withColumn("spans", F.lit(1))
+    table_ = spark.createDataFrame([*spans, (99, "x", 0, 5), (None, "x", 0, 5), (52, "x", None, 5), (50, "empty", 0, 0)], "doc_id long, field string, begin int, end int")
+    got = {}
+    for r in token_counts.count_tokens(docs, VOCABULARY, rule=rule, spans=table_).collect():
+        got.setdefault(r.doc_id, {})[r.section] = (r.field, r.begin, r.end, r.n_tokens)
+    for i in range(30):
+        text, own = texts[i], [s for s in spans if s[0] == i]
+        owner = [len(own)] * len(text)
+        for k, (_, _, a, b) in enumerate(own):
+            owner[a:b] = [k] * (min(b, len(text)) - min(a, len(text)))
+        piece = [0] * len(text)  # runs of one owner: two gaps are two runs
+        for c in range(1, len(text)):
+            piece[c] = piece[c - 1] + (owner[c] != owner[c - 1])
+        of_byte = [(owner[c], piece[c]) for c in range(len(text)) for _ in text[c].encode()]
+        want, at = [0] * (len(own) + 1), 0
+        for t in enc.encode_ordinary(text):
+            part = of_byte[at : at + len(enc.decode_single_token_bytes(t))]
+            at += len(part)
+            most = max(dict.fromkeys(part), key=lambda o: (part.count(o), -part.index(o)))
+            want[(part[0] if rule == "first" else part[-1] if rule == "last" else most)[0]] += 1
+        assert [got[i][k][3] for k in range(len(own) + 1)] == want
+        assert [got[i][k][:3] for k in range(len(own))] == [(f, min(a, len(text)), min(b, len(text))) for _, f, a, b in own]
+    assert got[50] == {0: ("empty", 0, 0, 0)} and 51 not in got and got[52] == {0: (None, None, None, len(enc.encode_ordinary(texts[52])))} and 99 not in got
+    for bad in ([(1, "a", 0, 5), (1, "b", 4, 6)], [(1, "a", 5, 4)], [(1, "a", -1, 4)]):
+        with pytest.raises(ValueError, match="overlap"):
+            token_counts.count_tokens(docs, VOCABULARY, spans=spark.createDataFrame(bad, table_.schema))
+
+
 # 6 classifier
 
 
@@ -448,7 +515,7 @@ def test_components_of_long_chains_take_few_rounds(spark, plain_plans, monkeypat
 # 8 quotations
 
 
-def test_quotations(spark, odd):
+def test_quotations(spark):
     rows = [
         (1, 0, "user", "How does it  work?\nPlease say."),
         (1, 1, "assistant", "> how does it work?\nIt works well."),
@@ -469,6 +536,33 @@ def test_quotations(spark, odd):
     assert link_quotations(out.select("conv_id", "turn", "role", "text").limit(0)).count() == 0
 
 
+def test_threads_of_replies(spark):
+    rows = [(1, 0, "user", "What is the first thing to do?"), (1, 1, "user", "And who is to do the second?"), (1, 2, "assistant", "> What is the first thing to do?\nRead what it says there."), (1, 3, "assistant", "> And who is to do the second?\nYou are the one to.")]
+    rows += [(1, 4 + k, "user", f"> {'Read what it says there.' if k % 2 == 0 else 'You are the one to.'}\nRemark {k} goes here.") for k in range(4)]
+    rows += [(2, k, "user", (f"> Message {k - 1} says a thing here.\n" if k else "") + f"Message {k} says a thing here.") for k in range(40)]
+    rows += [(3, 0, "user", "Both of them are the first."), (3, 1, "user", "> Both of them are the first.\nOne answer of two."), (3, 1, "user", "One more of the same turn."), (3, 2, "user", "> One more of the same turn.\nThis follows the other.")]
+    out = link_quotations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = {}
+    for r in sorted(out.collect(), key=lambda r: (r.conv_id, r.position)):
+        got.setdefault(r.conv_id, []).append((r.turn, r.parent, r.thread))
+    assert got[1] == [(0, None, 0), (2, 0, 0), (4, 2, 0), (6, 2, 0), (1, None, 1), (3, 1, 1), (5, 3, 1), (7, 3, 1)]
+    assert got[2] == [(k, k - 1 if k else None, 0) for k in range(40)]
+    assert got[3] == [(0, None, 0), (1, 0, 0), (2, 1, 0), (1, None, 1)]  # the first message of a turn stands for it
+
+
+def test_quotation_odd_rows(spark):
+    long = "\n".join(f"Line {i} of a very long message." for i in range(4000))
+    rows = [(1, 0, "user", long), (1, 0, "user", long), (1, 1, "assistant", "> Line 3999 of a very long message.\nYes."), (1, 1, "assistant", "> Line 3999 of a very long message.\nYes."), (1, 2, "user", "> " + long.replace("\n", "\n> ")), (None, None, None, None), (2, None, "user", "> \n>> \n\t\n"), (2, 5, "", ""), (2, 5, "", "")]
+    names = "conv_id long, turn long, role string, text string, rid int, scope int, at int, level int, part int, passage int, position int, thread int, parent int, h int, n int, _s int"
+    df = spark.createDataFrame([(*r, *([7] * 12)) for r in rows], names).repartition(3)
+    out = link_quotations(df).collect()
+    got = sorted((str(r.conv_id), str(r.turn), r.n_quotes, str(r.parent), r.depth, str(r.thread)) for r in out)
+    want = [("1", "0", 0, "None", 0, "0")] * 2 + [("1", "1", 1, "0", 1, "0")] * 2 + [("1", "2", 1, "0", 1, "0"), ("2", "5", 0, "None", 0, "5"), ("2", "5", 0, "None", 0, "5"), ("2", "None", 0, "None", 0, "None"), ("None", "None", 0, "None", 0, "None")]
+    assert got == want
+    for c in (1, 2, None):
+        assert sorted(r.position for r in out if r.conv_id == c) == list(range(sum(r[0] == c for r in rows)))
+
+
 def test_partial_and_wrapped_quotations(spark):
     whole = "First of all, hello there.\nHow are you?\n\nThe second paragraph has many\nwords on each of its lines\nand ends here.\n\nyes\nno\nBye for now."
     quotes = [
