@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspan.llm.arrays import runs
 from quillspan.llm.ranked import row_ids
 from quillspan.plans.scratch import Scratch
 
@@ -35,9 +36,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = F.split(F.col("text"), "\n", -1)
     filled = F.transform(F.filter(lines, _has_word), lambda x: F.struct(F.xxhash64(x).alias("h"), F.xxhash64(F.lit(1), x).alias("g")))
     hashed = base.select("id", "rid", filled.alias("s")).where(F.size("s") >= (1 if short else window))
-    # get() beyond the end gives nulls, which a hash skips
-    at = F.sequence(F.lit(0), F.greatest(F.size("s") - window, F.lit(0)) if short else F.size("s") - window)
-    both = F.transform(at, lambda i: F.struct(i.alias("pos"), F.xxhash64(*(F.get("s", i + k).h for k in range(window))).alias("h"), F.xxhash64(*(F.get("s", i + k).g for k in range(window))).alias("g")))
+    both = F.transform(runs(F.col("s"), window), lambda x, i: F.struct(i.alias("pos"), *(F.xxhash64(*(x[f"t{k}"][c] for k in range(window))).alias(c) for c in ("h", "g"))))
+    if short:  # get() beyond the end gives nulls, which a hash skips
+        whole = F.struct(F.lit(0).alias("pos"), *(F.xxhash64(*(F.get("s", F.lit(k))[c] for k in range(window))).alias(c) for c in ("h", "g")))
+        both = F.when(F.size("s") < window, F.array(whole)).otherwise(both)
     windows = scratch.write(hashed.select("id", "rid", F.inline(both)), "windows")
 
     place = F.struct(F.col("id"), F.col("rid"), F.col("pos"))

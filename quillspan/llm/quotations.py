@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspan.llm.arrays import runs
 from quillspan.llm.ranked import ranked, row_ids
 from quillspan.plans.scratch import Scratch
 
@@ -30,21 +31,24 @@ def _hashes(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("g")]
 
 
-def _line_pieces(passage: Column) -> Column:
-    """The passage, its lines, and its runs of lines with fewer than ANCHOR words together; normalised."""
-    lines = F.filter(F.transform(F.split(passage, "\n", -1), _normal), lambda x: x != "")
+def _line_pieces(parts: DataFrame) -> DataFrame:
+    """(scope, at, p): each passage, its lines, and its runs of lines with fewer than ANCHOR words together; normalised."""
+    # lines are a column of their own, so that a run doesn't split the passage again
+    lined = parts.select("scope", "at", _normal(F.col("passage")).alias("whole"), F.filter(F.transform(F.split("passage", "\n", -1), _normal), lambda x: x != "").alias("l"))
 
-    def runs(r: int) -> Column:
-        every = F.transform(F.sequence(F.lit(0), F.size(lines) - r), lambda i: F.array_join(F.slice(lines, i + 1, r), " "))
-        return F.when(F.size(lines) >= r, F.filter(every, lambda x: F.size(F.split(x, " ")) < ANCHOR)).otherwise(F.array().cast("array<string>"))
+    def short(r: int) -> Column:
+        every = F.transform(runs(F.col("l"), r), lambda x: F.concat_ws(" ", *(x[f"t{k}"] for k in range(r))))
+        return F.filter(every, lambda x: F.size(F.split(x, " ")) < ANCHOR)
 
-    return F.array_distinct(F.concat(F.array(_normal(passage)), lines, *map(runs, range(2, ANCHOR))))
+    return lined.select("scope", "at", F.explode(F.array_distinct(F.concat(F.array("whole"), "l", *map(short, range(2, ANCHOR))))).alias("p"))
 
 
 def passages(messages: DataFrame, text: str) -> DataFrame:
     """messages with (level, part, passage): one row a run of lines of one level with a word in it."""
     parsed = F.transform(F.split(text, "\n", -1), lambda x: F.struct(F.length(F.regexp_replace(F.regexp_extract(x, MARKS, 1), r"[^>]", "")).alias("level"), F.regexp_replace(x, MARKS, "").alias("line")))
-    starts = F.filter(F.transform("_lines", lambda x, i: F.when((i == 0) | (F.get("_lines", F.greatest(i - 1, F.lit(0))).level != x.level), i)), lambda i: i.isNotNull())
+    levels = F.transform("_lines", lambda x: x.level)
+    fresh = F.zip_with(levels, F.concat(F.array(F.lit(-1)), levels), lambda x, before: x.isNotNull() & (x != before))  # the second is one longer
+    starts = F.filter(F.transform(fresh, lambda new, i: F.when(new, i)), lambda i: i.isNotNull())
     bounded = messages.withColumn("_lines", parsed).withColumn("_starts", starts)
     until = F.get("_starts", F.col("part") + 1)
     out = bounded.select("*", F.posexplode("_starts").alias("part", "_from"))
@@ -81,12 +85,12 @@ def link_quotations(messages: DataFrame, scope: str = "conv_id", order: str = "t
     quotes = scratch.write(quotes, "passages")
     scopes = scratch.write(quotes.select("scope").distinct(), "quoting")
     parts = found.where("level = 0 and at is not null").join(scopes.withColumnRenamed("scope", "_s"), F.col("scope").eqNullSafe(F.col("_s")), "left_semi")
-    pieces = parts.select("scope", "at", F.explode(_line_pieces(F.col("passage"))).alias("p"))
+    pieces = _line_pieces(parts)
     # quotes of ANCHOR words or more: places of their first words, then windows of their lengths
     anchors = quotes.where(F.col("n") >= ANCHOR).groupBy(F.col("scope").alias("_s"), F.col("start").alias("_k")).agg(F.collect_set("n").alias("lengths"))
     anchors = scratch.write(anchors, "anchors")
     split = parts.select("scope", "at", "rid", "part", words.alias("w")).where(F.size("w") >= ANCHOR)
-    keys = F.transform(F.sequence(F.lit(0), F.size("w") - ANCHOR), lambda i: F.xxhash64(F.array_join(F.slice("w", i + 1, ANCHOR), " ")))
+    keys = F.transform(runs(F.col("w"), ANCHOR), lambda x: F.xxhash64(F.concat_ws(" ", *(x[f"t{k}"] for k in range(ANCHOR)))))
     places = split.select("scope", "rid", "part", F.posexplode(keys).alias("pos", "k"))
     hits = places.join(anchors, (F.col("k") == F.col("_k")) & F.col("scope").eqNullSafe(F.col("_s")))
     hits = scratch.write(hits.select("rid", "part", "pos", F.explode("lengths").alias("n")), "places")
