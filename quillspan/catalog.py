@@ -23,7 +23,8 @@ from quillspan.operators import metrics as M
 from quillspan.operators import ordered as O
 from quillspan.operators import retrieval as L
 from quillspan.operators import suggest as P
-from quillspan.session import table
+from quillspan.plans.scratch import Scratch
+from quillspan.session import spread, table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -69,7 +70,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 def _bm25(spark: SparkSession, d: str, k: int, keep: DataFrame | None = None) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text")
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return L.bm25(L.weighted_terms(q), L.postings(docs, {"text": 1}), k, keep, digits=6)
+    return L.bm25(L.weighted_terms(q), L.build_index(docs, {"text": 1}, Scratch(spark, "bm25")), k, keep, digits=6)
 
 
 @query(_BM25.format(keep="") + "SELECT query_id, doc_id, score, rank FROM ranked WHERE rank <= 10")
@@ -92,7 +93,7 @@ WITH f AS (SELECT p_partkey AS doc_id, unnest(list_filter(regexp_extract_all(low
 SELECT doc_id, term, CAST(sum(w) AS DOUBLE) AS tf FROM f GROUP BY ALL""")
 def q03_weighted_fields(spark, d):
     parts = table(spark, d, "part").withColumnRenamed("p_partkey", "doc_id")
-    return L.postings(parts, {"p_name": 3, "p_type": 2, "p_brand": 1})
+    return L.postings(L.build_index(parts, {"p_name": 3, "p_type": 2, "p_brand": 1}, Scratch(spark, "fields")))
 
 
 _DENSE = """
@@ -445,17 +446,18 @@ def q46_policy_overlay(spark, d):
 @query()
 def q47_anchor(spark, d):
     """The anchor of each document for the words of a fixed query; each is a slice of its text."""
-    docs = table(spark, d, "documents").select("doc_id", "text", F.array(F.lit("rest"), F.lit("heed")).alias("tokens"))
-    return docs.select("doc_id", C.anchor("text", "tokens").alias("a")).select("doc_id", "a.text", "a.start", "a.end")
+    docs = spread(table(spark, d, "documents").select("doc_id", "text")).withColumn("tokens", F.array(F.lit("rest"), F.lit("heed")))
+    return docs.select("doc_id", C.anchor(F.col("text"), F.col("tokens")).alias("a")).select("doc_id", "a.text", "a.start", "a.end")
 
 
 @query()
 def q48_compose_verify(spark, d):
-    """Responses composed around anchors, with the rules that each breaks."""
-    docs = table(spark, d, "documents").select("doc_id", "text", F.array(F.lit("rest")).alias("tokens")).withColumn("a", C.anchor("text", "tokens"))
-    run = C.compose(["Let us keep what was given to us, and let us pass it on to those who come after us in good order."] * 4, "We rely on what we have read.", "So be it.")
-    made = docs.withColumn("m", run(F.lit("To all,"), F.col("a.text"), F.lit("We name here what was asked of us today by all."), F.lit("Let it be heard.")))
-    return made.select("doc_id", C.spoken(F.col("m")).alias("spoken"), _join_col(C.violations(F.col("m"), F.col("text"))).alias("violations"))
+    """Responses composed around anchors, as the answers to requests are, with the rules that each breaks."""
+    docs = spread(table(spark, d, "documents").select("doc_id", "text", F.array("lang").alias("labels")))
+    rows = docs.select("*", F.array(F.lit("rest")).alias("tokens"), F.array(F.lit("en")).alias("q_labels"), F.lit(False).alias("for_others"), F.lit("It was asked of us today by all who read.").alias("subject"))
+    made = P.compose(rows, _BANK)
+    m = F.col("own.movements")
+    return made.select("doc_id", C.spoken(m).alias("spoken"), _join_col(C.violations(m, F.col("text"), address_declared=F.col("own.address_from_text"))).alias("violations"))
 
 
 def _join_col(col):
@@ -494,7 +496,7 @@ def q51_suggest(spark, d):
     """The whole answer to each benchmark text as a request, one row per suggestion; requests that abstain have none."""
     docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("title"), "text", F.array("lang").alias("labels"), F.lit("compose").alias("policy"))
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    out = P.suggest(asked, docs, L.postings(docs, {"title": 2, "text": 1}), _BANK, _CATEGORIES, _THEMES)
+    out = P.suggest(asked, docs, L.build_index(docs, {"title": 2, "text": 1}, Scratch(spark, "suggest")), _BANK, _CATEGORIES, _THEMES)
     each = out.select("query_id", "status", F.explode("suggestions").alias("s"))
     return each.select("query_id", "status", F.col("s.rank"), F.col("s.doc_id"), F.col("s.score"), F.array_join("s.matched_on", "|").alias("matched_on"), F.col("s.spoken"), F.col("s.word_count").cast("long").alias("word_count"))
 

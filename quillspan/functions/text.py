@@ -47,6 +47,11 @@ def english_list(items: Column) -> Column:
     return F.when(n == 0, "prayer").when(n == 1, F.get(clean, 0)).otherwise(F.concat(head, F.lit(" and "), F.get(clean, n - 1)))
 
 
+def n_words(text: Column) -> Column:
+    """Words between white space; none in a null."""
+    return F.coalesce(F.size(F.filter(F.split(text, r"\s+"), lambda w: w != "")), F.lit(0))
+
+
 def query_tokens(query: str) -> list[str]:
     return query.casefold().split()
 
@@ -93,6 +98,11 @@ def pick(seed: Column, salt: str, n: int, byte: int = 0) -> Column:
     return F.conv(F.substring(F.sha2(F.concat(seed, F.lit("|" + salt)), 256), 1 + 2 * byte, 2), 16, 10).cast("int") % n
 
 
+def choice(options: tuple[str, ...], seed: Column, salt: str) -> Column:
+    """One of options, the same for the same seed and salt; empty if there are none."""
+    return F.get(F.array(*map(F.lit, options)), pick(seed, salt, len(options))) if options else F.lit("")
+
+
 def rotate(items: Column, start: Column) -> Column:
     n = F.size(items)
     k = F.when(n > 0, start % F.greatest(n, F.lit(1))).otherwise(0)

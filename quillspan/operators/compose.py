@@ -1,6 +1,6 @@
 """Composition of a response around a verbatim anchor, and its verification.
 
-Choice of the anchor and the word budget are iterative, so they run as one Arrow UDF per record; verification is made of columns.
+The choice of an anchor is iterative, so it runs as an Arrow UDF per record; everything else, the word budget too, is made of columns.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspan.functions.text import ngrams, words
+from quillspan.functions.text import WORD, n_words
 
 MOVEMENTS = ("address", "anchor", "naming", "ask", "trust", "close")
 LOW, HIGH = 60, 180
@@ -93,43 +93,18 @@ ANCHOR = T.StructType([T.StructField("text", T.StringType()), T.StructField("sta
 
 
 @F.pandas_udf(ANCHOR)
-def anchor(text: pd.Series, tokens: pd.Series) -> pd.DataFrame:
-    """The anchor of each text for the tokens of a query: always a slice of the text; null if it has no word."""
+def anchor_within(text: pd.Series, tokens: pd.Series, low: pd.Series, high: pd.Series, after: pd.Series) -> pd.DataFrame:
+    """The anchor of low to high words after an offset of each text, for the tokens of a query: always a slice of the text; null if it has none."""
     rows = []
-    for t, w in zip(text, tokens, strict=True):
-        found = choose_anchor(t, set(w) if w is not None else set()) if isinstance(t, str) else None
+    for t, w, lo, hi, at in zip(text, tokens, low, high, after, strict=True):
+        found = choose_anchor(t, set(w) if w is not None else set(), int(lo), int(hi), int(at)) if isinstance(t, str) else None
         rows.append((t[found[0] : found[1]], *found) if found else (None, None, None))
     out = pd.DataFrame(rows, columns=["text", "start", "end"])
     return out.astype({"start": "Int32", "end": "Int32"})
 
 
-def budget(parts: dict[str, str], trust: str, extensions: list[str], low: int = LOW, high: int = HIGH) -> dict[str, str]:
-    """Movements brought to low..high words: a trust line, then extensions of the ask; or a shorter naming, then a shorter anchor."""
-    out = dict(parts)
-    count = lambda: sum(len(v.split()) for v in out.values())
-    if count() < low and not out.get("trust"):
-        out["trust"] = trust
-    for line in extensions:
-        if count() >= low:
-            break
-        out["ask"] = f"{out.get('ask', '')} {line}".strip()
-    for key in ("naming", "anchor"):
-        have = out.get(key, "").split()
-        if (over := count() - high) > 0 and have:
-            keep = max(8, len(have) - over)
-            out[key] = " ".join(have[:keep]) + ("..." if key == "naming" and keep < len(have) else "")
-    return {k: out[k] for k in MOVEMENTS if out.get(k)}
-
-
-def compose(extensions: list[str], trust: str, close: str):
-    """An Arrow UDF (address, anchor, naming, ask) -> movement texts in order."""
-
-    @F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
-    def run(address: pd.Series, anchor_: pd.Series, naming: pd.Series, ask: pd.Series) -> pd.Series:
-        rows = zip(address, anchor_, naming, ask, strict=True)
-        return pd.Series([budget({"address": a or "", "anchor": b or "", "naming": c or "", "ask": d or "", "close": close}, trust, extensions) for a, b, c, d in rows])
-
-    return run
+def anchor(text: Column, tokens: Column, low: Column | int = 8, high: Column | int = 45, after: Column | int = 0) -> Column:
+    return anchor_within(text, tokens, *(F.lit(x).cast("int") if isinstance(x, int) else x.cast("int") for x in (low, high, after)))
 
 
 def spoken(movements: Column) -> Column:
@@ -138,16 +113,35 @@ def spoken(movements: Column) -> Column:
     return F.array_join(F.filter(each, lambda x: F.coalesce(F.trim(x), F.lit("")) != ""), "\n")
 
 
-def violations(movements: Column, passage: Column, anchor_osis: Column | None = None, verses: Column | None = None, n: int = 6, forbidden: str | None = None) -> Column:
-    """Names of the rules broken: missing_<movement>, anchor_not_verbatim, citation, quotes_passage, words, harm."""
+@F.pandas_udf(T.BooleanType())
+def quotes(texts: pd.Series, passage: pd.Series, n: pd.Series) -> pd.Series:
+    """Whether any run of n words of one of the texts stands in the passage; the few runs of the texts are looked for in its words."""
+    out = []
+    for own, whole, k in zip(texts, passage, n, strict=True):
+        said = [t for t in map(_words, own if own is not None else ()) if len(t) >= k]
+        held = f" {' '.join(_words(whole))} " if said else ""
+        out.append(any(f" {' '.join(t[i : i + k])} " in held for t in said for i in range(len(t) - k + 1)))
+    return pd.Series(out, dtype=bool)
+
+
+def _words(text: str | None) -> list[str]:
+    return re.findall(WORD, text.lower()) if isinstance(text, str) else []
+
+
+def violations(movements: Column, passage: Column, osis: Column | None = None, verses: Column | None = None, n: int = 6, forbidden: str | None = None, stern: Column | None = None, address_declared: Column | None = None) -> Column:
+    """Names of the rules broken: missing_<movement>, anchor_not_verbatim, citation, quotes_passage, words, harm.
+
+    osis must be one of verses, where both are given. An address may quote the passage only where it is declared to be its own (all are if
+    address_declared isn't given). forbidden is looked for in the ask of stern records (of all if stern isn't given).
+    """
     get = lambda m: F.coalesce(F.try_element_at(movements, F.lit(m)), F.lit(""))
     missing = [F.when(F.trim(get(m)) == "", f"missing_{m}") for m in ("address", "anchor", "naming", "ask", "close")]
-    own = F.array_join(F.array(*(get(m) for m in MOVEMENTS if m not in ("anchor", "address"))), " | ")
-    quoted = F.coalesce(F.arrays_overlap(ngrams(words(own), n), ngrams(words(passage), n)), F.lit(False))
-    count = F.size(F.filter(F.split(spoken(movements), r"\s+"), lambda w: w != ""))
-    rules = [*missing, F.when(~F.contains(passage, get("anchor")), "anchor_not_verbatim"), F.when(quoted, "quotes_passage"), F.when(~count.between(LOW, HIGH), "words")]
-    if anchor_osis is not None and verses is not None:
-        rules.append(F.when(~F.coalesce(F.array_contains(verses, anchor_osis), F.lit(False)), "citation"))
+    address = F.lit("") if address_declared is None else F.when(F.coalesce(address_declared, F.lit(False)), "").otherwise(get("address"))
+    quoted = quotes(F.array(address, *(get(m) for m in MOVEMENTS if m not in ("anchor", "address"))), passage, F.lit(n))
+    rules = [*missing, F.when(~F.contains(passage, get("anchor")), "anchor_not_verbatim"), F.when(quoted, "quotes_passage"), F.when(~n_words(spoken(movements)).between(LOW, HIGH), "words")]
+    if osis is not None and verses is not None:
+        rules.append(F.when(~F.coalesce(F.array_contains(verses, osis), F.lit(False)), "citation"))
     if forbidden:
-        rules.append(F.when(F.lower(get("ask")).rlike(forbidden), "harm"))
+        harm = F.lower(get("ask")).rlike(forbidden)
+        rules.append(F.when(harm if stern is None else harm & F.coalesce(stern, F.lit(False)), "harm"))
     return F.array_compact(F.array(*rules))

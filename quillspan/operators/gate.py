@@ -55,23 +55,45 @@ def analyse(df: DataFrame, text: str, themes: list[Theme], markers: list[str] |
     return out.withColumns({w: gathered(w) for w in ("labels", "contexts", "expansions")} | {"for_others": any_term(F.col(text), markers or [])})
 
 
-#: Rewrites from the first to the third person, in order; case counts.
-PERSONS = ((r"\bI am\b", "they are"), (r"\bI was\b", "they were"), (r"\bI have\b", "they have"), (r"\bI\b", "they"), (r"\b[Mm]yself\b", "themselves"), (r"\b[Mm]y\b", "their"), (r"\b[Mm]ine\b", "theirs"), (r"\bme\b", "them"))
-CONTRACTIONS = (("i'm", "i am"), ("i've", "i have"), ("i'll", "i will"), ("i'd", "i would"), ("can't", "cannot"), ("won't", "will not"), ("n't", " not"), ("'re", " are"), ("'ve", " have"), ("'ll", " will"))
-
-
-def subject(text: Column, words: int = 40) -> Column:
-    """The situation as a third-person clause: contractions written out, at most words words, first letter upper, full stop."""
-    out = collapse(F.translate(text, "’", "'"))
-    for short, long in CONTRACTIONS:
-        edge = r"\b" if short[0].isalpha() and short != "n't" else ""
-        out = F.regexp_replace(out, rf"(?i){edge}{short}\b", ("I" + long[1:]) if long.startswith("i ") else long)
-    for pattern, to in PERSONS:
-        out = F.regexp_replace(out, pattern, to)
+# Short forms and what they stand for.
+CONTRACTIONS = {
+    "i'm": "I am", "i've": "I have", "i'd": "I would", "i'll": "I will", "can't": "cannot", "won't": "will not", "don't": "do not", "doesn't": "does not", "didn't": "did not",
+    "isn't": "is not", "aren't": "are not", "wasn't": "was not", "weren't": "were not", "haven't": "have not", "hasn't": "has not", "hadn't": "had not", "couldn't": "could not",
+    "wouldn't": "would not", "shouldn't": "should not", "it's": "it is", "that's": "that is", "there's": "there is", "we've": "we have", "we're": "we are", "they're": "they are",
+    "he's": "he is", "she's": "she is", "let's": "let us",
+}
+# Words of the first person and of the third, in the order of their replacement; case counts.
+PERSONS = {"I am": "they are", "I have": "they have", "I was": "they were", "I": "they", "my": "their", "My": "Their", "me": "them", "myself": "themselves", "mine": "theirs"}
+
+
+def written_out(text: Column) -> Column:
+    """Contractions written out; one that begins with a capital gives a capital. Curly apostrophes count as straight ones."""
+    pieces = F.regexp_extract_all(F.translate(text, "’", "'"), F.lit(r"[A-Za-z]+'[a-z]+\b|[A-Za-z]+|[^A-Za-z]+"), F.lit(0))
+    known = F.create_map(*(F.lit(x) for kv in CONTRACTIONS.items() for x in kv))
+
+    def one(piece: Column) -> Column:
+        long = F.try_element_at(known, F.lower(piece))
+        first = F.substring(piece, 1, 1)
+        capital = F.concat(F.upper(F.substring(long, 1, 1)), F.lower(F.substring(long, F.lit(2), F.length(long))))
+        return F.when(long.isNull(), piece).when((first == F.lower(first)) | F.startswith(long, F.lit("I")), long).otherwise(capital)
+
+    return F.array_join(F.transform(pieces, one), "")
+
+
+def third_person(text: Column) -> Column:
+    for first, third in PERSONS.items():
+        text = F.regexp_replace(text, rf"\b{first}\b", third)
+    return text
+
+
+def subject(text: Column, for_others: Column, words: int = 40) -> Column:
+    """The situation as a clause: contractions written out, at most words words, first letter upper, full stop; in the third person if it is for others."""
+    out = written_out(collapse(text))
     parts = F.split(out, " ")
-    cut = F.when(F.size(parts) > words, F.concat(F.array_join(F.slice(parts, 1, words), " "), F.lit("..."))).otherwise(out)
-    ended = F.when(cut.rlike(r"[.!?]$"), cut).otherwise(F.concat(cut, F.lit(".")))
-    return F.concat(F.upper(F.substring(ended, 1, 1)), F.substring(ended, F.lit(2), F.length(ended)))
+    cut = F.when(F.size(parts) > words, F.concat(F.regexp_replace(F.array_join(F.slice(parts, 1, words), " "), "[,;:]+$", ""), F.lit("..."))).otherwise(out)
+    ended = F.when(cut.rlike("[.!?…]$") | (cut == ""), cut).otherwise(F.concat(cut, F.lit(".")))
+    said = F.concat(F.upper(F.substring(ended, 1, 1)), F.substring(ended, F.lit(2), F.length(ended)))
+    return F.when(for_others, third_person(said)).otherwise(said)
 
 
 def with_policy(records: DataFrame, policy: DataFrame, default: str = "compose") -> DataFrame:

@@ -12,6 +12,7 @@ from quillspan.operators import intervals as I
 from quillspan.operators import metrics as M
 from quillspan.operators import ordered as O
 from quillspan.operators import retrieval as L
+from quillspan.plans.scratch import Scratch
 from quillspan.plans import registry
 from quillspan.sources import files
 from quillspan.streaming.gate_stream import gated
@@ -83,9 +84,9 @@ def test_filters_and_ties(spark):
     ids = lambda f: [r.doc_id for r in docs.where(f.column(docs)).orderBy("doc_id").collect()]
     assert ids(L.Filters()) == [1, 3, 4] and ids(L.Filters(canon=("OT",), exclude_ids=(4,))) == [1] and ids(L.Filters(allowed=("a", "b"))) == [1]
     same = spark.createDataFrame([(1, "love peace"), (2, "love peace"), (3, "war")], "doc_id long, text string")
-    out = L.bm25(L.weighted_terms(spark.createDataFrame([(9, "peace peace and")], "query_id long, text string")), L.postings(same, {"text": 2}), 5).collect()
+    out = L.bm25(L.weighted_terms(spark.createDataFrame([(9, "peace peace and")], "query_id long, text string")), L.build_index(same, {"text": 2}, Scratch(spark, "test")), 5).collect()
     assert [r.doc_id for r in out] == [1, 2] and out[0].score == out[1].score
-    terms = L.matched_terms(L.weighted_terms(spark.createDataFrame([(9, "love peace")], "query_id long, text string")), L.postings(same, {"text": 1})).where("doc_id = 1").first()
+    terms = L.matched_terms(L.weighted_terms(spark.createDataFrame([(9, "love peace")], "query_id long, text string")), L.build_index(same, {"text": 1}, Scratch(spark, "test"))).where("doc_id = 1").first()
     assert terms.terms == ["peace", "love"]
 
 
@@ -129,16 +130,18 @@ def test_gate_and_analysis(spark):
     out = gated(df, "text", [G.Category("body", ["ill"]), G.Category("food", [], ["won't eat"])], [G.Theme("health", ["ill"], ["petition"], [], ["heal"])])
     assert [r.hits for r in out.collect()] == [["body", "food"], [], []]
     assert out.first().labels == ["petition"] and out.first().expansions == ["heal"]
-    assert df.select(G.subject(F.col("text"))).first()[0] == "They are ill and their daughter will not eat."
+    assert df.select(G.subject(F.col("text"), F.lit(True))).first()[0] == "they are ill and Their daughter will not eat."
+    said = "It's my job, and I can't sleep; Don't say he's  wrong. I'd go" + " on" * 40
+    mine = spark.createDataFrame([(said,), ("  ",), ("I’ve seen X'mas and rock'n'roll!",)], "text string").select(G.subject(F.col("text"), F.lit(False))).collect()
+    assert mine[0][0].startswith("It is my job, and I cannot sleep; Do not say he is wrong. I would go on on") and mine[0][0].endswith(" on...") and len(mine[0][0].split()) == 40
+    assert [r[0] for r in mine[1:]] == ["", "I have seen X'mas and rock'n'roll!"]
 
 
-def test_anchor_is_verbatim_and_budget():
+def test_anchor_is_verbatim():
     text = "He came and said: “O Lord my God, hear the prayer which your servant prays before you today; keep your word.” Then he went."
     a, b = C.choose_anchor(text, {"prayer"})
     assert "“" not in text[a:b] and text[a:b] in text and 8 <= len(text[a:b].split()) <= 45
     assert C.choose_anchor("   ", set()) is None and C.choose_anchor("word " * 100, set()) == (0, 45 * 5 - 1)
-    parts = C.budget({"address": "O Lord,", "anchor": "a " * 20, "naming": "n " * 10, "ask": "Help.", "close": "Amen."}, "We trust you.", ["Be near us all this day and night."] * 5)
-    assert C.LOW <= sum(len(v.split()) for v in parts.values()) <= C.HIGH and list(parts) == ["address", "anchor", "naming", "ask", "trust", "close"]
 
 
 def test_violations(spark):
@@ -147,6 +150,12 @@ def test_violations(spark):
     got = column(spark, C.violations(F.col("m"), F.lit(passage), forbidden="smite"), m=m)
     assert got == ["quotes_passage", "words", "harm"]
     assert "anchor_not_verbatim" in column(spark, C.violations(F.col("m"), F.lit("other"), forbidden=None), m=m)
+    assert "harm" not in column(spark, C.violations(F.col("m"), F.lit(passage), forbidden="smite", stern=F.lit(False)), m=m)
+    told = {"address": "one two three four five six,", "anchor": "two three", "naming": "w " * 60, "ask": "Help.", "close": "Amen."}
+    rules = lambda **k: column(spark, C.violations(F.col("m"), F.lit(passage), **k), m=told)
+    assert rules() == [] and rules(address_declared=F.lit(True)) == [] and rules(address_declared=F.lit(False)) == ["quotes_passage"]
+    cited = F.array(F.lit("A.1.1"), F.lit("A.1.2"))
+    assert rules(osis=F.lit("A.1.2"), verses=cited) == [] and rules(osis=F.lit("A.1.3"), verses=cited) == ["citation"] and rules(osis=F.lit(None).cast("string"), verses=cited) == ["citation"]
 
 
 def test_policy_last_wins_and_counts(spark):
