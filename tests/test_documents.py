@@ -27,8 +27,9 @@ BOOKS = R.Books({"ge": "Gen", "genesis": "Gen", "mt": "Matt", "mk": "Mark", "sus
         ("", None),
     ],
 )
-def test_lists(raw, want):
-    rows, problem = D.listed(raw, BOOKS)
+def test_lists(spark, raw, want):
+    parsed = spark.createDataFrame([(raw,)], "raw string").select(D.list_parser(BOOKS)("raw").alias("x")).first().x
+    rows, problem = [tuple(r) for r in parsed.refs], parsed.problem
     assert (problem is None) == (want is not None) and [r[:6] for r in rows] == (want or [])
 
 
