@@ -402,8 +402,10 @@ def q40_text_quality(spark, d):
 d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9'']+') AS w FROM documents), h AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+5], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 4)) AS i FROM d WHERE len(w) >= 6))
 SELECT doc_id, item_id, count(*) AS shared FROM g JOIN h USING (g) GROUP BY ALL""")
 def q41_quoted_ngrams(spark, d):
-    grams = lambda df, i: df.select(i, F.explode(X.ngrams(X.words(F.col("text")), 6)).alias("g")).distinct()
-    both = grams(table(spark, d, "benchmark"), "item_id").join(grams(table(spark, d, "documents"), "doc_id"), "g")
+    grams = lambda df, i: df.select(i, F.explode(X.ngrams(X.words(F.col("text")), 6)).alias("g"))
+    # the items' runs come first: only runs of documents that meet one of them are exchanged
+    items = grams(table(spark, d, "benchmark"), "item_id").distinct()
+    both = grams(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id").join(items, "g").distinct()
     return both.groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
 
 
