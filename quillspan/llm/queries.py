@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -98,8 +99,11 @@ SELECT d.doc_id, CAST(CASE WHEN d.text IS NULL THEN 0 ELSE len(string_split(d.te
 FROM documents d LEFT JOIN removed r ON r.doc_id = d.doc_id LEFT JOIN kept k ON k.doc_id = d.doc_id
 """
 
-_PHRASES = "|".join(p for of_language in BOILERPLATE.values() for p in of_language)
-_OP4 = rf"""
+
+def quality_rules_sql(boilerplate: dict[str, tuple[str, ...]]) -> str:
+    """op4's SQL for phrases of any characters: signs of patterns stand for themselves, quotes are doubled."""
+    phrases = "|".join(re.escape(p).replace("\\ ", " ") for of_language in boilerplate.values() for p in of_language).replace("'", "''")
+    return rf"""
 WITH base AS (
   SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
 ), counted AS (
@@ -114,7 +118,7 @@ WITH base AS (
       OR 10 * (length(solid) - length(regexp_replace(solid, '[#*$%&|<>~^=@]', '', 'g'))) > length(solid)
       OR (len(list_filter(w, lambda x: x LIKE '%!!')) >= 3 AND 10 * len(list_filter(w, lambda x: x LIKE '%!!')) >= 3 * len(w))
       OR length(solid) - length(regexp_replace(solid, '[|>]', '', 'g')) >= 3
-      OR regexp_matches(line, '(?i)(?:{_PHRASES})')) AS fails FROM filled
+      OR regexp_matches(line, '(?i)(?:{phrases})')) AS fails FROM filled
 ), per_doc AS (
   SELECT doc_id, sum(CASE WHEN fails THEN n ELSE 0 END) AS lost_words, sum(fails::INT) AS lost_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM judged GROUP BY doc_id
 ), grams AS (
@@ -133,6 +137,7 @@ SELECT *, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
 FROM figures
 """
 
+
 _HOST = "regexp_replace(substr(url, strpos(url, '://') + 3), '[/?#].*$', '', 's')"
 _OP10 = f"""
 WITH parts AS (
@@ -194,4 +199,4 @@ LEFT JOIN parents p ON p.conv_id = c.conv_id AND p.turn = c.turn LEFT JOIN own o
 
 def oracle_sql() -> dict[str, str]:
     """op1 has none only for want of a CRC function in DuckDB; it, op3, op5, op6, op7 and op9 are tested against brute force."""
-    return {"op2_line_dedup": _OP2, "op4_quality_rules": _OP4, "op8_chat_formatting": _OP8, "op10_url_filter": _OP10}
+    return {"op2_line_dedup": _OP2, "op4_quality_rules": quality_rules_sql(BOILERPLATE), "op8_chat_formatting": _OP8, "op10_url_filter": _OP10}

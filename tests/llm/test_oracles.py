@@ -2,7 +2,8 @@ import random
 
 import pytest
 
-from quillspan.llm import queries
+from quillspan.llm import quality_rules, queries
+from quillspan.session import table
 from tests.compare import same
 
 
@@ -31,3 +32,12 @@ def test_quotation_sql_on_quotes(spark, tmp_path):
     got = queries.op8_chat_formatting(spark, str(tmp_path))
     assert got.where("parent is not null").count() > 150 and got.where("thread <> turn").count() > 150
     same(spark, str(tmp_path), queries.op8_chat_formatting, queries.oracle_sql()["op8_chat_formatting"], ["conversations"])
+
+
+def test_quality_rules_sql_of_phrases_with_signs(spark, tmp_path):
+    phrases = {"en": ("don't (ever) track", "c++ [beta]", "50% off"), "fr": ("s'inscrire",)}
+    texts = ["It is a line of words that ends well.\nPlease DON'T (ever) track me here.\nOne more line, it ends.", "We write c++ [beta] and so on, to the end of it all.", "ccc beta is no such phrase, and this line of words stays.", "Cliquez pour s'inscrire ici, et encore des mots.\nUne autre ligne de mots qui reste ici.", "Now at 50% off, as we say in these ten words here.", None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").toPandas().to_parquet(tmp_path / "documents.parquet")
+    got = quality_rules.clean_documents(table(spark, str(tmp_path), "documents"), boilerplate=phrases)
+    assert [r.lost_lines for r in got.orderBy("doc_id").collect()] == [1, 1, 0, 1, 1, 0, 0]
+    same(spark, str(tmp_path), lambda s, d: quality_rules.clean_documents(table(s, d, "documents"), boilerplate=phrases), queries.quality_rules_sql(phrases), ["documents"])
