@@ -15,6 +15,7 @@ from quillspan.llm.quality_classifier import classify_quality
 from quillspan.llm.quality_rules import BOILERPLATE, clean_documents
 from quillspan.llm.quotations import link_quotations
 from quillspan.llm.sharding import shard_documents
+from quillspan.llm.structure import repair_damaged
 from quillspan.llm.token_counts import count_tokens
 from quillspan.llm.url_filter import filter_urls
 from quillspan.session import table
@@ -64,8 +65,12 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_damaged(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_sharding, op2_line_dedup, op3_decontamination, op4_quality_rules, op5_token_counts, op6_quality_classifier, op7_minhash_near_dup, op8_chat_formatting, op9_source_mixing, op10_url_filter)
+    every = (op1_sharding, op2_line_dedup, op3_decontamination, op4_quality_rules, op5_token_counts, op6_quality_classifier, op7_minhash_near_dup, op8_chat_formatting, op9_source_mixing, op10_url_filter, op11_structure_repair)
     return {f.__name__: f for f in every}
 
 
@@ -196,7 +201,61 @@ FROM conversations c LEFT JOIN counts k ON k.conv_id = c.conv_id AND k.turn = c.
 LEFT JOIN parents p ON p.conv_id = c.conv_id AND p.turn = c.turn LEFT JOIN own o ON o.conv_id = c.conv_id AND o.turn = c.turn
 """
 
+_OP11 = r"""
+WITH RECURSIVE bytes AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc
+), keyed AS (
+  SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations
+), dealt AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(list_prepend(4294967295, list_transform(string_split(k, ''), lambda x: CAST(ord(x) AS BIGINT))), lambda c, x: xor(c >> 8, crc[(xor(c, x) & 255) + 1])), 4294967295) % 20 AS kind FROM keyed, bytes
+), bad AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM dealt, (VALUES (1), (2)) AS copies(n) WHERE kind <> 0 AND (n = 1 OR kind = 3)
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p FROM bad
+), faulty AS (
+  SELECT *, left(role, 1) AS initial, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY p) > 1 THEN 'duplicate'
+    WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE 'fine' END AS fault FROM placed
+), pairs AS (
+  SELECT conv_id, lag(initial) OVER (PARTITION BY conv_id ORDER BY p) || initial AS pair FROM faulty
+), follow(s, r, t) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)
+), inserted(s, t, letters, cost) AS (
+  SELECT s, s, '', 0 FROM (VALUES (0), (1), (2), (3)) AS v(s) UNION ALL SELECT s, t, 'I', 5 FROM follow WHERE r <> 's'
+  UNION ALL SELECT f.s, g.t, 'II', 10 FROM follow f JOIN follow g ON g.s = f.t WHERE f.r <> 's' AND g.r <> 's'
+), best AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS p, i.t AS s, i.letters AS audit, i.cost FROM conversations, inserted i WHERE i.s = 0
+  UNION ALL
+  SELECT conv_id, p, s, audit, cost FROM (
+    SELECT b.conv_id, f.p, i.t AS s, b.audit || m.letter || i.letters AS audit, b.cost + m.cost + i.cost AS cost,
+      row_number() OVER (PARTITION BY b.conv_id, i.t ORDER BY b.cost + m.cost + i.cost, b.audit || m.letter || i.letters) AS nth
+    FROM best b JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM b.conv_id AND f.p = b.p + 1
+    JOIN (SELECT s, s AS t, 'D' AS letter, '' AS r, 2 AS cost FROM (VALUES (0), (1), (2), (3)) AS v(s) UNION ALL SELECT s, t, 'K', r, 0 FROM follow UNION ALL SELECT s, t, 'R', r, 1 FROM follow WHERE r <> 's') AS m0
+      ON m0.s = b.s AND (m0.letter = 'D' OR (f.fault IN ('fine', 'truncated') AND (m0.letter = 'R' OR m0.r = f.initial)))
+    CROSS JOIN LATERAL (SELECT m0.t AS t, m0.letter AS letter, m0.cost + CASE WHEN m0.letter <> 'D' AND f.fault = 'truncated' THEN 5 ELSE 0 END AS cost) AS m
+    JOIN inserted i ON i.s = m.t
+  ) WHERE nth = 1
+), figures AS (
+  SELECT conv_id, count(*) AS rows, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated FROM faulty GROUP BY conv_id
+), wrong AS (
+  SELECT conv_id, count(*) AS illegal FROM pairs WHERE pair NOT IN ('su', 'ua', 'au') GROUP BY conv_id
+), solved AS (
+  SELECT c.conv_id, coalesce(f.rows, 0) AS rows, coalesce(f.gaps, 0) AS gaps, coalesce(f.blank, 0) AS blank, coalesce(f.duplicate, 0) AS duplicate, coalesce(f.truncated, 0) AS truncated, coalesce(w.illegal, 0) AS illegal, b.cost, b.audit
+  FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN figures f ON f.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN wrong w ON w.conv_id IS NOT DISTINCT FROM c.conv_id
+  JOIN (SELECT conv_id, p, cost, audit, row_number() OVER (PARTITION BY conv_id, p ORDER BY cost, audit) AS nth FROM best WHERE s IN (0, 3)) b ON b.conv_id IS NOT DISTINCT FROM c.conv_id AND b.p = coalesce(f.rows, 0) AND b.nth = 1
+), letters AS (
+  SELECT conv_id, j, substr(audit, j, 1) AS letter, length(regexp_replace(left(audit, j), 'I', '', 'g')) AS p, length(regexp_replace(left(audit, j), 'D', '', 'g')) AS q FROM (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS j FROM solved)
+), made AS (
+  SELECT l.conv_id, l.j, l.q, l.letter, f.role, f.text, max(CASE WHEN l.q = 1 AND l.letter = 'K' AND f.initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY l.conv_id) AS headed
+  FROM letters l LEFT JOIN faulty f ON l.letter <> 'I' AND f.conv_id IS NOT DISTINCT FROM l.conv_id AND f.p = l.p WHERE l.letter <> 'D'
+), digest AS (
+  SELECT conv_id, sha256(string_agg(CASE WHEN letter = 'K' THEN role WHEN (q - headed) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN letter = 'I' THEN '' ELSE text END, chr(10) ORDER BY j)) AS h FROM made GROUP BY conv_id
+)
+SELECT s.conv_id, s.rows, s.gaps, s.blank, s.duplicate, s.truncated, s.illegal, CAST(s.cost AS BIGINT) AS cost, s.audit, coalesce(d.h, sha256('')) AS repaired_sha256
+FROM solved s LEFT JOIN digest d ON d.conv_id IS NOT DISTINCT FROM s.conv_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """op1 has none only for want of a CRC function in DuckDB; it, op3, op5, op6, op7 and op9 are tested against brute force."""
-    return {"op2_line_dedup": _OP2, "op4_quality_rules": quality_rules_sql(BOILERPLATE), "op8_chat_formatting": _OP8, "op10_url_filter": _OP10}
+    return {"op2_line_dedup": _OP2, "op4_quality_rules": quality_rules_sql(BOILERPLATE), "op8_chat_formatting": _OP8, "op10_url_filter": _OP10, "op11_structure_repair": _OP11}
