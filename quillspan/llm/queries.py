@@ -18,6 +18,7 @@ from quillspan.llm.sharding import shard_documents
 from quillspan.llm.structure import repair_damaged
 from quillspan.llm.token_counts import count_tokens
 from quillspan.llm.url_filter import filter_urls
+from quillspan.llm.whitening import whiten
 from quillspan.session import table
 
 
@@ -69,8 +70,12 @@ def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_damaged(table(spark, sf_dir, "conversations"))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_sharding, op2_line_dedup, op3_decontamination, op4_quality_rules, op5_token_counts, op6_quality_classifier, op7_minhash_near_dup, op8_chat_formatting, op9_source_mixing, op10_url_filter, op11_structure_repair)
+    every = (op1_sharding, op2_line_dedup, op3_decontamination, op4_quality_rules, op5_token_counts, op6_quality_classifier, op7_minhash_near_dup, op8_chat_formatting, op9_source_mixing, op10_url_filter, op11_structure_repair, op12_embedding_whitening)
     return {f.__name__: f for f in every}
 
 
