@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspan.llm.decontaminate import find_leaks
+from quillspan.llm.language import identify_languages
 from quillspan.llm.line_dedup import dedup_lines
 from quillspan.llm.mixing import mix_documents
 from quillspan.llm.near_dup import near_dup_groups
@@ -74,8 +75,12 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_sharding, op2_line_dedup, op3_decontamination, op4_quality_rules, op5_token_counts, op6_quality_classifier, op7_minhash_near_dup, op8_chat_formatting, op9_source_mixing, op10_url_filter, op11_structure_repair, op12_embedding_whitening)
+    every = (op1_sharding, op2_line_dedup, op3_decontamination, op4_quality_rules, op5_token_counts, op6_quality_classifier, op7_minhash_near_dup, op8_chat_formatting, op9_source_mixing, op10_url_filter, op11_structure_repair, op12_embedding_whitening, op13_language_id)
     return {f.__name__: f for f in every}
 
 
@@ -262,5 +267,5 @@ FROM solved s LEFT JOIN digest d ON d.conv_id IS NOT DISTINCT FROM s.conv_id
 
 
 def oracle_sql() -> dict[str, str]:
-    """op1 has none only for want of a CRC function in DuckDB; it, op3, op5, op6, op7 and op9 are tested against brute force."""
+    """op1 has none only for want of a CRC function in DuckDB; it, op3, op5, op6, op7, op9, op12 and op13 are tested against brute force."""
     return {"op2_line_dedup": _OP2, "op4_quality_rules": quality_rules_sql(BOILERPLATE), "op8_chat_formatting": _OP8, "op10_url_filter": _OP10, "op11_structure_repair": _OP11}
