@@ -155,7 +155,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lan
 
     hashed = texts.select("lang", F.xxhash64("text").alias("h"))
     share = F.shiftrightunsigned("h", 11) / float(1 << 53)
-    sizes = hashed.groupBy("lang").agg(F.count("*").alias("rows"))
+    sizes = scratch.write(hashed.groupBy("lang").agg(F.count("*").alias("rows")), "sizes")  # written, so that the planner knows how few they are
     keys = hashed.join(sizes, "lang").where(share * F.col("rows") < per_lang).select("lang", "h").distinct()
     keys = scratch.write(keys.orderBy(F.shiftrightunsigned("h", 11), "h", "lang").limit(max_rows), "sample")
 
