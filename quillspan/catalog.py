@@ -18,11 +18,13 @@ from quillspan.operators import browse as B
 from quillspan.operators import compose as C
 from quillspan.operators import documents as D
 from quillspan.operators import gate as G
+from quillspan.operators import hybrid as H
 from quillspan.operators import intervals as I
 from quillspan.operators import metrics as M
 from quillspan.operators import ordered as O
 from quillspan.operators import retrieval as L
 from quillspan.operators import suggest as P
+from quillspan.operators import vector_index as V
 from quillspan.plans.scratch import Scratch
 from quillspan.session import spread, table
 
@@ -116,16 +118,37 @@ def q04_dense_topk(spark, d):
     return _dense(spark, d, 10).select("query_id", "doc_id", "score", F.col("rank").cast("long"))
 
 
-@query(_DENSE + """, second AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY (doc_id * 7919) % 1009, doc_id) AS r2 FROM ranked WHERE rank <= 25),
-lists AS (SELECT query_id, doc_id, rank AS r FROM ranked WHERE rank <= 25 UNION ALL SELECT query_id, doc_id, r2 FROM second WHERE r2 <= 12),
-fused AS (SELECT query_id, doc_id, round(least(1.0, sum(1.0 / (60 + r)) / (2.0 / 61)), 6) AS score, count(*) AS n_lists FROM lists GROUP BY ALL),
-best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM fused)
-SELECT query_id, doc_id, score, n_lists, rank FROM best WHERE rank <= 10""")
+_HYBRID = """
+WITH tok AS (SELECT doc_id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z'']+'), lambda t: length(t) > 2)) AS term FROM documents),
+post AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY ALL),
+len AS (SELECT doc_id, sum(tf) AS length FROM post GROUP BY ALL),
+whole AS (SELECT count(*) AS n, avg(length) AS mean FROM len),
+df AS (SELECT term, count(*) AS df FROM post GROUP BY ALL),
+q AS (SELECT doc_id AS query_id, term, tf AS w FROM post WHERE doc_id % 100 = 0),
+part AS (SELECT query_id, p.doc_id, term, q.w * greatest(0.01, ln(1 + (n - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean)) AS c
+  FROM q JOIN post p USING (term) JOIN df USING (term) JOIN len ON len.doc_id = p.doc_id CROSS JOIN whole WHERE p.doc_id <> query_id),
+lexical AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT query_id, doc_id, round(sum(c), 6) AS score FROM part GROUP BY ALL) QUALIFY rank <= 50),
+terms AS (SELECT query_id, doc_id, list(term ORDER BY c DESC, term DESC) AS terms FROM (SELECT query_id, doc_id, term, round(c, 9) AS c, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY round(c, 9) DESC, term DESC) AS nth FROM part SEMI JOIN lexical USING (query_id, doc_id)) WHERE nth <= 6 GROUP BY ALL),
+v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents)),
+u AS (SELECT vec_id, e, greatest(sqrt(list_dot_product(e, e)), 1e-12) AS n FROM v),
+dense AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, round(list_dot_product(a.e, b.e) / a.n / b.n, 6) AS score FROM u a JOIN u b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0) QUALIFY rank <= 50),
+lists AS (SELECT query_id, doc_id, rank, 0 AS of FROM lexical UNION ALL SELECT query_id, doc_id, rank, 1 FROM dense WHERE score > 0.05),
+fused AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)), 12) AS s, count(*) AS n, min(of) AS lo, max(of) AS hi FROM lists GROUP BY ALL),
+best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS rank FROM fused QUALIFY rank <= 10),
+why AS (SELECT b.*, list_concat(CASE WHEN d.lang = e.lang THEN [d.lang] ELSE [] END, CASE WHEN lo = 0 THEN terms ELSE [] END) AS r FROM best b JOIN documents d USING (doc_id) JOIN documents e ON e.doc_id = b.query_id LEFT JOIN terms t ON t.query_id = b.query_id AND t.doc_id = b.doc_id)
+SELECT query_id, doc_id, round(least(1.0, s / (2.0 / 61)), 4) AS score, rank, array_to_string(CASE lo WHEN 0 THEN CASE hi WHEN 1 THEN ['bm25', 'dense'] ELSE ['bm25'] END ELSE ['dense'] END, '|') AS sources,
+  array_to_string(CASE WHEN n > 1 THEN list_append(r[1:4], 'both retrievers agree') WHEN len(r) = 0 THEN ['semantic similarity'] ELSE r[1:5] END, '|') AS matched_on FROM why
+"""
+
+
+@query(_HYBRID)
 def q05_hybrid_rrf(spark, d):
-    first = _dense(spark, d, 25)
-    other = first.withColumn("score", -((F.col("doc_id") * 7919) % 1009)).drop("rank")
-    second = L.top_k(other, 12, [F.desc("score"), F.asc("doc_id")])
-    return L.fuse([first, second]).select("query_id", "doc_id", "score", "n_lists", F.col("rank").cast("long"))
+    """Every hundredth document (a stated query set) against all others, by its words and, where it has one, its vector."""
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    docs = table(spark, d, "documents").select("doc_id", "text", F.array("lang").alias("labels")).join(vectors, "doc_id", "left")
+    asked = docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "text", "vector", "labels", F.expr("cast(array() as array<string>)").alias("themes"))
+    out = H.retrieve(asked, docs, L.build_index(docs, {"text": 1}, Scratch(spark, "hybrid")), 10, floor=0.05, own=False)
+    return out.select("query_id", "doc_id", "score", F.col("rank").cast("long"), _join("sources").alias("sources"), _join("matched_on").alias("matched_on"))
 
 
 @query(_DENSE + """, best AS (SELECT query_id, max(CASE WHEN score - 0.45 <= 0 THEN 0 ELSE (score - 0.45) / (score - 0.45 + 0.22) END) AS s FROM ranked WHERE rank <= 5 GROUP BY ALL)
@@ -523,3 +546,25 @@ def q53_back_reference_kinds(spark, d):
     note = F.when(turn == 0, F.concat(F.lit("as previously quoted under "), kind)).when(turn == 1, F.concat(F.lit("As "), kind)).when(turn == 2, F.concat(F.lit("See "), kind)).otherwise(kind)
     notes = table(spark, d, "events").select("event_type", D.back_reference_kind(note).alias("kind"))
     return notes.groupBy("event_type", "kind").agg(F.count("*").alias("n"))
+
+
+# stored index ---------------------------------------------------------------------------------------------
+
+
+@query("""WITH docs AS (SELECT doc_id, text FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)),
+states AS (SELECT 1 AS build, doc_id, text FROM docs UNION ALL SELECT b, doc_id, CASE WHEN doc_id % 500 = 7 THEN text || ' More.' ELSE text END FROM docs, (VALUES (2), (3)) AS t(b) WHERE doc_id % 500 <> 8),
+rows AS (SELECT build, CAST(('0x' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 8)) AS BIGINT) % 16 AS part, sha256('v1|' || doc_id || '|' || text) AS h FROM states),
+now AS (SELECT build, part, count(*) AS n_rows, sha256(part || '|' || count(*) || '|' || CAST(sum(CAST(('0x' || substr(h, 1, 15)) AS BIGINT)) AS VARCHAR) || '|' || CAST(sum(CAST(('0x' || substr(h, 16, 15)) AS BIGINT)) AS VARCHAR)) AS fingerprint FROM rows GROUP BY build, part),
+kept AS (SELECT a.build, a.part, count(*) AS n FROM rows a JOIN rows b ON b.build = a.build - 1 AND b.h = a.h GROUP BY ALL)
+SELECT n.build, n.part, n.n_rows, coalesce(k.n, 0) AS kept, n.n_rows - coalesce(k.n, 0) AS encoded, coalesce(o.n_rows, 0) - coalesce(k.n, 0) AS removed,
+  CASE WHEN o.fingerprint = n.fingerprint THEN 'skipped' ELSE 'rewritten' END AS state, n.fingerprint
+FROM now n LEFT JOIN now o ON o.build = n.build - 1 AND o.part = n.part LEFT JOIN kept k ON k.build = n.build AND k.part = n.part""")
+def q54_vector_index(spark, d):
+    """Three builds of one index: from nothing, after a few documents were changed or taken out, and of the same rows again."""
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    docs = table(spark, d, "documents").select("doc_id", "text").join(vectors, "doc_id")
+    later = docs.where("doc_id % 500 <> 8").withColumn("text", F.when(F.col("doc_id") % 500 == 7, F.concat("text", F.lit(" More."))).otherwise(F.col("text")))
+    scratch = Scratch(spark, "index")
+    encode = lambda rows: rows.withColumn("vector", S.normalised(F.col("embedding")))
+    reports = [V.build(x, f"{scratch.base}/index", encode, "v1", parts=16).withColumn("build", F.lit(n)) for n, x in enumerate((docs, later, later), 1)]
+    return reports[0].unionByName(reports[1]).unionByName(reports[2]).withColumn("part", F.col("part").cast("long"))
