@@ -22,6 +22,7 @@ from quillspan.operators import hybrid as H
 from quillspan.operators import intervals as I
 from quillspan.operators import metrics as M
 from quillspan.operators import ordered as O
+from quillspan.operators import outline as T
 from quillspan.operators import retrieval as L
 from quillspan.operators import suggest as P
 from quillspan.operators import vector_index as V
@@ -568,3 +569,58 @@ def q54_vector_index(spark, d):
     encode = lambda rows: rows.withColumn("vector", S.normalised(F.col("embedding")))
     reports = [V.build(x, f"{scratch.base}/index", encode, "v1", parts=16).withColumn("build", F.lit(n)) for n, x in enumerate((docs, later, later), 1)]
     return reports[0].unionByName(reports[1]).unionByName(reports[2]).withColumn("part", F.col("part").cast("long"))
+
+
+# trees ----------------------------------------------------------------------------------------------------
+
+_NODES = """
+WITH RECURSIVE nodes AS (
+  SELECT 'r' || r_regionkey AS node, NULL AS parent, r_name AS label, false AS item FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name, false FROM nation
+  UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, c_name, false FROM customer
+  UNION ALL SELECT 'o' || o_orderkey, coalesce('o' || lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey), 'c' || o_custkey), 'order ' || o_orderkey, true FROM orders)
+"""
+
+
+def _nodes(spark, d):
+    """Regions, nations, customers and their orders, each order under the one before it: a tree as deep as the longest history."""
+    customer, orders = table(spark, d, "customer"), table(spark, d, "orders")
+    key = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    before = O.neighbours(orders.select("o_orderkey", "o_custkey"), ["o_custkey"], "o_orderkey", "o_orderkey")
+    parts = [
+        table(spark, d, "region").select(key("r", "r_regionkey").alias("node"), F.lit(None).cast("string").alias("parent"), F.col("r_name").alias("label"), F.lit(False).alias("item")),
+        table(spark, d, "nation").select(key("n", "n_nationkey"), key("r", "n_regionkey"), "n_name", F.lit(False)),
+        customer.select(key("c", "c_custkey"), key("n", "c_nationkey"), "c_name", F.lit(False)),
+        before.select(key("o", "o_orderkey"), F.coalesce(key("o", "previous"), key("c", "o_custkey")), F.concat(F.lit("order "), F.col("o_orderkey").cast("string")), F.lit(True)),
+    ]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+
+
+@query(_NODES + """, hits AS (SELECT node FROM nodes WHERE parent IS NOT NULL AND contains(lower(label), '77')),
+under AS (SELECT node FROM hits UNION SELECT n.node FROM nodes n JOIN under u ON n.parent = u.node),
+over_ AS (SELECT node, parent FROM nodes WHERE node IN (SELECT node FROM hits) UNION SELECT n.node, n.parent FROM nodes n JOIN over_ o ON n.node = o.parent),
+stay AS (SELECT node FROM under UNION SELECT node FROM over_),
+ups AS (SELECT node AS at, node, parent FROM nodes WHERE item AND node IN (SELECT node FROM stay) UNION ALL SELECT u.at, n.node, n.parent FROM ups u JOIN nodes n ON n.node = u.parent)
+SELECT s.node, h.node IS NOT NULL AS matched, CAST(coalesce(c.n, 0) AS BIGINT) AS n_items FROM stay s LEFT JOIN hits h ON h.node = s.node LEFT JOIN (SELECT node, count(*) AS n FROM ups GROUP BY node) c ON c.node = s.node""")
+def q55_filtered_tree(spark, d):
+    """The tree of regions, nations, customers and orders under a filter; regions are kept only for what is in them."""
+    out = T.prune(_nodes(spark, d), " 77 ", ["label"], F.col("item"), Scratch(spark, "tree"), searched=F.col("parent").isNotNull())
+    return out.select("node", "matched", "n_items")
+
+
+@query(_NODES + """, walk AS (SELECT node, parent, 0 AS depth, [node] AS path FROM nodes WHERE parent IS NULL UNION ALL SELECT n.node, n.parent, w.depth + 1, list_append(w.path, n.node) FROM nodes n JOIN walk w ON n.parent = w.node)
+SELECT node, CAST(depth AS BIGINT) AS depth, array_to_string(path, '/') AS path FROM walk""")
+def q56_tree_paths(spark, d):
+    """The way from the root to each node of the same tree."""
+    out = T.paths(_nodes(spark, d), F.col("node"), Scratch(spark, "paths"))
+    return out.select("node", F.col("depth").cast("long").alias("depth"), F.array_join("path", "/").alias("path"))
+
+
+@query("""WITH sections AS (SELECT n_nationkey AS section, n_regionkey * 100 + n_nationkey AS seq, n_regionkey AS intro, n_name AS label FROM nation),
+first AS (SELECT *, row_number() OVER (PARTITION BY intro ORDER BY seq) AS nth FROM sections),
+rows AS (SELECT seq, 0 AS k, 0 AS e, 'intro' AS kind, CAST(intro AS VARCHAR) AS id, label FROM first WHERE nth = 1 UNION ALL SELECT s.seq, 1, c_custkey, 'entry', CAST(c_custkey AS VARCHAR), c_name FROM customer JOIN sections s ON s.section = c_nationkey)
+SELECT row_number() OVER (ORDER BY seq, k, e) - 1 AS position, kind, id, label FROM rows""")
+def q57_reading_order(spark, d):
+    """Customers by nation, each region introduced where the first of its nations begins."""
+    sections = table(spark, d, "nation").select(F.col("n_nationkey").alias("section"), (F.col("n_regionkey") * 100 + F.col("n_nationkey")).alias("seq"), F.col("n_regionkey").alias("intro"), F.col("n_name").alias("label"))
+    entries = table(spark, d, "customer").select(F.col("c_nationkey").alias("section"), F.col("c_custkey").alias("seq"), F.col("c_custkey").alias("id"), F.col("c_name").alias("label"))
+    return T.reading_order(sections, entries, Scratch(spark, "reading"))
