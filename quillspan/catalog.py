@@ -15,8 +15,10 @@ from quillspan.functions import scoring as S
 from quillspan.functions import text as X
 from quillspan.operators import aggregates as A
 from quillspan.operators import browse as B
+from quillspan.operators import chapters as K
 from quillspan.operators import compose as C
 from quillspan.operators import documents as D
+from quillspan.operators import editions as E
 from quillspan.operators import gate as G
 from quillspan.operators import hybrid as H
 from quillspan.operators import intervals as I
@@ -624,3 +626,89 @@ def q57_reading_order(spark, d):
     sections = table(spark, d, "nation").select(F.col("n_nationkey").alias("section"), (F.col("n_regionkey") * 100 + F.col("n_nationkey")).alias("seq"), F.col("n_regionkey").alias("intro"), F.col("n_name").alias("label"))
     entries = table(spark, d, "customer").select(F.col("c_nationkey").alias("section"), F.col("c_custkey").alias("seq"), F.col("c_custkey").alias("id"), F.col("c_name").alias("label"))
     return T.reading_order(sections, entries, Scratch(spark, "reading"))
+
+
+# chapters and editions ------------------------------------------------------------------------------------
+
+_CITED = """
+WITH c AS (SELECT c_nationkey AS chapter, o_orderpriority AS topic, CASE WHEN o_orderstatus <> 'F' THEN o_orderstatus END AS sub, o_orderkey AS seq, o_custkey AS cust FROM orders JOIN customer ON o_custkey = c_custkey),
+nodes AS (SELECT DISTINCT chapter, topic, sub FROM c UNION SELECT DISTINCT chapter, topic, NULL FROM c)
+"""
+
+
+def _cited(spark, d):
+    """Nations as chapters, priorities as topics, states but F as subtopics, orders as citations."""
+    orders = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    sub = F.when(F.col("o_orderstatus") != "F", F.col("o_orderstatus"))
+    citations = orders.select(F.col("c_nationkey").alias("chapter"), F.col("o_orderpriority").alias("topic"), sub.alias("subtopic"), F.col("o_orderkey").alias("seq"), F.col("o_custkey").alias("cust"))
+    nodes = citations.select("chapter", "topic", "subtopic").union(citations.select("chapter", "topic", F.lit(None).cast("string"))).distinct()
+    topics = nodes.withColumns({"seq": F.concat_ws("/", "topic", "subtopic"), "id": F.concat_ws(":", F.lit("t"), F.col("chapter").cast("string"), "topic", "subtopic")})
+    return table(spark, d, "nation").select(F.col("n_nationkey").alias("chapter"), F.col("n_name").alias("title")), topics, citations
+
+
+@query(_CITED + """, held AS (SELECT chapter, topic, sub, string_agg(seq || '=' || cust, ',' ORDER BY seq) AS cites FROM c GROUP BY ALL),
+placed AS (SELECT *, dense_rank() OVER (PARTITION BY chapter ORDER BY topic) - 1 AS t, row_number() OVER (PARTITION BY chapter, topic ORDER BY sub NULLS FIRST) - 1 AS s FROM nodes)
+SELECT n_nationkey AS chapter, n_name AS title, (SELECT count(*) FROM c WHERE c.chapter = n_nationkey) AS n_citations, p.t AS topic_place, p.s AS place, 't:' || p.chapter || ':' || p.topic || coalesce(':' || p.sub, '') AS id, coalesce(p.sub, p.topic) AS label, coalesce(h.cites, '') AS citations
+FROM nation JOIN placed p ON p.chapter = n_nationkey LEFT JOIN held h ON h.chapter = p.chapter AND h.topic = p.topic AND h.sub IS NOT DISTINCT FROM p.sub""")
+def q58_chapter_documents(spark, d):
+    """Whole chapters, read back in their order: topics, their subtopics, and every citation of each."""
+    docs = K.chapter_documents(*_cited(spark, d))
+    flat = docs.select("chapter", "title", "n_citations", F.posexplode("topics").alias("topic_place", "t"))
+    node = lambda x: F.struct(x.id.alias("id"), x.label.alias("label"), x.citations.alias("citations"))
+    each = flat.select("chapter", "title", "n_citations", F.col("topic_place").cast("long"), F.posexplode(F.concat(F.array(node(F.col("t"))), F.transform("t.subtopics", node))).alias("place", "n"))
+    cites = F.array_join(F.transform("n.citations", lambda c: F.concat(c.seq.cast("string"), F.lit("="), c.cust.cast("string"))), ",")
+    return each.select("chapter", "title", "n_citations", "topic_place", F.col("place").cast("long"), "n.id", "n.label", cites.alias("citations"))
+
+
+@query(_CITED + "SELECT n_nationkey AS chapter, n_name AS title, (SELECT count(*) FROM nodes WHERE chapter = n_nationkey) AS n_topics, (SELECT count(*) FROM c WHERE chapter = n_nationkey) AS n_citations FROM nation")
+def q59_chapter_rollup(spark, d):
+    return K.chapter_rollup(*_cited(spark, d))
+
+
+@query("""WITH entries AS (SELECT p_brand || '/' || p_size AS section, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'R' AND l_linestatus = 'F' AND p_size > 3 GROUP BY ALL)
+SELECT 's.book.' || CASE WHEN p_size % 3 = 0 THEN p_brand || '-b' || p_size ELSE p.section END AS id, p.section, coalesce(n, 0) AS n_entries, n IS NOT NULL AS has_entries
+FROM (SELECT DISTINCT p_brand, p_size, p_brand || '/' || p_size AS section FROM part) p LEFT JOIN entries e ON e.section = p.section""")
+def q60_section_rollup(spark, d):
+    """Sizes of brands as sections, returned line items of sizes over 3 as entries; sections without any still appear."""
+    part = table(spark, d, "part").withColumn("section", F.concat("p_brand", F.lit("/"), F.col("p_size").cast("string")))
+    sections = part.select("section", F.when(F.col("p_size") % 3 == 0, F.concat("p_brand", F.lit("-b"), F.col("p_size").cast("string"))).alias("book")).distinct()
+    entries = table(spark, d, "lineitem").where("l_returnflag = 'R' AND l_linestatus = 'F'").join(part.where("p_size > 3"), F.col("l_partkey") == F.col("p_partkey")).select("section")
+    return K.section_rollup(sections, entries, "s").drop("book")
+
+
+@query("""WITH p AS (SELECT doc_id AS id, CASE WHEN toxic = 1 THEN 'exclude' ELSE 'explain_only' END AS policy FROM labels WHERE quality = 0), r AS (SELECT doc_id AS id, coalesce(policy, 'compose') AS policy FROM documents LEFT JOIN p ON p.id = doc_id), t AS (SELECT vec_id AS id, label < 7 AS ok FROM embeddings)
+SELECT (SELECT count(*) FROM r) AS records, (SELECT count(*) FROM t WHERE ok) AS passages, (SELECT count(*) FROM r JOIN t USING (id) WHERE ok AND policy <> 'exclude') AS retrievable, count(*) FILTER (policy = 'exclude') AS excluded_by_policy, count(*) FILTER (policy = 'explain_only') AS explain_only FROM r""")
+def q61_corpus_stats(spark, d):
+    """Documents as records, those with a vector of one of seven labels as passages."""
+    policy = table(spark, d, "labels").where("quality = 0").select(F.col("doc_id").alias("id"), F.when(F.col("toxic") == 1, "exclude").otherwise("explain_only").alias("policy"))
+    records = table(spark, d, "documents").select(F.col("doc_id").alias("id")).join(policy, "id", "left")
+    return K.corpus_stats(records, table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), (F.col("label") < 7).alias("available")))
+
+
+@query(r"""WITH lines AS (SELECT doc_id, source, generate_subscripts(string_split(text, chr(10)), 1) AS line, unnest(string_split(text, chr(10))) AS t FROM documents),
+turned AS (SELECT *, (doc_id * 31 + line) % 8 AS k, line = 1 AND doc_id % 2 = 0 AS headed FROM lines),
+norm AS (SELECT *, trim(regexp_replace(nfc_normalize(t), '[\s\x{00A0}]+', ' ', 'g')) AS got,
+  trim(regexp_replace(nfc_normalize(CASE k WHEN 0 THEN '' WHEN 1 THEN left(t, 1) || ' ' || substr(t, 2) WHEN 2 THEN 'ALEPH  ' || t WHEN 3 THEN t || ' SIN AND SHIN' WHEN 4 THEN t || ' other' ELSE t END), '[\s\x{00A0}]+', ' ', 'g')) AS rest FROM turned WHERE line % 11 <> 0),
+pair AS (SELECT *, k = 0 OR (NOT headed AND rest = '') AS lost, string_split(got, ' ') AS b0, string_split(rest, ' ') AS m0 FROM norm),
+words AS (SELECT *, list_filter(b0, lambda x: x <> '') AS b, list_filter(m0, lambda x: x <> '') AS m FROM pair WHERE lost OR got <> rest)
+SELECT source AS book, doc_id AS chapter, line AS verse, CASE WHEN lost THEN 'missing' WHEN replace(got, ' ', '') = replace(rest, ' ', '') THEN 'spacing'
+  WHEN len(m) > len(b) AND len(list_filter(range(0, len(m) - len(b) + 1), lambda s: m[s + 1:s + len(b)] = b AND len(list_filter(list_concat(m[1:s], m[s + len(b) + 1:]), lambda t: NOT (regexp_matches(t, '^\pL+$') AND upper(t) = t AND lower(t) <> t))) = 0)) > 0 THEN 'heading' ELSE 'unexplained' END AS kind FROM words""")
+def q62_edition_check(spark, d):
+    """Lines of documents as verses of two editions; the second has other codes of books, lost and changed verses, headings in capitals, and lines above first verses."""
+    lines = _lines(spark, d).join(table(spark, d, "documents").select("doc_id", F.col("source").alias("book")), "doc_id")
+    text, k, line = F.col("value"), (F.col("doc_id") * 31 + F.col("line")) % 8, F.col("line")
+    first = lines.select("book", F.col("doc_id").alias("chapter"), line.alias("start"), (line + (line % 11 == 0).cast("int")).alias("end"), text.alias("text"))
+    other = F.when(k == 1, F.concat(F.left(text, F.lit(1)), F.lit(" "), F.substring(text, 2, 1 << 30))).when(k == 2, F.concat(F.lit("ALEPH  "), text)).when(k == 3, F.concat(text, F.lit(" SIN AND SHIN"))).when(k == 4, F.concat(text, F.lit(" other"))).otherwise(text)
+    headed = (line == 1) & (F.col("doc_id") % 2 == 0)
+    second = lines.where(k != 0).select(E.other_code(F.col("book"), {"src3": "S3", "src7": "S7"}).alias("book"), F.col("doc_id").alias("chapter"), line.alias("verse"), F.when(headed, F.concat(F.lit("A song. "), other)).otherwise(other).alias("text"))
+    above = lines.where(headed).select("book", F.col("doc_id").alias("chapter"), F.lit("A  song.").alias("text"))
+    return E.cross_check(first, second, above, {"src3": "S3", "src7": "S7"}).select("book", "chapter", F.col("verse").cast("long").alias("verse"), "kind")
+
+
+@query("""WITH d AS (SELECT doc_id AS id, source AS ref, len(string_split(text, chr(10))) AS found, CASE WHEN doc_id % 7 <> 0 THEN len(string_split(text, chr(10))) + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END END AS expected FROM documents WHERE doc_id % 11 <> 0)
+SELECT id, ref, expected, found FROM d WHERE expected <> found""")
+def q63_verse_counts(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("ref"), F.split("text", "\n").alias("verses"))
+    stated = F.when(F.col("id") % 7 != 0, F.size("verses") + F.when(F.col("id") % 5 == 0, 1).otherwise(0))
+    out = E.verse_count_mismatches(docs.select("id", "ref", stated.alias("verse_count")), docs.select("id", (F.col("id") % 11 != 0).alias("available"), "verses"))
+    return out.select("id", "ref", F.col("expected").cast("long").alias("expected"), F.col("found").cast("long").alias("found"))
