@@ -20,7 +20,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 CAP = 3
 BINS = 256
-STEPS = 60
+#: A source is settled within TOLERANCE of its size, or once its tilt is known to BRACKET; each step at least halves a bracket that a Newton step leaves.
+TOLERANCE, BRACKET, STEPS = 1e-7, 1e-8, 400
 
 
 def source_targets(sizes: DataFrame, scratch: Scratch, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, share: float = 1.0) -> DataFrame:
@@ -67,11 +68,13 @@ def _tilts(stats: DataFrame, targets: DataFrame, cap: int, scratch: Scratch) ->
         newton = F.col("t") - F.try_divide(F.col("gap"), F.col("slope"))
         inside = (newton > F.col("lo")) & (newton < F.col("hi"))
         half = F.when(F.col("lo") <= -1e6, F.least(F.col("t") * 2, F.lit(-1.0))).when(F.col("hi") >= 1e6, F.greatest(F.col("t") * 2, F.lit(1.0))).otherwise((F.col("lo") + F.col("hi")) / 2)
-        settled = F.abs("gap") <= 1e-7 * F.col("source_size")
+        settled = (F.abs("gap") <= TOLERANCE * F.col("source_size")) | (F.col("hi") - F.col("lo") <= BRACKET)
         both = both.withColumn("t", F.when(settled, F.col("t")).when(inside, newton).otherwise(half))
         now = scratch.write(both.drop("got", "slope"), "tilts")
-        if now.where(F.col("t").isNotNull() & ~(F.abs("gap") <= 1e-7 * F.col("source_size"))).isEmpty():
+        if now.where(F.col("t").isNotNull() & ~settled).isEmpty():
             break
+    else:
+        raise RuntimeError(f"the tilts of some sources aren't settled after {STEPS} steps")
     # sums of doubles differ in their last digits from run to run; the tilts that are used don't
     return scratch.write(now.select("source", "source_size", "target", "mean", F.round("t", 6).alias("t")), "tilts-done")
 
