@@ -2,8 +2,8 @@
 
 The key is a list of long columns compared in turn; the last makes it unique, so a key that holds a third of
 all rows is split like any other. A pass counts the bytes of at most PROBES equal cells of each open interval
-of the key space (partial sums in every task; the driver sees a bounded table of cells), then narrows each
-splitter to one cell. Passes read only the narrow key table. Shards are cut on into even parts in the same passes, whose
+of the key space, and of about CELLS in all (partial sums in every task; the driver sees a bounded table of cells), then narrows each
+splitter to one cell. Rows find their interval by binary search. Passes read only the narrow key table. Shards are cut on into even parts in the same passes, whose
 splitters need only be near, so that no task sorts a whole shard. The splitters then are the partitioner of the one exchange of rows; a row's
 slot is its place in its sorted part plus the rows counted in the shard's earlier parts.
 """
@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 from quillspan.llm.ranked import PLACE_BITS, free_name, is_integral, numbered, row_ids
 from quillspan.plans.scratch import Scratch
 
-PROBES = 1024
+PROBES, CELLS = 1024, 1 << 16
+#: From so many bounds on they are searched as an array, as a tree of comparisons would outgrow compiled code.
+TREE = 64
 #: How far the splitters inside a shard may be off, in sizes of a part.
 LOOSE = 0.5
 _LEAST = -(1 << 63)
@@ -52,14 +54,15 @@ def splitters(keys: DataFrame, levels: list[str], weight: str, shards: int, tole
         open_ = list(dict.fromkeys((g.prefix, g.lo, g.hi) for g in goals if g.found is None))
         if not open_:
             return [g.found for g in goals]
-        cells = _count(keys, levels, weight, open_)
+        probes = max(16, min(PROBES, CELLS // len(open_)))
+        cells = _count(keys, levels, weight, open_, probes)
         for i, g in enumerate(goals, 1):
             if g.found is not None:
                 continue
             slack = (LOOSE if i % inner else tolerance * inner) * total  # in weights times shards
-            width = -((g.lo - g.hi) // PROBES)
+            width = -((g.lo - g.hi) // probes)
             below, aim = g.below, total * i  # weights are compared times shards
-            for cell, w, rows, first, last in cells[open_.index((g.prefix, g.lo, g.hi))]:
+            for cell, w, rows, first, last in cells[g.prefix, g.lo, g.hi]:
                 if (below + w) * shards <= aim:
                     below += w
                     continue
@@ -79,44 +82,59 @@ def splitters(keys: DataFrame, levels: list[str], weight: str, shards: int, tole
                 g.found = (*g.prefix, g.hi)
 
 
-def _count(keys: DataFrame, levels: list[str], weight: str, open_: list[tuple]) -> list[list[tuple]]:
-    """For each open interval its non-empty cells in order: cell, weight, rows, and the least and greatest value that matters next."""
-    which, cell, value = None, None, None
-    for n, (prefix, lo, hi) in enumerate(open_):
-        col = F.col(levels[len(prefix)])
-        inside = (col >= lo) & (col <= hi - 1)
-        for c, v in zip(levels, prefix, strict=False):
-            inside = inside & (F.col(c) == v)
-        width = -((lo - hi) // PROBES)
-        name = levels[len(prefix)]
-        if hi - lo < 1 << 62 and lo > _LEAST:
-            at = F.expr(f"({name} - ({lo}L)) div {width}L")
-        else:  # a difference may leave the range of a long
-            at = F.expr(f"cast(floor((cast({name} as decimal(38,0)) - ({lo}BD)) / {width}BD) as long)")
-        # one row in a wide cell: its own value ends the search; a cell of one value: the next level goes on
-        seen = col if width > 1 or len(prefix) + 1 == len(levels) else F.col(levels[len(prefix) + 1])
-        which = F.when(inside, F.lit(n)) if which is None else which.when(inside, F.lit(n))
-        cell = F.when(inside, at) if cell is None else cell.when(inside, at)
-        value = F.when(inside, seen) if value is None else value.when(inside, seen)
-    found = keys.select(which.alias("w"), cell.cast("long").alias("c"), value.alias("v"), F.col(weight).alias("b")).where("w is not null")
-    out: list[list[tuple]] = [[] for _ in open_]
-    for r in found.groupBy("w", "c").agg(F.sum("b"), F.count("*"), F.min("v"), F.max("v")).collect():
-        out[r[0]].append(tuple(r)[1:])
-    return [sorted(x) for x in out]
+def _longs(values: list[int]) -> Column:
+    """An array of constants, as one short expression."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
+def _count(keys: DataFrame, levels: list[str], weight: str, open_: list[tuple], probes: int) -> dict[tuple, list[tuple]]:
+    """For each open interval (they don't overlap) its non-empty cells in order: cell, weight, rows, and the least and greatest value that matters next."""
+    open_ = sorted(open_, key=lambda x: (*x[0], x[1]))
+    width = [-((lo - hi) // probes) for _, lo, hi in open_]
+    which = shard_of(levels, [(*prefix, lo) for prefix, lo, _ in open_]) - 1
+    rows = keys.select(*levels, F.col(weight).alias("_b"), which.alias("_w")).where("_w >= 0")
+    pick = lambda values: F.get(_longs(values), F.col("_w"))
+    at = [F.col(c) for c in levels]
+    depth = F.get(F.array(*(F.lit(n) for n in range(len(levels)))), pick([len(x[0]) for x in open_]).cast("int"))
+    value = F.get(F.array(*at), depth)
+    inside = value <= pick([x[2] - 1 for x in open_])
+    for n in range(len(levels) - 1):
+        inside = inside & ((depth <= n) | (at[n] == pick([x[0][n] if len(x[0]) > n else 0 for x in open_])))
+    rows = rows.withColumns({"_v": value, "_d": depth, "_in": inside, "_lo": pick([x[1] for x in open_]), "_width": pick(width)}).where("_in")
+    if all(hi - lo < 1 << 62 and lo > _LEAST for _, lo, hi in open_):
+        cell = F.expr("case when _in then (_v - _lo) div _width end")
+    else:  # a difference may leave the range of a long
+        cell = F.expr("cast(floor((cast(_v as decimal(38,0)) - cast(_lo as decimal(38,0))) / cast(_width as decimal(38,0))) as long)")
+    # one row in a wide cell: its own value ends the search; a cell of one value: the next level goes on
+    seen = F.when((F.col("_width") > 1) | (F.col("_d") + 1 == len(levels)), F.col("_v")).otherwise(F.get(F.array(*at), F.col("_d") + 1))
+    found = rows.select("_w", cell.alias("_c"), seen.alias("_s"), "_b")
+    out: dict[tuple, list[tuple]] = {x: [] for x in open_}
+    for r in found.groupBy("_w", "_c").agg(F.sum("_b"), F.count("*"), F.min("_s"), F.max("_s")).collect():
+        out[open_[r[0]]].append(tuple(r)[1:])
+    return {x: sorted(cells) for x, cells in out.items()}
 
 
 def shard_of(levels: list[str], bounds: list[tuple[int, ...]]) -> Column:
-    """The number of bounds that are not above the key, by a balanced tree of comparisons."""
+    """The number of bounds that are not above the key: few by a balanced tree of comparisons, many by halving an array of them."""
     key = F.struct(*(F.col(c) for c in levels))
+    full = [[*b, *[_LEAST] * (len(levels) - len(b))] for b in bounds]
 
     def below(i: int, j: int) -> Column:
         if i == j:
             return F.lit(i)
         m = (i + j) // 2
-        full = [*bounds[m], *[_LEAST] * (len(levels) - len(bounds[m]))]
-        return F.when(key < F.struct(*(F.lit(v).cast("long").alias(c) for c, v in zip(levels, full, strict=True))), below(i, m)).otherwise(below(m + 1, j))
+        return F.when(key < F.struct(*(F.lit(v).cast("long").alias(c) for c, v in zip(levels, full[m], strict=True))), below(i, m)).otherwise(below(m + 1, j))
 
-    return below(0, len(bounds))
+    if len(bounds) <= TREE:
+        return below(0, len(bounds))
+    columns = [_longs([b[n] for b in full]) for n in range(len(levels))]
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))))
+
+    def further(place: Column, step: Column) -> Column:
+        bound = F.struct(*(F.get(x, place + step - 1).alias(c) for x, c in zip(columns, levels, strict=True)))
+        return F.when((place + step <= len(bounds)) & (bound <= key), place + step).otherwise(place)
+
+    return F.aggregate(steps, F.lit(0), further)
 
 
 def shard_documents(docs: DataFrame, shards: int = 16, key_col: str = "doc_id", text_col: str = "text", tolerance: float = 0.0, carry: bool = False) -> DataFrame:

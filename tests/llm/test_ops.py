@@ -727,3 +727,33 @@ def test_kernel_words_over_segment_bounds(monkeypatch):
     monkeypatch.setattr(kernel, "SEGMENT", 16)
     cut = [kernel.words(d, o, True)[0].tolist() for _, _, d, o in kernel.blocks(pa.array([text, None, text]))]
     assert whole == cut and len(whole[0]) == 2 * len(brute.words(text))
+
+
+def test_splitters_of_many_parts(spark):
+    """Over a thousand parts at once: bounds are searched as an array, and the cells of a pass stay bounded."""
+    rows = spark.range(30_000).select(F.xxhash64("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") % 50).cast("int")).alias("text"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "600")
+    try:
+        got = sharding.shard_documents(rows, 300).groupBy("shard").agg(F.sum("size").alias("size"), F.count("*").alias("n"), F.max("slot").alias("last")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(got) == 300 and max(r["size"] for r in got) - min(r["size"] for r in got) <= 102 and all(r.last == r.n - 1 for r in got)
+
+
+def test_bounds_searched_as_array_and_as_tree_agree(spark, monkeypatch):
+    rng = random.Random(8)
+    bounds = sorted({(rng.randrange(50),) if rng.random() < 0.3 else (rng.randrange(50), rng.randrange(5)) for _ in range(60)}, key=lambda b: (*b, -(1 << 63)))
+    keys = spark.createDataFrame([(rng.randrange(-2, 53), rng.randrange(5)) for _ in range(500)], "a long, b long")
+    tree = [r[0] for r in keys.select(sharding.shard_of(["a", "b"], bounds)).collect()]
+    monkeypatch.setattr(sharding, "TREE", 0)
+    assert tree == [r[0] for r in keys.select(sharding.shard_of(["a", "b"], bounds)).collect()]
+
+
+def test_unsettled_tilts_are_an_error(spark, small, monkeypatch):
+    from quillspan.llm import mixing
+
+    monkeypatch.setattr(mixing, "STEPS", 1)
+    monkeypatch.setattr(mixing, "TOLERANCE", 0.0)
+    with pytest.raises(RuntimeError, match="settled"):
+        mix_documents(table(spark, small, "documents")).count()
