@@ -14,6 +14,7 @@ from quillspan.functions import refs as R
 from quillspan.functions import scoring as S
 from quillspan.functions import text as X
 from quillspan.operators import aggregates as A
+from quillspan.operators import benchmark as N
 from quillspan.operators import browse as B
 from quillspan.operators import chapters as K
 from quillspan.operators import compose as C
@@ -712,3 +713,69 @@ def q63_verse_counts(spark, d):
     stated = F.when(F.col("id") % 7 != 0, F.size("verses") + F.when(F.col("id") % 5 == 0, 1).otherwise(0))
     out = E.verse_count_mismatches(docs.select("id", "ref", stated.alias("verse_count")), docs.select("id", (F.col("id") % 11 != 0).alias("available"), "verses"))
     return out.select("id", "ref", F.col("expected").cast("long").alias("expected"), F.col("found").cast("long").alias("found"))
+
+
+# benchmarks -----------------------------------------------------------------------------------------------
+
+_LABEL_DEFS, _CONTEXT_DEFS = {"ECONOMY": "Cheap and plain.", "SMALL": "Little things", "LARGE": "Things of size."}, {"c0": "Said in public.", "c1": "Said alone."}
+
+
+def _swapped(title: str) -> str:
+    for pattern, other in N.VERBS:
+        title = f"regexp_replace({title}, '{pattern}', '{other}', 'g')"
+    return title
+
+
+_KNOWN = rf"""
+WITH titled AS (SELECT *, 'part.' || p_partkey AS id, ['Prays for', 'Praises', 'Laments', 'Asks', 'Repents for'][p_partkey % 5 + 1] || ' the ' || p_name || ' of ' || p_brand || '.' AS title FROM part),
+swapped AS (SELECT *, {_swapped("title")} AS t, CAST(('0x' || substr(sha256(id), 1, 2)) AS INTEGER) % 2 = 0 AS dropped FROM titled),
+said AS (SELECT *, rtrim(lower(CASE WHEN dropped THEN replace(replace(t, p_brand, 'someone'), 'Prays', 'someone') ELSE t END), '.') AS s, CASE p_type {" ".join(f"WHEN '{k}' THEN '{v.lower().rstrip('.')}'" for k, v in _LABEL_DEFS.items())} END AS l,
+  CASE p_size % 3 {" ".join(f"WHEN {k[1:]} THEN '{v.lower().rstrip('.')}'" for k, v in _CONTEXT_DEFS.items())} END AS c FROM swapped),
+asked AS (SELECT p_partkey, p_type, 't1.' || p_partkey AS query_id, concat_ws('. ', s, l, c) || '.' AS text, id AS gold FROM said)
+"""
+
+
+def _known(spark, d):
+    parts = table(spark, d, "part")
+    verb = F.get(F.array(*map(F.lit, ("Prays for", "Praises", "Laments", "Asks", "Repents for"))), (F.col("p_partkey") % 5).cast("int"))
+    title = F.concat(verb, F.lit(" the "), F.col("p_name"), F.lit(" of "), F.col("p_brand"), F.lit("."))
+    records = parts.select(F.concat(F.lit("part."), F.col("p_partkey").cast("string")).alias("id"), title.alias("title"), F.col("p_brand").alias("speaker"), F.array(F.lit("Prays")).alias("agents"), F.array("p_type").alias("labels"), F.concat(F.lit("c"), (F.col("p_size") % 3).cast("string")).alias("context"))
+    return N.known_items(records, _LABEL_DEFS, _CONTEXT_DEFS)
+
+
+@query(_KNOWN + "SELECT query_id, text, gold FROM asked")
+def q64_known_items(spark, d):
+    """A request made of each part."""
+    return _known(spark, d)[0].select("query_id", "text", "gold")
+
+
+@query(_KNOWN + r""", q AS (SELECT query_id, term, count(*) AS w FROM (SELECT query_id, unnest(list_filter(regexp_extract_all(text, '[a-z'']+'), lambda t: length(t) > 2)) AS term FROM asked WHERE p_partkey % 100 = 0) GROUP BY ALL),
+fields AS (SELECT 'all' AS run, p_partkey AS doc_id, p_name AS f, 3 AS w FROM part UNION ALL SELECT 'all', p_partkey, p_type, 2 FROM part UNION ALL SELECT 'all', p_partkey, p_brand, 1 FROM part UNION ALL SELECT 'name', p_partkey, p_name, 1 FROM part),
+post AS (SELECT run, doc_id, term, sum(w) AS tf FROM (SELECT run, doc_id, w, unnest(list_filter(regexp_extract_all(lower(f), '[a-z'']+'), lambda t: length(t) > 2)) AS term FROM fields) GROUP BY ALL),
+len AS (SELECT run, doc_id, sum(tf) AS length FROM post GROUP BY ALL), whole AS (SELECT run, count(*) AS n, avg(length) AS mean FROM len GROUP BY ALL), df AS (SELECT run, term, count(*) AS df FROM post GROUP BY ALL),
+scored AS (SELECT p.run, q.query_id, p.doc_id, round(sum(q.w * greatest(0.01, ln(1 + (n - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score
+  FROM q JOIN post p USING (term) JOIN df ON df.run = p.run AND df.term = p.term JOIN len ON len.run = p.run AND len.doc_id = p.doc_id JOIN whole ON whole.run = p.run GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY run, query_id ORDER BY score DESC, doc_id) AS rank FROM scored QUALIFY rank <= 25),
+each AS (SELECT r.run, a.query_id, k.rank, t.lp, t.fl FROM (SELECT DISTINCT run FROM fields) r CROSS JOIN (SELECT * FROM asked WHERE p_partkey % 100 = 0) a LEFT JOIN ranked k ON k.run = r.run AND k.query_id = a.query_id AND k.doc_id = a.p_partkey
+  LEFT JOIN (SELECT run, query_id, avg(CASE WHEN p.p_type = g.p_type THEN 1.0 ELSE 0.0 END) AS lp, avg(CASE WHEN p.p_size < 5 THEN 1.0 ELSE 0.0 END) AS fl FROM ranked JOIN part p ON p.p_partkey = doc_id JOIN asked g USING (query_id) WHERE rank <= 5 GROUP BY ALL) t ON t.run = r.run AND t.query_id = a.query_id)
+SELECT run, count(*) AS n, round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0.0 END), 6) AS recall_1, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END), 6) AS recall_5, round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0.0 END), 6) AS recall_10, round(avg(coalesce(1.0 / rank, 0.0)), 6) AS mrr,
+  round(avg(CASE WHEN rank <= 10 THEN 1.0 / log2(rank + 1) ELSE 0.0 END), 6) AS ndcg_10, round(avg(coalesce(lp, 0.0)), 6) AS label_precision_5, round(avg(coalesce(fl, 0.0)), 6) AS flagged_5 FROM each GROUP BY run""")
+def q65_benchmark_grid(spark, d):
+    """Two retrievers over all parts (their fields weighted, and names alone), scored on the requests made of every hundredth part (a stated query set)."""
+    asked, qrels = _known(spark, d)
+    key = F.substring("gold", 6, 20).cast("long")
+    asked = asked.where(key % 100 == 0).withColumn("doc_id", key)
+    parts = table(spark, d, "part").withColumnRenamed("p_partkey", "doc_id")
+    terms = L.weighted_terms(asked)
+    runs = {name: L.bm25(terms, L.build_index(parts, fields, Scratch(spark, f"grid-{name}")), N.DEPTH, digits=6) for name, fields in (("all", {"p_name": 3, "p_type": 2, "p_brand": 1}), ("name", {"p_name": 1}))}
+    qrels = qrels.join(asked.select("query_id", F.col("doc_id").alias("_d")), "query_id").select("query_id", F.col("_d").alias("doc_id"), "grade")
+    out = N.grid(runs, qrels, parts.select("doc_id", F.array("p_type").alias("labels")), asked.select("query_id", "doc_id"), parts.where("p_size < 5"))
+    return out.select("run", "n", *(F.round(c, 6).alias(c) for c in out.columns[2:]))
+
+
+@query(r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '''*[a-z][a-z'']*') AS w, len(list_filter(regexp_split_to_array(lower(text), '[.!?]+'), lambda s: regexp_matches(s, '[a-z]'))) AS n FROM documents),
+s AS (SELECT doc_id, len(w) AS words, n, list_sum(list_transform(w, lambda x: greatest(1, len(regexp_extract_all(x, '[aeiouy]+')) - CASE WHEN regexp_matches(x, '[^aeiouyl]e$') AND len(regexp_extract_all(x, '[aeiouy]+')) > 1 THEN 1 ELSE 0 END))) AS syllables FROM w)
+SELECT doc_id, CASE WHEN words > 0 THEN round(0.39 * words / n + 11.8 * syllables / words - 15.59, 6) END AS grade FROM s""")
+def q66_reading_grade(spark, d):
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", F.round(N.reading_grade(F.col("text")), 6).alias("grade"))

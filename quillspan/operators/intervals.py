@@ -1,7 +1,9 @@
 """Joins over ranges of ordered keys: overlap, strongest relation, as-of, containing range, expansion.
 
-Ranges have an equality key (book), lo and hi. The equality key makes these hash or merge joins with a residual
-condition; where few keys hold most ranges, pass bin_size: ranges are then also joined on the bins that they touch.
+Ranges have an equality key (book), lo and hi. containing, expand and overlap_join(bin_size="auto") join on cells besides the book, so that a book may hold
+any share of all ranges: a range's own level is the least whose cells (of 2**level) are longer than it, so it touches one or two cells of that level, its
+home; it is a guest in one or two cells of each higher level that occurs. Of two ranges that meet, the one of the higher level is at home where they do and
+the other is at home or a guest there, and never are two guests compared. Reversed ranges (hi < lo) meet nothing.
 """
 
 from __future__ import annotations
@@ -37,16 +39,48 @@ def confidence(rel: Column, see_also: Column, inferred: Column, chapter_level: C
     return F.when(see_also | inferred, "low").when(rel == "exact", "high").when(chapter_level, "medium").when(rel.isin("contains", "within"), "high").otherwise("medium")
 
 
-def overlap_join(a: DataFrame, b: DataFrame, bin_size: int | None = None) -> DataFrame:
+def _level(lo: str, hi: str) -> Column:
+    """The own level of a range: 0 for one place, else the number of bits of hi - lo."""
+    return F.when(F.col(hi) <= F.col(lo), 0).otherwise(F.length(F.bin(F.coalesce(F.try_subtract(hi, lo), F.lit((1 << 63) - 1)))))
+
+
+def _levels(df: DataFrame, lo: str, hi: str) -> Column:
+    """The own levels that occur, 64 at most, as an array."""
+    return F.array(*(F.lit(r[0]) for r in df.where(F.col(lo) <= F.col(hi)).select(_level(lo, hi)).distinct().collect())).cast("array<int>")
+
+
+def _housed(df: DataFrame, lo: str, hi: str, levels: Column | None = None, own: bool = True, ends: bool = True) -> DataFrame:
+    """df with _level and _cell: a row for each cell of a range's own level, or of each of levels that is higher (or its own, if own is set). ends: both
+    ends' cells, else that of lo."""
+    level = _level(lo, hi)
+    df = df.where(F.col(lo) <= F.col(hi))
+    df = df.withColumn("_level", level if levels is None else F.explode(F.filter(levels, lambda x: (x >= level) if own else (x > level))))
+    cells = F.array_distinct(F.array(F.expr(f"shiftright({lo}, _level)"), F.expr(f"shiftright({hi}, _level)"))) if ends else F.array(F.expr(f"shiftright({lo}, _level)"))
+    return df.withColumn("_cell", F.explode(cells))
+
+
+def _meeting(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs of a row of left (book, alo, ahi, ...) and one of right (book, blo, bhi, ...) whose ranges meet, once each: in the cell where the later one begins."""
+    key = ["book", "_level", "_cell"]
+    la, lb = _levels(left, "alo", "ahi"), _levels(right, "blo", "bhi")
+    first = _housed(left, "alo", "ahi").join(_housed(right, "blo", "bhi", la), key)
+    second = _housed(left, "alo", "ahi", lb, own=False).join(_housed(right, "blo", "bhi"), key)
+    both = first.unionByName(second)
+    return both.where((F.col("alo") <= F.col("bhi")) & (F.col("blo") <= F.col("ahi")) & (F.col("_cell") == F.expr("shiftright(greatest(alo, blo), _level)"))).drop("_level", "_cell")
+
+
+def overlap_join(a: DataFrame, b: DataFrame, bin_size: int | str | None = None) -> DataFrame:
     """All overlapping pairs of (book, lo, hi) ranges as (book, a_id, a_seq, b_id, b_seq, relation).
 
-    a and b have id, seq (order within id), book, lo, hi. Null bounds or books overlap nothing. With bins a pair is kept
-    only in the first bin that both touch.
+    a and b have id, seq (order within id), book, lo, hi. Null bounds or books overlap nothing. With bins of one size a pair is kept
+    only in the first bin that both touch; "auto" takes cells of the ranges' own sizes.
     """
     left = a.select("book", F.col("id").alias("a_id"), F.col("seq").alias("a_seq"), F.col("lo").alias("alo"), F.col("hi").alias("ahi"))
     right = b.select("book", F.col("id").alias("b_id"), F.col("seq").alias("b_seq"), F.col("lo").alias("blo"), F.col("hi").alias("bhi"))
     touch = (F.col("alo") <= F.col("bhi")) & (F.col("blo") <= F.col("ahi"))
-    if bin_size is None:
+    if bin_size == "auto":
+        both = _meeting(left, right)
+    elif bin_size is None:
         both = left.join(right, "book").where(touch)
     else:
         bins = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / bin_size), F.floor(F.col(hi) / bin_size)))
@@ -76,9 +110,11 @@ def as_of(events: DataFrame, marks: DataFrame, by: list[str], at: str, value: st
 def containing(targets: DataFrame, spans: DataFrame) -> DataFrame:
     """(id, span_id): the smallest span of the target's book that encloses it, the first by seq of equals; null if none."""
     t = targets.select("id", "book", F.col("lo").alias("tlo"), F.col("hi").alias("thi"))
-    s = spans.select("book", F.col("id").alias("span_id"), F.col("seq").alias("span_seq"), "lo", "hi")
-    inside = t.join(s, "book").where((F.col("lo") <= F.col("tlo")) & (F.col("hi") >= F.col("thi")))
-    best = inside.groupBy("id").agg(F.min_by("span_id", F.struct((F.col("hi") - F.col("lo")).alias("size"), "span_seq")).alias("span_id"))
+    s = spans.groupBy("book", "lo", "hi").agg(F.min(F.struct("seq", "id")).alias("s")).select("book", F.col("s.id").alias("span_id"), F.col("s.seq").alias("span_seq"), "lo", "hi")
+    # a span is as long as what it encloses or longer, and at home in the cell where that begins
+    asked = _housed(t, "tlo", "thi", _levels(s, "lo", "hi"), ends=False)
+    inside = asked.join(_housed(s, "lo", "hi"), ["book", "_level", "_cell"]).where((F.col("lo") <= F.col("tlo")) & (F.col("hi") >= F.col("thi")))
+    best = inside.groupBy("id").agg(F.min_by("span_id", F.struct((F.col("hi").cast("decimal(20,0)") - F.col("lo")).alias("size"), "span_seq")).alias("span_id"))
     return targets.select("id").join(best, "id", "left")
 
 
@@ -98,9 +134,10 @@ def resolve(targets: DataFrame, texts: DataFrame) -> DataFrame:
 
 def expand(ranges: DataFrame, blocks: DataFrame) -> DataFrame:
     """(id, seq, blocks): the blocks that each range touches, in order, as an array of (lo, hi, text)."""
-    r = ranges.select("id", "seq", "book", F.col("lo").alias("rlo"), F.col("hi").alias("rhi"))
-    hit = r.join(blocks.select("book", "lo", "hi", "text"), "book").where((F.col("hi") >= F.col("rlo")) & (F.col("lo") <= F.col("rhi")))
-    return hit.groupBy("id", "seq").agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "text"))).alias("blocks"))
+    r = ranges.select("id", "seq", "book", F.col("lo").alias("alo"), F.col("hi").alias("ahi"))
+    hit = _meeting(r, blocks.select("book", F.col("lo").alias("blo"), F.col("hi").alias("bhi"), "text"))
+    each = F.struct(F.col("blo").alias("lo"), F.col("bhi").alias("hi"), "text")
+    return hit.groupBy("id", "seq").agg(F.sort_array(F.collect_list(each)).alias("blocks"))
 
 
 def changed(a: DataFrame, b: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
