@@ -493,18 +493,21 @@ def _join_col(col):
     return F.array_join(col, "|")
 
 
-_BOOKS = R.Books({"alpha": "Alp", "beta": "Bet", "2 beta": "2Bet", "gamma": "Gam"}, {"Alp": 50, "Bet": 12, "2Bet": 12, "Gam": None})
+_BOOKS = R.Books.of({"Alp": 50, "Bet": 12, "2Bet": 12, "Gam": None}, {"alpha": "Alp", "beta": "Bet", "2 beta": "2Bet", "gamma": "Gam"}, {"alph": "Alp", "gamma": "Bet"})
 
 
-@query("""SELECT l_orderkey, l_linenumber, CASE l_linenumber % 3 WHEN 0 THEN 'Alp' WHEN 1 THEN 'Bet' ELSE 'Gam' END || '.' || CASE WHEN l_linenumber % 3 = 2 THEN '1' ELSE CAST(1 + l_partkey % 12 AS VARCHAR) END || '.' || CAST(1 + l_suppkey % 30 AS VARCHAR) AS osis FROM lineitem""")
+@query("""WITH n AS (SELECT l_orderkey, l_linenumber, 1 + l_partkey % 12 AS c, 1 + l_suppkey % 30 AS v, (l_partkey + l_linenumber) % 9 AS form FROM lineitem)
+SELECT l_orderkey, l_linenumber, CASE form WHEN 0 THEN 'Alp.' || c || '.' || v WHEN 1 THEN 'Alp.' || c || '.' || v || '-Alp.' || c || '.' || (v + 3) || '|carried:Alp.' || (c + 1) || '.' || v WHEN 2 THEN 'Bet.' || c || '.' || v || '|Bet.' || c || '.' || (v + 2) || '|Bet.' || c || '.' || (v + 4) || '-Bet.' || c || '.' || (v + 6)
+  WHEN 3 THEN 'Alp.' || c || '.' || v || '-Alp.' || (c + 2) || '.1' WHEN 4 THEN '2Bet.' || c || '.' || v || '|Gam.1.' || v WHEN 5 THEN 'Alp.1.1|Bet.2.1|anchor_fallback:Alp.' || (c + 20) || '.' || v WHEN 6 THEN 'no book in scope' WHEN 7 THEN 'Alp.' || c || '|not a reference' ELSE 'Bet.' || c || '.' || v || '|Bet.' || c || '.' || (v + 1) || '|Alp.' || (c + 1) || '.2|carried:Alp.' || (c + 2) END AS refs FROM n""")
 def q49_reference_parser(spark, d):
-    """Printed references made of line items, parsed back into ranges."""
-    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    chapter, verse = (1 + F.col("l_partkey") % 12).cast("string"), (1 + F.col("l_suppkey") % 30).cast("string")
-    third = F.col("l_linenumber") % 3
-    raw = F.when(third == 0, F.concat(F.lit("Alpha "), chapter, F.lit(":"), verse)).when(third == 1, F.concat(F.lit("Beta "), chapter, F.lit(":"), verse)).otherwise(F.concat(F.lit("Gamma "), verse))
-    parsed = li.withColumn("r", F.get(R.reference_parser(_BOOKS)(raw), F.lit(0)))
-    return parsed.select("l_orderkey", "l_linenumber", R.osis(F.col("r.book"), F.col("r.lo_chapter"), F.col("r.lo_verse"), F.col("r.hi_chapter"), F.col("r.hi_verse")).alias("osis"))
+    """Printed references made of line items, read back into ranges: several segments, books carried on or fallen back to, lists, ranges over chapters, and what can't be read."""
+    n = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (1 + F.col("l_partkey") % 12).alias("c"), (1 + F.col("l_suppkey") % 30).alias("v"), ((F.col("l_partkey") + F.col("l_linenumber")) % 9).alias("form"))
+    forms = ("Alpha %c:%v", "Alpha %c:%v-%v3; %c1:%v", "Beta %c:%v, %v2, %v4-%v6", "Alph %c:%v–%c2:1", "II Beta %c:%v; Gamma %v", "Alpha 1:1; Beta 2:1; %c20:%v", "%c:%v", "Alpha. %c; and so on", "Beta %c:%va, %v1; Alpha %c1:2; %c2.")
+    raw = F.get(F.array(*map(F.lit, forms)), F.col("form").cast("int"))
+    for name, value in (("%c20", F.col("c") + 20), ("%c1", F.col("c") + 1), ("%c2", F.col("c") + 2), ("%v1", F.col("v") + 1), ("%v2", F.col("v") + 2), ("%v3", F.col("v") + 3), ("%v4", F.col("v") + 4), ("%v6", F.col("v") + 6), ("%c", F.col("c")), ("%v", F.col("v"))):
+        raw = F.replace(raw, F.lit(name), value.cast("string"))
+    one = lambda r: F.coalesce(F.concat(F.when(r.origin == "stated", "").otherwise(F.concat(r.origin, F.lit(":"))), R.osis(r.book, r.lo_chapter, r.lo_verse, r.hi_chapter, r.hi_verse)), r.reason)
+    return spread(n).select("l_orderkey", "l_linenumber", F.array_join(F.transform(R.reference_parser(_BOOKS)(raw), one), "|").alias("refs"))
 
 
 @query("""SELECT a.doc_id, CASE WHEN b.text IS NULL THEN 'missing' ELSE 'spacing' END AS kind FROM documents a LEFT JOIN (SELECT doc_id, replace(text, ' ', '  ') AS text FROM documents WHERE doc_id % 3 > 0) b ON a.doc_id = b.doc_id WHERE b.text IS NULL OR a.text <> b.text""")

@@ -3,14 +3,17 @@
 The dimension of books is the caller's: names or abbreviations with a code and the number of chapters (None: verses only,
 chapter 1 is meant). Segments end at ``;``. A segment without a book takes the one before; if its chapter doesn't fit there, the first book
 named, then the only other named book in which it fits. What can't be read stays as an unresolved row with a reason.
+Strings of one plain reference ("Gen 3:16-18", "Gen 3", "Jude 14") are read by column functions; only the others reach the UDF, each distinct one of a batch once.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import cached_property
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,16 +27,33 @@ class Books:
     codes: dict[str, str]
     chapters: dict[str, int | None]
 
+    @classmethod
+    def of(cls, chapters: dict[str, int | None], *names: dict[str, str]) -> Books:
+        """Books whose names come from several tables (name -> code) in order of priority: where two give a name, the first counts; codes name themselves last."""
+        codes = {c.lower(): c for c in chapters}
+        for table in reversed(names):
+            codes |= {name.lower(): code for name, code in table.items()}
+        return cls(codes, chapters)
+
+    @cached_property
+    def names(self) -> re.Pattern:
+        """All names as one pattern, longest first, so that none hides a longer one; compiled once."""
+        every = "|".join(re.escape(n) for n in sorted(self.codes, key=lambda n: (-len(n), n)))
+        return re.compile(rf"({every})(?=\. | |$)" if every else r"(?!)")
+
+    @property
+    def plain(self) -> bool:
+        """No name has a digit after a letter, so that the first number after letters ends the name."""
+        return not any(re.search(r"[^\W\d]\D*\d", n) for n in self.codes)
+
     def split(self, text: str) -> tuple[str | None, str]:
-        """The longest known name that begins the text, before a space, a digit or the end; roman I to III count as digits."""
-        text = re.sub(r"^(III|II|I)(?=\s+[A-Z])", lambda m: str(len(m[1])), text.strip())
-        low = text.lower()
-        for name in sorted(self.codes, key=len, reverse=True):
-            if low == name or low.startswith((name + " ", name + ". ")):
-                return self.codes[name], text[len(name) :].lstrip(". ")
-        return None, text
+        """The longest known name that begins the text, before a space or the end; roman I to III count as digits."""
+        text = _ROMAN.sub(lambda m: str(len(m[1])), text.strip())
+        found = self.names.match(text.lower())
+        return (self.codes[found[1]], text[found.end() :].lstrip(". ")) if found else (None, text)
 
 
+_ROMAN = re.compile(r"^(III|II|I)(?=\s+[A-Z])")
 _CROSS = re.compile(r"^(\d+):(\d+)[a-z]?\s*[-–]\s*(\d+):(\d+)[a-z]?$")
 _PIECE = re.compile(r"^(?:(\d+):)?(\d+)[a-z]?(?:\s*[-–]\s*(\d+)[a-z]?)?$")
 
@@ -91,10 +111,44 @@ def parse_references(raw: str | None, books: Books, default: str | None = None)
     return rows
 
 
+def _lookup(of: dict, key: Column, kind: str) -> Column:
+    known = F.create_map(*(F.lit(x).cast(t) for kv in of.items() for x, t in zip(kv, ("string", kind), strict=True)))
+    return F.try_element_at(known, key)
+
+
+def plain_reference(raw: Column, books: Books) -> Column:
+    """The one range (as RANGE) of a string that is a known name and a chapter, or chapter and verses; null for any other string."""
+    if not books.plain or not books.codes:
+        return F.lit(None).cast(RANGE)
+    form = r"^ *((?:(?:III|II|I|\d+) +(?=\p{L}))?\p{L}(?:[^\d;]*[^\d;. ])?)(?:\. +| +)(?:(\d{1,6}):)?(\d{1,6})[a-z]?(?: *[-–] *(\d{1,6})[a-z]?)? *$"
+    part = lambda i: F.regexp_extract(raw, form, i)
+    number = lambda i: F.when(part(i) != "", part(i).cast("int"))
+    name = F.regexp_replace(F.regexp_replace(F.regexp_replace(part(1), r"^III(?= +\p{Lu})", "3"), r"^II(?= +\p{Lu})", "2"), r"^I(?= +\p{Lu})", "1")
+    code = _lookup(books.codes, F.lower(name), "string")
+    chapters = F.coalesce(_lookup({k: v for k, v in books.chapters.items() if v is not None} or {"": 0}, code, "int"), F.lit(0))
+    chapter, low = number(2), number(3)
+    high = F.coalesce(number(4), low)
+    one = chapters <= 1  # a bare number is then a verse
+    whole = chapter.isNull() & ~one
+    first, last = F.when(whole, low).otherwise(F.coalesce(chapter, F.lit(1))), F.when(whole, high).otherwise(F.coalesce(chapter, F.lit(1)))
+    fits = code.isNotNull() & (low <= high) & (first >= 1) & (last <= F.greatest(chapters, F.lit(1)))
+    none = F.lit(None)
+    row = F.struct(code.alias("book"), first.alias("lo_chapter"), F.when(~whole, low).alias("lo_verse"), last.alias("hi_chapter"), F.when(~whole, high).alias("hi_verse"), F.trim(raw).alias("raw"), F.lit("stated").alias("origin"), none.cast("string").alias("reason"))
+    return F.when(fits, row.cast(RANGE))
+
+
 def reference_parser(books: Books, default: str | None = None):
-    @F.pandas_udf(T.ArrayType(RANGE))
-    def parse(raw: pd.Series) -> pd.Series:
-        return pd.Series([parse_references(x if isinstance(x, str) else None, books, default) for x in raw])
+    """A function of a column of printed references to an array of RANGE; a null has none."""
+
+    def each(raw: pd.Series) -> pd.Series:
+        return raw.map({x: parse_references(x, books, default) for x in raw.dropna().unique()}).where(raw.notna(), None)
+
+    read = F.pandas_udf(each, T.ArrayType(RANGE))
+
+    def parse(raw: Column) -> Column:
+        raw = F.col(raw) if isinstance(raw, str) else raw
+        plain = plain_reference(raw, books)
+        return F.when(plain.isNotNull(), F.array(plain)).otherwise(F.coalesce(read(F.when(plain.isNull(), raw)), F.array().cast(T.ArrayType(RANGE))))
 
     return parse
 
