@@ -34,13 +34,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df in as many partitions as there are cores, if its scan has fewer (a small table, or a file that can't be split); else df.
+#: Scans of more splits than this are never dealt anew: at 128 MB a split, 8 GB is the most that spread() exchanges.
+FEW_SPLITS = 64
 
-    For work on whole rows that costs more than moving them. A scan of many splits is left alone, so nothing large is exchanged.
+
+def spread(df: DataFrame, most: int = FEW_SPLITS) -> DataFrame:
+    """df in as many partitions as there are cores, if its scan has fewer and no more than most (a small table, or a file that can't be split); else df.
+
+    For work on whole rows that costs more than moving them.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    splits = df.rdd.getNumPartitions()
+    return df.repartition(cores) if splits < cores and splits <= most else df
 
 
 _shipped: set[str] = set()
