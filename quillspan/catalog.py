@@ -14,6 +14,7 @@ from quillspan.functions import refs as R
 from quillspan.functions import scoring as S
 from quillspan.functions import text as X
 from quillspan.operators import aggregates as A
+from quillspan.operators import assembly as Y
 from quillspan.operators import benchmark as N
 from quillspan.operators import browse as B
 from quillspan.operators import chapters as K
@@ -782,3 +783,20 @@ SELECT doc_id, CASE WHEN words > 0 THEN round(0.39 * words / n + 11.8 * syllable
 def q66_reading_grade(spark, d):
     docs = spread(table(spark, d, "documents").select("doc_id", "text"))
     return docs.select("doc_id", F.round(N.reading_grade(F.col("text")), 6).alias("grade"))
+
+
+# books ----------------------------------------------------------------------------------------------------
+
+
+@query(r"""WITH parts AS (SELECT doc_id AS seq, regexp_replace(array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN i % 17 = 3 THEN '```' WHEN i % 5 = 1 THEN repeat('#', CAST(1 + i % 4 AS INTEGER)) || '  *' || left(x, 12) || '* <!-- n --> ' ELSE x END), chr(10)), '^\s+|\s+$', '', 'g') AS text FROM documents),
+lines AS (SELECT seq, generate_subscripts(string_split(text, chr(10)), 1) AS line, unnest(string_split(text, chr(10))) AS value FROM parts WHERE text <> ''),
+fenced AS (SELECT *, sum(CASE WHEN starts_with(value, '```') THEN 1 ELSE 0 END) OVER (PARTITION BY seq ORDER BY line) AS f FROM lines),
+heads AS (SELECT seq, line, length(regexp_extract(value, '^(#{1,6})\s+(.*?)\s*$', 1)) AS level, trim(regexp_replace(regexp_replace(regexp_extract(value, '^(#{1,6})\s+(.*?)\s*$', 2), '<!--.*?-->', '', 'g'), '[*_`]', '', 'g')) AS text FROM fenced WHERE f % 2 = 0 AND NOT starts_with(value, '```') AND regexp_matches(value, '^(#{1,6})\s+(.*?)\s*$')),
+slugs AS (SELECT *, regexp_replace(regexp_replace(lower(trim(text)), '[^\pL\pN_\s-]', '', 'g'), '\s+', '-', 'g') AS slug FROM heads),
+nth AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY seq, line) - 1 AS n FROM slugs)
+SELECT seq, CAST(line - 1 AS BIGINT) AS line, repeat('  ', level - 2) || '- [' || text || '](#' || slug || CASE WHEN n > 0 THEN '-' || n ELSE '' END || ')' AS value FROM nth WHERE level BETWEEN 2 AND 3""")
+def q67_book_contents(spark, d):
+    """Documents as the chapters of a book, some of their lines made headings and fences: the table of contents."""
+    line = lambda x, i: F.when((i + 1) % 17 == 3, "```").when((i + 1) % 5 == 1, F.concat(F.repeat(F.lit("#"), 1 + (i + 1) % 4), F.lit("  *"), F.left(x, F.lit(12)), F.lit("* <!-- n --> "))).otherwise(x)
+    parts = table(spark, d, "documents").select(F.col("doc_id").alias("seq"), F.array_join(F.transform(F.split("text", "\n"), line), "\n").alias("text"))
+    return Y.contents(parts, Scratch(spark, "contents")).select("seq", F.col("line").cast("long").alias("line"), "value")

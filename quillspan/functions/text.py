@@ -24,8 +24,8 @@ def collapse(text: Column) -> Column:
 
 
 def slug(text: Column) -> Column:
-    """Lower case, only word characters, white space and hyphens; white space becomes one hyphen."""
-    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(text)), r"[^\w\s-]", ""), r"\s+", "-")
+    """Lower case, only letters and numbers of any script, underscores, white space and hyphens; white space becomes one hyphen."""
+    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(text)), r"[^\p{L}\p{N}_\s-]", ""), r"\s+", "-")
 
 
 def path_slug(*parts: Column) -> Column:
