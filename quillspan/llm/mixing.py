@@ -89,29 +89,38 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     id and text, so the result doesn't depend on how rows are dealt; only rows equal in both get theirs by input order.
     """
     scratch = Scratch(docs.sparkSession, "mix")
-    if carry:  # whole rows as one column, so that no name of theirs meets one of ours
-        whole = scratch.write(row_ids(docs.select(F.struct("*").alias("row"))), "docs")
-        slim = whole.select("rid", F.col("row")[id_col].alias("_id"), F.col("row")[source_col].alias("_source"), F.col("row")[text_col].alias("_text"))
-    else:
-        slim = row_ids(docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.col(text_col).alias("_text")))
-    size = F.coalesce(F.regexp_count("_text", F.lit(WORD)), F.lit(0)).cast("long")
-    slim = scratch.write(slim.select(F.col("_id").alias("id"), F.col("_source").alias("source"), size.alias("size"), F.xxhash64("_id", F.xxhash64("_text")).alias("h"), "rid"), "sizes")
+
+    def sized(rows: DataFrame, *more: str) -> DataFrame:
+        """id, source, size and h of rows (_id, _source, _text), and more of their columns."""
+        size = F.coalesce(F.regexp_count("_text", F.lit(WORD)), F.lit(0)).cast("long")
+        return rows.select(F.col("_id").alias("id"), F.col("_source").alias("source"), size.alias("size"), F.xxhash64("_id", F.xxhash64("_text")).alias("h"), *more)
+
+    parts = [F.col(c).alias(name) for c, name in ((id_col, "_id"), (source_col, "_source"), (text_col, "_text"))]
+    slim = scratch.write(sized(row_ids(docs.select(*parts)), "rid"), "sizes")
     stats = scratch.write(slim.groupBy("source", "size").agg(F.count("*").alias("n")), "stats")
     totals = stats.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).cast("long").alias("source_size"))
     params = _tilts(stats, scratch.write(source_targets(totals, scratch, weights, cap, share), "targets"), cap, scratch)
 
-    again = scratch.write(slim.groupBy("h").count().where("count > 1").select("h"), "again")
-    if not again.isEmpty():
+    whole, again = None, scratch.write(slim.groupBy("h").count().where("count > 1").select("h"), "again")
+    if not again.isEmpty():  # rows that equal others are told apart by a number, with which they are written if they are to be carried
+        if carry:
+            whole = scratch.write(row_ids(docs.select(F.struct("*").alias("row"))), "docs")
+            slim = scratch.write(sized(whole.select("rid", *(F.col("row")[c].alias(name) for c, name in ((id_col, "_id"), (source_col, "_source"), (text_col, "_text")))), "rid"), "sizes")
         twice = slim.join(again.withColumn("_twice", F.lit(True)), "h", "left")
         slim = twice.withColumn("h", F.when(F.col("_twice"), F.xxhash64("h", "rid")).otherwise(F.col("h"))).drop("_twice")
-    x = F.col("size") / F.col("mean")
-    tilt = F.greatest(F.least(F.col("t") * x, F.lit(500.0)), F.lit(-500.0))
-    rate = F.when((F.col("size") == 0), 1.0).when(F.col("t").isNull(), F.lit(float(cap))).otherwise(F.lit(float(cap)) / (1 + (cap - 1) * F.exp(-tilt)))
-    rated = slim.join(params.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).withColumn("rate", F.round(rate, 9))
-    base = F.least(F.floor("rate"), F.lit(cap)).cast("int")
-    unit = (F.shiftrightunsigned("h", 11)).cast("double") / float(1 << 53)
-    rated = rated.withColumn("base", base).withColumn("flip", F.floor((unit - (F.col("rate") - F.col("base")) + 1) * (BINS / 2)).cast("int")).withColumn("class", F.floor(F.log2(F.greatest("size", F.lit(1)).cast("double") + 0.5)).cast("int"))
-    rated = scratch.write(rated.drop("_s", "mean", "t", "h"), "rated")
+
+    def rated_(rows: DataFrame) -> DataFrame:
+        """rows with source_size, target, rate, base, flip and class; the parameters are a row a source."""
+        x = F.col("size") / F.col("mean")
+        tilt = F.greatest(F.least(F.col("t") * x, F.lit(500.0)), F.lit(-500.0))
+        rate = F.when((F.col("size") == 0), 1.0).when(F.col("t").isNull(), F.lit(float(cap))).otherwise(F.lit(float(cap)) / (1 + (cap - 1) * F.exp(-tilt)))
+        out = rows.join(params.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).withColumn("rate", F.round(rate, 9))
+        base = F.least(F.floor("rate"), F.lit(cap)).cast("int")
+        unit = (F.shiftrightunsigned("h", 11)).cast("double") / float(1 << 53)
+        out = out.withColumn("base", base).withColumn("flip", F.floor((unit - (F.col("rate") - F.col("base")) + 1) * (BINS / 2)).cast("int"))
+        return out.withColumn("class", F.floor(F.log2(F.greatest("size", F.lit(1)).cast("double") + 0.5)).cast("int")).drop("_s", "mean", "t", "h")
+
+    rated = scratch.write(rated_(slim), "rated")
 
     open_ = F.col("base") < cap
     bins = rated.where("size > 0").groupBy("source", "class", "flip").agg(F.sum(F.when(open_, F.col("size")).otherwise(0)).alias("w"), F.sum(F.round(F.col("size") * (F.col("rate") - F.col("base")) * 1e6).cast("decimal(38,0)")).alias("due"))
@@ -128,14 +137,22 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     start = F.struct(F.lit(0.0).alias("carry"), F.expr("cast(array() as array<struct<class:int,cut:int>>)").alias("cuts"))
     cuts = scratch.write(listed.select(F.col("source").alias("_s"), F.inline(F.aggregate("each", start, step)["cuts"])).withColumnRenamed("class", "_c"), "cuts")
-    done = rated.join(cuts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("class") == F.col("_c")), "left")
-    copies = F.col("base") + ((F.col("size") > 0) & (F.col("base") < cap) & (F.col("flip") <= F.coalesce("cut", F.lit(-1)))).cast("int")
-    done = done.withColumn("copies", copies)
+
+    def copied(rows: DataFrame) -> DataFrame:
+        done = rows.join(cuts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("class") == F.col("_c")), "left")
+        return done.withColumn("copies", F.col("base") + ((F.col("size") > 0) & (F.col("base") < cap) & (F.col("flip") <= F.coalesce("cut", F.lit(-1)))).cast("int"))
+
     if not carry:
+        done = copied(rated)
         out = scratch.write(done.select(F.col("id").alias(id_col), "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken")), "mixed")
         scratch.keep(out)
         return out
-    counts = scratch.write(done.select("rid", "copies").where("copies > 0"), "copies")
-    scratch.keep(whole, counts)
-    copied = whole.join(counts, "rid")
-    return copied.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
+    if whole is None:  # a row's copies follow from itself, the parameters and the cuts, so no text is written or exchanged
+        scratch.keep(params, cuts)
+        # whole rows as one column, so that no name of theirs meets one of ours
+        each = copied(rated_(sized(docs.select(F.struct("*").alias("row"), *parts), "row")))
+    else:
+        counts = scratch.write(copied(rated).select("rid", "copies").where("copies > 0"), "copies")
+        scratch.keep(whole, counts)
+        each = whole.join(counts, "rid")
+    return each.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
