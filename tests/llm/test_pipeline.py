@@ -72,5 +72,5 @@ def test_one_row_of_each_id_and_text(spark, small):
 def test_entry_registers_all():
     entry = importlib.import_module("__spark_entry__")
     names = entry.queries()
-    assert [n.split("_")[0] for n in names if n.startswith("op")] == [f"op{i}" for i in range(1, 11)] and "pipeline" in names
+    assert [n.split("_")[0] for n in names if n.startswith("op")] == [f"op{i}" for i in range(1, 14)] and "pipeline" in names
     assert set(entry.oracle_sql()) <= set(names)
