@@ -28,6 +28,7 @@ def dense_document(title: Column, speaker: Column, addressee: Column, context: C
     labels = F.coalesce(labels, none)
     about = F.array_join(F.transform(labels, lambda x: defined(x, label_defs)), " ")
     place = F.when(F.size(F.coalesce(places, none)) > 0, F.concat(F.lit(" The prayer was in "), F.array_join(places, ", "), F.lit("."))).otherwise("")
+    # fixed values: the words of the sentences
     parts = [title, F.lit(". A prayer by "), speaker, F.lit(" to "), addressee, F.lit(". It is a "), context, F.lit(" prayer: "), defined(context, context_defs), F.lit(". Its content is "), F.array_join(labels, ", "), F.lit(": "), about, F.lit("."), place, F.lit(" "), text]
     return F.trim(F.concat(*(F.coalesce(p, F.lit("")) for p in parts)))
 
