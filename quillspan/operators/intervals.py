@@ -1,9 +1,10 @@
 """Joins over ranges of ordered keys: overlap, strongest relation, as-of, containing range, expansion.
 
-Ranges have an equality key (book), lo and hi. containing, expand and overlap_join(bin_size="auto") join on cells besides the book, so that a book may hold
+Ranges have an equality key (book), lo and hi. containing, expand and overlap_join(bin_size=...) join on cells besides the book, so that a book may hold
 any share of all ranges: a range's own level is the least whose cells (of 2**level) are longer than it, so it touches one or two cells of that level, its
 home; it is a guest in one or two cells of each higher level that occurs. Of two ranges that meet, the one of the higher level is at home where they do and
-the other is at home or a guest there, and never are two guests compared. Reversed ranges (hi < lo) meet nothing.
+the other is at home or a guest there, and never are two guests compared. Reversed ranges (hi < lo) meet nothing. With bins the cells of level 0 are these
+bins. Rows are multiplied by their cells just before a join, where Spark only knows the size they had before; so these joins are sorted, never broadcast.
 """
 
 from __future__ import annotations
@@ -59,21 +60,30 @@ def _housed(df: DataFrame, lo: str, hi: str, levels: Column | None = None, own:
     return df.withColumn("_cell", F.explode(cells))
 
 
-def _meeting(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs of a row of left (book, alo, ahi, ...) and one of right (book, blo, bhi, ...) whose ranges meet, once each: in the cell where the later one begins."""
-    key = ["book", "_level", "_cell"]
-    la, lb = _levels(left, "alo", "ahi"), _levels(right, "blo", "bhi")
-    first = _housed(left, "alo", "ahi").join(_housed(right, "blo", "bhi", la), key)
-    second = _housed(left, "alo", "ahi", lb, own=False).join(_housed(right, "blo", "bhi"), key)
+def _meeting(left: DataFrame, right: DataFrame, bin_size: int | None = None) -> DataFrame:
+    """Pairs of a row of left (book, alo, ahi, ...) and one of right (book, blo, bhi, ...) whose ranges meet, once each: in the cell where the later one begins.
+
+    With bin_size the least cells are bins of that size, and a reversed range meets what holds both of its ends.
+    """
+    key, begin, ends = ["book", "_level", "_cell"], "greatest(alo, blo)", [("alo", "ahi"), ("blo", "bhi")]
+    if bin_size is not None:
+        place = lambda c: F.floor(c / bin_size)
+        left, right = (df.where(F.col(lo).isNotNull() & F.col(hi).isNotNull()).withColumns({f"_{lo}": place(F.least(lo, hi)), f"_{hi}": place(F.greatest(lo, hi))}) for df, (lo, hi) in ((left, ends[0]), (right, ends[1])))
+        ends = [("_alo", "_ahi"), ("_blo", "_bhi")]
+        begin = f"floor(greatest(alo, blo) / {bin_size})"
+    la, lb = _levels(left, *ends[0]), _levels(right, *ends[1])
+    first = _housed(left, *ends[0]).join(_housed(right, *ends[1], la).hint("merge"), key)
+    second = _housed(left, *ends[0], lb, own=False).join(_housed(right, *ends[1]).hint("merge"), key)
     both = first.unionByName(second)
-    return both.where((F.col("alo") <= F.col("bhi")) & (F.col("blo") <= F.col("ahi")) & (F.col("_cell") == F.expr("shiftright(greatest(alo, blo), _level)"))).drop("_level", "_cell")
+    both = both.where((F.col("alo") <= F.col("bhi")) & (F.col("blo") <= F.col("ahi")) & (F.col("_cell") == F.expr(f"shiftright({begin}, _level)")))
+    return both.drop("_level", "_cell", "_alo", "_ahi", "_blo", "_bhi")
 
 
 def overlap_join(a: DataFrame, b: DataFrame, bin_size: int | str | None = None) -> DataFrame:
     """All overlapping pairs of (book, lo, hi) ranges as (book, a_id, a_seq, b_id, b_seq, relation).
 
-    a and b have id, seq (order within id), book, lo, hi. Null bounds or books overlap nothing. With bins of one size a pair is kept
-    only in the first bin that both touch; "auto" takes cells of the ranges' own sizes.
+    a and b have id, seq (order within id), book, lo, hi. Null bounds or books overlap nothing. With a bin_size ranges meet in bins of
+    that size, longer ones in bins of twice, four times and so on; "auto" takes cells of the ranges' own sizes.
     """
     left = a.select("book", F.col("id").alias("a_id"), F.col("seq").alias("a_seq"), F.col("lo").alias("alo"), F.col("hi").alias("ahi"))
     right = b.select("book", F.col("id").alias("b_id"), F.col("seq").alias("b_seq"), F.col("lo").alias("blo"), F.col("hi").alias("bhi"))
@@ -83,9 +93,7 @@ def overlap_join(a: DataFrame, b: DataFrame, bin_size: int | str | None = None)
     elif bin_size is None:
         both = left.join(right, "book").where(touch)
     else:
-        bins = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / bin_size), F.floor(F.col(hi) / bin_size)))
-        left, right = left.withColumn("bin", bins("alo", "ahi")), right.withColumn("bin", bins("blo", "bhi"))
-        both = left.join(right, ["book", "bin"]).where(touch & (F.col("bin") == F.floor(F.greatest("alo", "blo") / bin_size))).drop("bin")
+        both = _meeting(left, right, bin_size)
     return both.withColumn("relation", relation(F.col("alo"), F.col("ahi"), F.col("blo"), F.col("bhi")))
 
 
@@ -113,7 +121,7 @@ def containing(targets: DataFrame, spans: DataFrame) -> DataFrame:
     s = spans.groupBy("book", "lo", "hi").agg(F.min(F.struct("seq", "id")).alias("s")).select("book", F.col("s.id").alias("span_id"), F.col("s.seq").alias("span_seq"), "lo", "hi")
     # a span is as long as what it encloses or longer, and at home in the cell where that begins
     asked = _housed(t, "tlo", "thi", _levels(s, "lo", "hi"), ends=False)
-    inside = asked.join(_housed(s, "lo", "hi"), ["book", "_level", "_cell"]).where((F.col("lo") <= F.col("tlo")) & (F.col("hi") >= F.col("thi")))
+    inside = asked.join(_housed(s, "lo", "hi").hint("merge"), ["book", "_level", "_cell"]).where((F.col("lo") <= F.col("tlo")) & (F.col("hi") >= F.col("thi")))
     best = inside.groupBy("id").agg(F.min_by("span_id", F.struct((F.col("hi").cast("decimal(20,0)") - F.col("lo")).alias("size"), "span_seq")).alias("span_id"))
     return targets.select("id").join(best, "id", "left")
 

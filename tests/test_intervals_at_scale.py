@@ -61,3 +61,23 @@ def test_no_ranges(spark):
     empty = spark.createDataFrame([], COLS)
     one = spark.createDataFrame([(1, 0, "G", 1, 2)], COLS)
     assert I.overlap_join(empty, one, bin_size="auto").count() == 0 and I.containing(one, empty).first().span_id is None and I.expand(one, empty.withColumn("text", F.lit(""))).count() == 0
+
+
+def test_bins_smaller_than_ranges(spark):
+    """A range touches a few cells however many bins it spans, and the pairs are those without bins, reversed ranges too."""
+    rng = random.Random(3)
+    left, right = (spark.createDataFrame([r for r in made_up(rng, 100, first) if abs(r[4]) < 1 << 50], COLS) for first in (0, 1000))
+    pairs = lambda size: sorted((r.a_id, r.b_id) for r in I.overlap_join(left, right, size).collect())
+    assert len(pairs(None)) > 300 and pairs(None) == pairs(1) == pairs(4096) == pairs(1 << 21)
+    long = spark.range(2000).select("id", F.lit(0).alias("seq"), F.lit("G").alias("book"), (F.col("id") * (1 << 20)).alias("lo"), (F.col("id") * (1 << 20) + (1 << 33)).alias("hi"))
+    began = time.time()
+    assert I.overlap_join(long, long.where("id % 100 = 0"), 16).count() == sum(abs(a - b) <= 1 << 13 for a in range(2000) for b in range(0, 2000, 100))
+    assert time.time() - began < 60
+
+
+def test_cells_are_not_broadcast(spark):
+    """Where rows are multiplied before a join, Spark knows their size only from before."""
+    one = spark.createDataFrame([(1, 0, "G", 1, 2)], COLS)
+    for size in (16, "auto"):
+        plan = I.overlap_join(one, one, size)._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
