@@ -66,17 +66,18 @@ def load(spark: SparkSession, path: str, kind: str = "long") -> DataFrame:
     return _stored(spark, path, manifest(spark, path).where("build is not null").select("part", "build").collect(), kind)
 
 
-def build(docs: DataFrame, path: str, encode: Callable[[DataFrame], DataFrame], stamp: str, text_col: str = "text", parts: int = 64, force: bool = False) -> DataFrame:
+def build(docs: DataFrame, path: str, encode: Callable[[DataFrame], DataFrame], stamp: str, text_col: str = "text", parts: int = 64, force: bool = False, hash_col: str | None = None) -> DataFrame:
     """Bring the index at path up to date with docs (doc_id, the text and whatever encode reads); the report: a row a part.
 
     encode adds the column vector (array of double) to rows of docs that the index lacks; stamp names the encoder and its version: another one, or force,
     rebuilds all. Every row is indexed: filters belong to the search. The report has part, n_rows, kept (vectors reused), encoded, removed (stored rows that
     are gone or changed), state (skipped, rewritten or removed) and fingerprint. Rows of equal id and text share a vector. Null texts are empty.
+    hash_col: a column that holds row_hash already; no text is then read. Where docs come of a join, hash the texts before it, so that they aren't exchanged.
     """
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     scratch = Scratch(spark, "vector-index")
-    rows = docs.withColumns({"part": part_of(F.col("doc_id"), parts), "row_hash": row_hash(stamp, F.col("doc_id"), F.col(text_col))})
+    rows = docs.withColumns({"part": part_of(F.col("doc_id"), parts), "row_hash": F.col(hash_col) if hash_col else row_hash(stamp, F.col("doc_id"), F.col(text_col))})
     now = fingerprints(rows.select("part", "row_hash")).withColumn("stamp", F.lit(stamp))
     old = manifest(spark, path).select("part", F.col("n_rows").alias("_n"), F.col("fingerprint").alias("_f"), F.col("build").alias("_b"), F.col("stamp").alias("_s"))
     same = F.col("fingerprint").eqNullSafe(F.col("_f")) & F.col("stamp").eqNullSafe(F.col("_s")) & F.lit(not force)

@@ -159,3 +159,17 @@ def test_stored_vectors_serve_searches(spark, tmp_path):
     stored = V.load(spark, path).select("doc_id", "vector")
     queries = docs.where("doc_id < 5").select(F.col("doc_id").alias("query_id"), "vector")
     assert sorted(map(tuple, L.nearest(queries, stored, 3).collect())) == sorted(map(tuple, L.nearest(queries, docs.select("doc_id", "vector"), 3).collect()))
+
+
+def test_hashes_made_before_a_join_serve_for_texts(spark, tmp_path, small, monkeypatch):
+    docs = spark.createDataFrame([(i, f"t{i}" if i else None) for i in range(20)], "doc_id long, text string")
+    encode = lambda rows: rows.withColumn("vector", F.array(F.col("doc_id").cast("double")))
+    hashed = docs.select("doc_id", V.row_hash("v1", F.col("doc_id"), F.col("text")).alias("h"))
+    whole, narrow = (sorted(map(tuple, V.build(x, str(tmp_path / n), encode, "v1", parts=3, **more).collect())) for x, n, more in ((docs, "a", {}), (hashed, "b", {"hash_col": "h"})))
+    assert whole == narrow and sum(r[1] for r in whole) == 20
+    from quillspan import catalog
+
+    seen, build = [], V.build
+    monkeypatch.setattr(V, "build", lambda docs, *a, **k: seen.append(docs.columns) or build(docs, *a, **k))
+    assert catalog.queries()["q54_vector_index"](spark, small).count() > 0
+    assert seen and not any("text" in c for c in seen)  # else each build exchanges and writes the texts
