@@ -76,13 +76,18 @@ def prune(nodes: DataFrame, query: str, texts: list[str], item: Column, scratch:
 
 def paths(nodes: DataFrame, key: Column, scratch: Scratch) -> DataFrame:
     """(node, depth, path): how many ancestors a node has, and the keys of these from the root down to its own; rows sorted by path are in depth-first order."""
-    steps = jumps(nodes, scratch)
-    path = nodes.where("node is not null").select("node", F.array(key).alias("path"))
-    for up in steps:
-        over = path.select(F.col("node").alias("up"), F.col("path").alias("_over"))
-        both = path.join(up, "node", "left").join(over, "up", "left")
-        path = scratch.write(both.select("node", F.when(F.col("_over").isNull(), F.col("path")).otherwise(F.concat("_over", "path")).alias("path")), "paths")
-    return path.select("node", (F.size("path") - 1).alias("depth"), "path")
+    each = scratch.write(nodes.where("node is not null").select("node", F.col("parent").alias("up"), F.array(key).alias("path")), "nodes")
+    over = each.select(F.col("node").alias("_known"))
+    known = scratch.write(each.join(over, F.col("up") == F.col("_known"), "left").select("node", F.col("_known").alias("up"), "path"), "known")
+    done, rest, far, total = known.where("up is null"), known.where("up is not null"), 1, each.count()
+    # an unfinished row has the keys from below up to its node, and up moves twice as far each step; finished rows don't move any more
+    while not rest.isEmpty():
+        if far > total:
+            raise ValueError("the parents of some nodes run in a circle")
+        over = done.unionByName(rest).select(F.col("node").alias("up"), F.col("up").alias("_up"), F.col("path").alias("_over"))
+        known = scratch.write(rest.join(over, "up").select("node", F.col("_up").alias("up"), F.concat("_over", "path").alias("path")), "paths")
+        done, rest, far = done.unionByName(known.where("up is null")), known.where("up is not null"), 2 * far
+    return done.select("node", (F.size("path") - 1).alias("depth"), "path")
 
 
 def reading_order(sections: DataFrame, entries: DataFrame, scratch: Scratch) -> DataFrame:

@@ -88,3 +88,11 @@ def test_places_in_groups_of_any_size(spark, scratch):
         mine = sorted((r for r in rows if r.g == g), key=lambda r: r.position)
         assert [r.position for r in mine] == list(range(len(mine))) and [r.v for r in mine] == sorted((r.v for r in mine), reverse=True)
     assert placed(df.limit(0), [], [F.col("v")], scratch).count() == 0
+
+
+def test_finished_paths_are_not_written_again(spark, scratch):
+    rows = [(f"r{i}", None) for i in range(1000)] + [(f"c{i}", f"c{i - 1}" if i else "r0") for i in range(9)]
+    got = {r.node: r.path for r in T.paths(spark.createDataFrame(rows, "node string, parent string"), F.col("node"), scratch).collect()}
+    assert len(got) == 1009 and got["c8"] == ["r0", *(f"c{i}" for i in range(9))] and got["r7"] == ["r7"]
+    steps = [p for p in scratch._paths if p.endswith("-paths")]
+    assert 3 <= len(steps) <= 5 and all(spark.read.parquet(p).count() <= 9 for p in steps)
