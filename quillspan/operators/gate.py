@@ -14,11 +14,24 @@ from pyspark.sql import functions as F
 from quillspan.functions.text import collapse, terms
 
 
+def _plain(text: Column) -> Column:
+    """Lower case, with straight apostrophes; only texts that have curly ones are gone through for them."""
+    return F.lower(F.when(F.contains(text, F.lit("’")), F.replace(text, F.lit("’"), F.lit("'"))).otherwise(text))
+
+
 def any_term(text: Column, words: list[str], patterns: list[str] | None = None) -> Column:
-    """True where a term or pattern occurs; one alternation, so that the engine compiles it once."""
-    plain = [rf"(?:^|[^a-z0-9_])(?:{'|'.join(re.sub(r'([^\w\s])', r'\\\1', w.lower()) for w in words)})(?:$|[^a-z0-9_])"] if words else []
-    every = [*plain, *(patterns or [])]
-    return F.lower(F.translate(text, "’", "'")).rlike("|".join(f"(?:{p})" for p in every)) if every else F.lit(False)
+    """True where a term or pattern occurs; one alternation for all terms, matched only against texts that hold one of them as a substring."""
+    low, out = _plain(text), None
+    if words:
+        names = [w.lower() for w in words]
+        held = F.contains(low, F.lit(names[0]))
+        for w in names[1:]:
+            held = held | F.contains(low, F.lit(w))
+        out = held & low.rlike(rf"(?:^|[^a-z0-9_])(?:{'|'.join(re.sub(r'([^\w\s])', r'\\\1', w) for w in names)})(?:$|[^a-z0-9_])")
+    if patterns:
+        other = low.rlike("|".join(f"(?:{p})" for p in patterns))
+        out = other if out is None else out | other
+    return F.lit(False) if out is None else out
 
 
 @dataclass(frozen=True)

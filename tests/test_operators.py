@@ -201,3 +201,13 @@ def test_gate_on_a_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {r.text: r.status for r in spark.table("gated").collect()} == {"so ill": "crisis", "well": "ok"}
+
+
+def test_terms_are_matched_only_where_a_text_holds_one(spark):
+    from quillspan.operators import gate
+
+    texts = ["a Don’t b", "don't", "undon't", "DON'T!", "", None, "c++ now", "c+", "x_clown", "clown", "I am x", "’"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    hit = df.select("i", gate.any_term(F.col("t"), ["Don't", "c++", "clown"], ["i am"]).alias("x"))
+    assert {r.i for r in hit.collect() if r.x} == {0, 1, 3, 6, 9, 10} and [r.i for r in hit.collect() if r.x is None] == [5]
+    assert "Contains(" in df.where(gate.any_term(F.col("t"), ["clown"]))._jdf.queryExecution().optimizedPlan().toString()
