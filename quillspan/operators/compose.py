@@ -8,12 +8,13 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from quillspan.functions.text import WORD, n_words
+from quillspan.functions.text import n_words, words
 
 MOVEMENTS = ("address", "anchor", "naming", "ask", "trust", "close")
 LOW, HIGH = 60, 180
@@ -92,15 +93,21 @@ def choose_anchor(text: str, wanted: set[str], low: int = 8, high: int = 45, aft
 ANCHOR = T.StructType([T.StructField("text", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
 
 
-@F.pandas_udf(ANCHOR)
-def anchor_within(text: pd.Series, tokens: pd.Series, low: pd.Series, high: pd.Series, after: pd.Series) -> pd.DataFrame:
-    """The anchor of low to high words after an offset of each text, for the tokens of a query: always a slice of the text; null if it has none."""
+@F.arrow_udf(ANCHOR)
+def anchor_within(text: pa.Array, tokens: pa.Array, low: pa.Array, high: pa.Array, after: pa.Array) -> pa.Array:
+    """The anchor of low to high words after an offset of each text, for the tokens of a query: always a slice of the text; null if it has none.
+
+    Only one text of a batch is a Python string at a time.
+    """
     rows = []
-    for t, w, lo, hi, at in zip(text, tokens, low, high, after, strict=True):
-        found = choose_anchor(t, set(w) if w is not None else set(), int(lo), int(hi), int(at)) if isinstance(t, str) else None
-        rows.append((t[found[0] : found[1]], *found) if found else (None, None, None))
-    out = pd.DataFrame(rows, columns=["text", "start", "end"])
-    return out.astype({"start": "Int32", "end": "Int32"})
+    for t, w, lo, hi, at in map(plain, zip(text, tokens, low, high, after, strict=True)):
+        found = choose_anchor(t, set(w or ()), lo, hi, at) if t is not None else None
+        rows.append(dict(zip(ANCHOR.names, (t[found[0] : found[1]], *found) if found else (None, None, None), strict=True)))
+    return pa.array(rows, to_arrow_type(ANCHOR))
+
+
+def plain(row: tuple) -> tuple:
+    return tuple(x.as_py() for x in row)
 
 
 def anchor(text: Column, tokens: Column, low: Column | int = 8, high: Column | int = 45, after: Column | int = 0) -> Column:
@@ -113,19 +120,15 @@ def spoken(movements: Column) -> Column:
     return F.array_join(F.filter(each, lambda x: F.coalesce(F.trim(x), F.lit("")) != ""), "\n")
 
 
-@F.pandas_udf(T.BooleanType())
-def quotes(texts: pd.Series, passage: pd.Series, n: pd.Series) -> pd.Series:
+def quotes(texts: Column, passage: Column, n: int) -> Column:
     """Whether any run of n words of one of the texts stands in the passage; the few runs of the texts are looked for in its words."""
-    out = []
-    for own, whole, k in zip(texts, passage, n, strict=True):
-        said = [t for t in map(_words, own if own is not None else ()) if len(t) >= k]
-        held = f" {' '.join(_words(whole))} " if said else ""
-        out.append(any(f" {' '.join(t[i : i + k])} " in held for t in said for i in range(len(t) - k + 1)))
-    return pd.Series(out, dtype=bool)
-
-
-def _words(text: str | None) -> list[str]:
-    return re.findall(WORD, text.lower()) if isinstance(text, str) else []
+    held = F.concat(F.lit(" "), F.regexp_replace(F.lower(F.coalesce(passage, F.lit(""))), "[^a-z0-9]+", " "), F.lit(" "))
+    once = lambda x, f: F.get(F.transform(F.array(x), f), 0)  # f of x as a variable, made once and not for every run
+    said = F.filter(F.transform(texts, lambda t: words(F.coalesce(t, F.lit("")))), lambda w: F.size(w) >= n)
+    run = lambda w, i: F.concat(F.lit(" "), F.array_join(F.slice(w, i, n), " "), F.lit(" "))
+    within = lambda w, h: F.exists(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.contains(h, run(w, i)))
+    found = once(said, lambda s: F.when(F.size(s) > 0, once(held, lambda h: F.exists(s, lambda w: within(w, h)))))
+    return F.coalesce(found, F.lit(False))
 
 
 def violations(movements: Column, passage: Column, osis: Column | None = None, verses: Column | None = None, n: int = 6, forbidden: str | None = None, stern: Column | None = None, address_declared: Column | None = None) -> Column:
@@ -137,7 +140,7 @@ def violations(movements: Column, passage: Column, osis: Column | None = None, v
     get = lambda m: F.coalesce(F.try_element_at(movements, F.lit(m)), F.lit(""))
     missing = [F.when(F.trim(get(m)) == "", f"missing_{m}") for m in ("address", "anchor", "naming", "ask", "close")]
     address = F.lit("") if address_declared is None else F.when(F.coalesce(address_declared, F.lit(False)), "").otherwise(get("address"))
-    quoted = quotes(F.array(address, *(get(m) for m in MOVEMENTS if m not in ("anchor", "address"))), passage, F.lit(n))
+    quoted = quotes(F.array(address, *(get(m) for m in MOVEMENTS if m not in ("anchor", "address"))), passage, n)
     rules = [*missing, F.when(~F.contains(passage, get("anchor")), "anchor_not_verbatim"), F.when(quoted, "quotes_passage"), F.when(~n_words(spoken(movements)).between(LOW, HIGH), "words")]
     if osis is not None and verses is not None:
         rules.append(F.when(~F.coalesce(F.array_contains(verses, osis), F.lit(False)), "citation"))
