@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,3 +46,24 @@ def test_random_citations(spark, default):
     df = spark.createDataFrame(list(enumerate(raws)), "i int, raw string")
     got = {r.i: rows(r.p) for r in df.select("i", R.reference_parser(BOOKS, default)(F.col("raw")).alias("p")).collect()}
     assert got == {i: R.parse_references(r, BOOKS, default) for i, r in enumerate(raws)}
+
+
+def test_a_task_parses_a_string_once(spark, monkeypatch):
+    """5,000 rows in batches of 500 hold 20 strings: the parser runs 20 times, not in each batch; what is forgotten is parsed again."""
+    raws = pa.array([None if i % 50 == 0 else f"Gen {i % 20 + 1}:1; {i % 20 + 2}:3" for i in range(5000)])
+    batches = lambda: (raws.slice(i, 500) for i in range(0, 5000, 500))
+    each, ran, parse = R.reference_parser(BOOKS, None).read, [], R.parse_references
+    monkeypatch.setattr(R, "parse_references", lambda raw, *a: ran.append(raw) or parse(raw, *a))
+    want = [None if raw is None else parse(raw, BOOKS) for raw in raws.to_pylist()]
+    got = lambda: [r if r is None else [tuple(x.values()) for x in r] for b in each(batches()) for r in b.to_pylist()]
+    assert got() == want and sorted(ran) == sorted(set(raws.drop_null().to_pylist()))
+    monkeypatch.setattr(R, "REMEMBERED", 3)
+    assert got() == want
+
+
+def test_batches_without_references(spark):
+    each = R.reference_parser(BOOKS).read
+    assert [b.to_pylist() for b in each(iter([pa.array([], pa.string()), pa.array([None], pa.string()), pa.array([""])]))] == [[], [None], [[]]]
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "Gen 3:16\n")], "i int, raw string")
+    got = {r.i: rows(r.p) for r in df.select("i", R.reference_parser(BOOKS)("raw").alias("p")).collect()}
+    assert got == {1: [], 2: [], 3: R.parse_references("Gen 3:16\n", BOOKS)}
